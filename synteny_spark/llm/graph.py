@@ -1,0 +1,35 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from synteny_spark.llm.common import cut
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges (a, b). Large star: every neighbour above a node goes to the least of its neighbours and itself; small star: every
+    neighbour below it, and itself, go there."""
+    near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    met = near.join(least, "a")
+    if large:
+        return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, the least node of its component, for every node of edges (a, b) but the roots themselves.
+
+    Both steps keep the components and end at stars around the least nodes, in rounds that grow with the logarithm of the
+    longest path. Each round is checkpointed. The edges may repeat, be mirrored or join a node to itself.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == state or not seen[0]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        state = seen
+        now = cut(_star(_star(now, True), False))
