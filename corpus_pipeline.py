@@ -1,15 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each written and read again before the next.
+
+Rows that are kept keep all their columns; the secret stage changes texts (and n_chars) where it masks, the last stage returns
+what it encodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from synteny_spark.llm import bpe, decontam, secrets, simhash, toxicity
+from synteny_spark.llm.common import session, table, written
 
-STAGES: list = []
+#: SQL can't express the fitted model, the hash majority, the alignment or the vocabulary.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the machine, learned from the labels of those at hand, predicts as toxic."""
+    session(spark)
+    return toxicity.accepted(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, that of the least id. Rows without an id stay: no component is named after them."""
+    session(spark)
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, docs.doc_id == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark passage."""
+    session(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    session(spark)
+    return secrets.masked(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the digests of ids and decoded texts."""
+    session(spark)
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", mask_secrets),
+    ("bpe", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs

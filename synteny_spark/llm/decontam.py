@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,8 +164,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that leak no item, all columns."""
-    import pandas as pd
-
     rows, out = texts(docs.withColumn("doc_id", F.lit(0)), text_col=text_col), docs
     for items in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(seeded(rows, items))

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synteny_spark.llm import bpe, decontam, html_text, quality, secrets, simhash, toxicity
+from synteny_spark.llm import bpe, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, toxicity
 from synteny_spark.llm.common import table
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle()}
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of a licence in a document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each packed sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
@@ -45,9 +59,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
+    "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
