@@ -1,10 +1,527 @@
-"""The registered queries over the test tables, with their SQL."""
+"""The registered queries over the test tables, each with the SQL that gives the same rows in DuckDB, where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from synteny_spark.functions import columns as fc
+from synteny_spark.operators import evidence, filters, joins, stats, windows
+from synteny_spark.operators.trees import SpeciesTree, closure_of
+from synteny_spark.plans import projection as pr
+from synteny_spark.plans.projection import BLOCKS, GENES, PAIRS, TREE, blocks, genes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def big(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+def values(sql_rows: str, columns: str) -> str:
+    return f"(VALUES {sql_rows}) AS v({columns})"
+
+
+# Genomes and predicates
+
+
+@query(f"WITH {GENES} SELECT CAST(sp AS BIGINT) sp, chrom, CAST(pos AS BIGINT) pos, CAST(fam AS BIGINT) fam, CAST(strand AS BIGINT) strand FROM g")
+def gene_projection(spark, sf):
+    return genes(spark, sf).select(*big("sp", "chrom", "pos", "fam", "strand"))
+
+
+NAMES = "SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR) || '_random' FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'Un')"
+
+
+@query(f"""SELECT name, CASE WHEN name IN ('Un_random','UNKN','Un') THEN 'Unknown' WHEN regexp_matches(name, '^[0-9]+$') THEN CASE WHEN TRY_CAST(name AS BIGINT) < 100 THEN 'Chromosome' ELSE 'Scaffold' END
+  WHEN contains(lower(name),'rand') THEN 'Random' WHEN regexp_matches(lower(name), 'cont|scaff|ultra|reftig|_|un|gl|ki|jh|aaex|aadn') OR name IN ('U','E64','2-micron') OR ends_with(name,'Het') THEN 'Scaffold' ELSE 'Chromosome' END AS kind FROM ({NAMES})""")
+def contig_class(spark, sf):
+    c, n, r, p = (table(spark, sf, t) for t in ("customer", "nation", "region", "part"))
+    key = F.col("c_custkey").cast("string")
+    parts = [c.select(F.col("c_mktsegment").alias("name")), n.select("n_name"), r.select("r_name"), c.select(key), c.select(F.concat(key, F.lit("_random"))), p.select("p_brand"), spark.createDataFrame([("Un",)], "name string")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.distinct().select("name", fc.contig_type(F.col("name")).alias("kind"))
+
+
+@query(f"WITH {GENES} SELECT chrom, pos, fam FROM g WHERE pkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def genome_filter_in(spark, sf):
+    named = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("pkey"))
+    return filters.keep_named(genes(spark, sf), named, "pkey").select("chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
+
+
+@query(f"WITH {GENES} SELECT chrom, pos, fam FROM g WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size < 10 AND p_partkey = pkey)")
+def genome_filter_out(spark, sf):
+    named = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("pkey"))
+    return filters.drop_named(genes(spark, sf), named, "pkey").select("chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
+
+
+@query(f"WITH {GENES} SELECT chrom, pos, fam FROM (SELECT *, count(*) OVER (PARTITION BY chrom) k FROM g) WHERE k >= 5")
+def min_chrom_size(spark, sf):
+    return filters.min_chromosome_size(genes(spark, sf), 5, ["chrom"]).select("chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
+
+
+@query(f"WITH {GENES} SELECT chrom, fam, pos - 1 AS orig_idx, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS idx FROM g WHERE fam % 3 <> 0")
+def reindex_kept(spark, sf):
+    return filters.reindex(genes(spark, sf), F.col("fam") % 3 != 0, ["chrom"]).select("chrom", "fam", *big("orig_idx", "idx"))
+
+
+HOUR = 3_600_000_000
+
+
+@query(f"""SELECT x.event_id AS event_id, count(y.event_id) AS n FROM events x JOIN events y ON x.user_id = y.user_id AND epoch_us(y.ts) <= epoch_us(x.ts) + {HOUR} AND epoch_us(y.ts) + {HOUR} >= epoch_us(x.ts) GROUP BY 1""")
+def range_overlap(spark, sf):
+    e = pr.interval_events(spark, sf).withColumn("end", F.col("beg") + HOUR)
+    right = e.select("user_id", F.col("event_id").alias("other"), F.col("beg").alias("beg2"), F.col("end").alias("end2"))
+    return filters.overlaps(e, right, "user_id", HOUR).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE user_id = 7 AND epoch_us(ts) >= 1704067200000000 AND epoch_us(ts) <= 1706745600000000""")
+def genes_in_interval(spark, sf):
+    e = pr.interval_events(spark, sf).select("event_id", F.col("user_id").alias("chrom"), "beg", F.col("beg").alias("end"))
+    return filters.genes_at(e, 7, 1704067200000000, 1706745600000000).select("event_id", F.col("chrom").alias("user_id"))
+
+
+@query("SELECT event_id, array_to_string(list(CAST(event_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS near FROM events")
+def neighbourhood(spark, sf):
+    out = windows.near(table(spark, sf, "events").withColumn("id", F.col("event_id").cast("string")), ["user_id"], ["ts", "event_id"], "id", 2)
+    return out.select("event_id", F.array_join("near", ",").alias("near"))
+
+
+@query("SELECT p_brand || '.' || p_name AS name, p_partkey FROM part")
+def rename_unique(spark, sf):
+    return filters.unique_names(table(spark, sf, "part"), "p_brand", "p_name").select(F.col("p_name").alias("name"), "p_partkey")
+
+
+# Orthologs
+
+
+ORTHO = GENES + """, l AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 1 AND chrom % 7 = 0), r AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 2 AND chrom % 7 = 0),
+o AS (SELECT l.gene gene1, r.gene gene2 FROM l JOIN r ON l.pkey = r.pkey UNION SELECT l.gene, r.gene FROM l JOIN r ON l.fam = r.fam AND l.fam < 40)"""
+
+
+def _sides(spark, sf):
+    g = genes(spark, sf).where("chrom % 7 = 0").select("sp", (F.col("chrom") * 100 + F.col("pos")).alias("gene"), F.array(F.concat(F.lit("p"), F.col("pkey"))).alias("names"))
+    parts = table(spark, sf, "lineitem").select("l_partkey").distinct().where("l_partkey % 200 < 40")
+    fams = parts.groupBy((F.col("l_partkey") % 200).cast("int").alias("fam_idx")).agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey"))).alias("members")).select(F.lit("A").alias("anc"), "fam_idx", F.concat(F.lit("f"), "fam_idx").alias("name"), "members")
+    return g.where("sp = 1").drop("sp"), g.where("sp = 2").drop("sp"), fams
+
+
+@query(f"WITH {ORTHO} SELECT gene1, gene2 FROM o")
+def ortholog_table(spark, sf):
+    return joins.orthologs(*_sides(spark, sf))
+
+
+@query(f"WITH {ORTHO} SELECT d.gene AS gene1, gene2 FROM (SELECT DISTINCT gene FROM l) d LEFT JOIN o ON o.gene1 = d.gene")
+def ortholog_table_gaps(spark, sf):
+    return joins.orthologs(*_sides(spark, sf), gaps=True)
+
+
+@query(f"WITH {GENES} SELECT chrom, pos, CASE WHEN fam < 40 THEN fam ELSE -1 END AS fam FROM g WHERE sp = 1 AND chrom % 7 = 0")
+def translate_families(spark, sf):
+    left, _, fams = _sides(spark, sf)
+    out = joins.translate(left.select("gene", F.col("names")[0].alias("name")), fams)
+    return out.select(F.floor(F.col("gene") / 100).cast("bigint").alias("chrom"), (F.col("gene") % 100).cast("bigint").alias("pos"), F.col("fam").cast("bigint").alias("fam"))
+
+
+@query(f"WITH {GENES}, b AS (SELECT fam FROM g WHERE sp IN (1, 2) AND fam % 11 = sp % 3 OR sp IN (1, 2) AND fam % 2 = 0 GROUP BY fam HAVING count(DISTINCT sp) = 2) SELECT sp, chrom, pos, fam FROM g JOIN b USING (fam) WHERE sp IN (1, 2) AND (fam % 11 = sp % 3 OR fam % 2 = 0)")
+def common_families(spark, sf):
+    g = genes(spark, sf).where("fam % 11 = sp % 3 or fam % 2 = 0").withColumn("genome", F.col("sp").cast("string"))
+    return joins.common_families(g, "1", "2").select("sp", "chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
+
+
+# Adjacency and evidence
+
+
+@query(f"WITH {PAIRS} SELECT sp, chrom, a, CAST(sa AS BIGINT) sa, b, CAST(sb AS BIGINT) sb, count(*) AS n FROM c GROUP BY ALL")
+def adjacent_pairs(spark, sf):
+    pairs = windows.canonical(windows.adjacent_pairs(genes(spark, sf), ["sp", "chrom"]), ["sp", "chrom"])
+    return pairs.groupBy("sp", "chrom", "a", "sa", "b", "sb").agg(F.count("*").alias("n")).select("sp", "chrom", "a", F.col("sa").cast("bigint").alias("sa"), "b", F.col("sb").cast("bigint").alias("sb"), "n")
+
+
+WEIGHT = PAIRS + """, w AS (SELECT a, sa, b, sb, CASE WHEN sp IN (1,2,3) THEN 1 ELSE 2 END grp, count(*) n FROM c GROUP BY 1,2,3,4,5),
+r AS (SELECT a, sa, b, sb, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) weight FROM w GROUP BY 1,2,3,4)"""
+
+
+def _adjacency(spark, sf) -> DataFrame:
+    pairs = windows.canonical(windows.adjacent_pairs(genes(spark, sf), ["sp", "chrom"]), ["sp"])
+    counts = pairs.groupBy("a", "sa", "b", "sb", F.when(F.col("sp").isin(1, 2, 3), 1).otherwise(2).alias("grp")).agg(F.count("*").alias("n"))
+    return windows.evidence_weight(counts).where("weight > 0")
+
+
+@query(f"WITH {WEIGHT} SELECT a, sa, b, sb, weight FROM r WHERE weight > 0")
+def conserved_adjacency(spark, sf):
+    """The flagship: oriented adjacencies with the number of comparisons between groups that support them."""
+    return _adjacency(spark, sf)
+
+
+CHILD = values("('A0',1,'A1'),('A0',2,'A1'),('A0',3,'A1'),('A0',4,'A2'),('A0',5,'A2'),('A1',1,'A3'),('A1',2,'A3'),('A1',3,'M3'),('A2',4,'M4'),('A2',5,'M5'),('A3',1,'M1'),('A3',2,'M2')", "anc, sp, child")
+
+
+@query(f"WITH {PAIRS} SELECT anc, a, CAST(sa AS INTEGER) sa, b, CAST(sb AS INTEGER) sb FROM c JOIN {CHILD} USING (sp) GROUP BY ALL HAVING count(DISTINCT child) >= 2")
+def conserved_by_ancestor(spark, sf):
+    below = SpeciesTree.read(TREE).closure(spark).where("desc like 'M%' and via is not null").select("anc", F.substring("desc", 2, 9).cast("bigint").alias("sp"), F.col("via").alias("child"))
+    pairs = windows.canonical(windows.adjacent_pairs(genes(spark, sf), ["sp", "chrom"]), ["sp"]).distinct()
+    return evidence.conserved(pairs.join(F.broadcast(below), "sp"))
+
+
+LINEAGE = values("('A3',1,'M1',1),('A1',1,'A3',2),('A0',1,'A1',3),('A3',2,'M2',1),('A1',2,'A3',2),('A0',2,'A1',3),('A1',3,'M3',1),('A0',3,'A1',2),('A2',4,'M4',1),('A0',4,'A2',2),('A2',5,'M5',1),('A0',5,'A2',2)", "anc, sp, child, rk")
+BELOW = values("('A0','A0'),('A0','A1'),('A0','A2'),('A0','A3'),('A1','A1'),('A1','A3'),('A2','A2'),('A3','A3')", "anc, target")
+GROUPS = values("('A0',1,1),('A0',2,1),('A0',3,1),('A0',4,2),('A0',5,2),('A1',1,1),('A1',2,1),('A1',3,2),('A1',4,-1),('A1',5,-1),('A2',1,-1),('A2',2,-1),('A2',3,-1),('A2',4,1),('A2',5,2),('A3',1,1),('A3',2,2),('A3',3,-1),('A3',4,-1),('A3',5,-1)", "target, sp, grp")
+
+#: At A2 families are numbered backwards, and each ancestor lacks some, so that pairs turn and chains of ancestors break.
+E3 = f"""{GENES},
+k AS (SELECT anc, child, sp, chrom, pos, chrom * 100 + pos AS m, strand, CASE WHEN anc = 'A2' THEN 199 - fam ELSE fam END AS fam
+  FROM g JOIN {LINEAGE} USING (sp)
+  WHERE fam % 23 <> 0 AND (anc NOT IN ('A1', 'A0') OR sp NOT IN (1, 2) OR fam % 17 <> 1) AND (anc NOT IN ('A1', 'A0') OR sp > 3 OR fam % 19 <> 2)),
+q AS (SELECT anc, child, sp, fam f1, strand s1, m n1, lead(fam) OVER w f2, lead(strand) OVER w s2, lead(m) OVER w n2 FROM k WINDOW w AS (PARTITION BY anc, child, sp, chrom ORDER BY pos)),
+o AS (SELECT anc, child, sp, CASE WHEN f1<f2 THEN f1 ELSE f2 END a, CASE WHEN f1<f2 THEN s1 ELSE -s2 END sa, CASE WHEN f1<f2 THEN f2 ELSE f1 END b, CASE WHEN f1<f2 THEN s2 ELSE -s1 END sb,
+  CASE WHEN f1<f2 THEN n1 ELSE n2 END m1, CASE WHEN f1<f2 THEN s1 ELSE -s2 END ms1, CASE WHEN f1<f2 THEN n2 ELSE n1 END m2, CASE WHEN f1<f2 THEN s2 ELSE -s1 END ms2 FROM q WHERE f1 <> f2),
+cons AS (SELECT anc, a, sa, b, sb FROM o GROUP BY ALL HAVING count(DISTINCT child) >= 2),
+kept AS (SELECT o.* FROM o JOIN cons USING (anc, a, sa, b, sb)),
+both_ AS (SELECT anc, child, sp, a, sa, b, sb, 0 back, m1, ms1, m2, ms2 FROM kept UNION ALL SELECT anc, child, sp, a, sa, b, sb, 1, m2, -ms2, m1, -ms1 FROM kept),
+rea AS (SELECT x.*, t.anc AS target, t.a ta, t.sa tsa, t.b tb, t.sb tsb FROM both_ x JOIN (SELECT DISTINCT anc, a, sa, b, sb, m1, ms1, m2, ms2 FROM o) t USING (m1, ms1, m2, ms2) JOIN {BELOW} ON v.anc = x.anc AND v.target = t.anc),
+ev AS (SELECT target, ta, tsa, tb, tsb, sp, m1, ms1, m2, ms2 FROM rea UNION
+  SELECT r.target, r.ta, r.tsa, r.tb, r.tsb, x.sp, x.m1, x.ms1, x.m2, x.ms2 FROM rea r JOIN both_ x ON x.anc = r.anc AND x.a = r.a AND x.sa = r.sa AND x.b = r.b AND x.sb = r.sb AND x.back = r.back AND x.child <> r.child),
+cnt AS (SELECT target, ta, tsa, tb, tsb, grp, count(*) n FROM ev JOIN {GROUPS} USING (target, sp) GROUP BY ALL)
+SELECT target AS anc, ta AS a, CAST(tsa AS BIGINT) AS sa, tb AS b, CAST(tsb AS BIGINT) AS sb, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS weight FROM cnt GROUP BY target, ta, tsa, tb, tsb"""
+
+
+def _evidence_tables(spark, sf):
+    tree = SpeciesTree.read(TREE)
+    g = genes(spark, sf).where("fam % 23 <> 0").select(F.concat(F.lit("M"), "sp").alias("species"), "chrom", F.col("pos").alias("idx"), (F.col("chrom") * 100 + F.col("pos")).alias("name"), "strand", "sp", "fam")
+    lineages = spark.createDataFrame([(s, a, up[k - 1], k) for s in tree.species for up in [tree.up(s)] for k, a in enumerate(up) if k], "species string, anc string, child string, rank int")
+    fam = F.when(F.col("anc") == "A2", 199 - F.col("fam")).otherwise(F.col("fam")).alias("fam_idx")
+    names = g.select("name", "sp", "fam").crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in tree.ancestors], "anc string")))  # four rows
+    high = F.col("anc") == "A1"  # lacking at A1 is lacking above it
+    lack = (high & F.col("sp").isin(1, 2) & (F.col("fam") % 17 == 1)) | (high & (F.col("sp") <= 3) & (F.col("fam") % 19 == 2))
+    return tree, g.drop("sp", "fam"), names.where(~lack).select("anc", fam, F.col("name").alias("member")), lineages
+
+
+@query("WITH " + E3)
+def propagated_evidence(spark, sf):
+    tree, g, fams, lineages = _evidence_tables(spark, sf)
+    obs = evidence.observations(g, fams, F.broadcast(lineages)).persist()
+    out = evidence.weights(evidence.propagated(obs, tree.closure(spark)), tree.groups(spark))
+    return out.select("anc", "a", F.col("sa").cast("bigint").alias("sa"), "b", F.col("sb").cast("bigint").alias("sb"), "weight")
+
+
+# Trees
+
+
+EDGES = values("('M1','A3'),('M2','A3'),('A3','A1'),('M3','A1'),('A1','A0'),('M4','A2'),('M5','A2'),('A2','A0'),('A0',NULL)", "node, parent")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c AS (SELECT node anc, node AS dsc, 0 AS depth FROM e UNION ALL SELECT e.parent, c.dsc, c.depth + 1 FROM c JOIN e ON e.node = c.anc WHERE e.parent IS NOT NULL) SELECT anc, dsc, depth FROM c")
+def tree_closure(spark, sf):
+    t = SpeciesTree.read(TREE)
+    return closure_of(t.nodes(spark)).withColumnRenamed("desc", "dsc")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c AS (SELECT node anc, node AS dsc, 0 AS depth FROM e UNION ALL SELECT e.parent, c.dsc, c.depth + 1 FROM c JOIN e ON e.node = c.anc WHERE e.parent IS NOT NULL) SELECT x.dsc AS a, y.dsc AS b, arg_min(x.anc, x.depth) AS lca, CAST(min(x.depth + y.depth) AS BIGINT) AS steps FROM c x JOIN c y ON x.anc = y.anc WHERE x.dsc < y.dsc GROUP BY 1, 2")
+def tree_lca(spark, sf):
+    t = SpeciesTree.read(TREE)
+    rows = [(a, b, t.lca(a, b), len(t.path(a, b)) - 1) for a in t.ord for b in t.ord if a < b]
+    return spark.createDataFrame(rows, "a string, b string, lca string, steps long")
+
+
+@query("SELECT * FROM " + values("('A1','A1,A3'),('=A1','A1'),('\\A3','A0,A1,A3'),('/A1','A0,A2'),('A0,_=A0','A1,A2,A3')", "target, found"))
+def targets_ancestor(spark, sf):
+    t = SpeciesTree.read(TREE)
+    return spark.createDataFrame([(x, ",".join(sorted(t.ancestor_targets(x)))) for x in ("A1", "=A1", "\\A3", "/A1", "A0,_=A0")], "target string, found string")
+
+
+@query("SELECT * FROM " + values("('A1','M1,M2,M3'),('/A1','M4,M5'),('A0,_A2','M1,M2,M3'),('=M1,/A3','M1,M3,M4,M5'),('A0,_=M2,_/A1','M1,M3')", "target, found"))
+def targets_species(spark, sf):
+    t = SpeciesTree.read(TREE)
+    return spark.createDataFrame([(x, ",".join(sorted(t.species_targets(x)))) for x in ("A1", "/A1", "A0,_A2", "=M1,/A3", "A0,_=M2,_/A1")], "target string, found string")
+
+
+@query("SELECT * FROM " + values("('M1','M2','A3'),('M1','M3','A3,A1'),('M2','M3','A3,A1'),('M1','M4','A3,A1,A0,A2'),('M1','M5','A3,A1,A0,A2'),('M2','M4','A3,A1,A0,A2'),('M2','M5','A3,A1,A0,A2'),('M3','M4','A1,A0,A2'),('M3','M5','A1,A0,A2'),('M4','M5','A2')", "a, b, inner_path"))
+def species_pair_paths(spark, sf):
+    t = SpeciesTree.read(TREE)
+    return spark.createDataFrame([(a, b, ",".join(t.path(a, b)[1:-1])) for a in t.species for b in t.species if a < b], "a string, b string, inner_path string")
+
+
+HIERARCHY = """e AS (SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+c AS (SELECT node anc, node AS dsc, 0 AS depth FROM e UNION ALL SELECT e.parent, c.dsc, c.depth + 1 FROM c JOIN e ON e.node = c.anc WHERE e.parent IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {HIERARCHY} SELECT anc, count(*) AS n FROM c JOIN orders ON dsc = 'c' || o_custkey GROUP BY anc")
+def subtree_totals(spark, sf):
+    r, n, c = (table(spark, sf, t) for t in ("region", "nation", "customer"))
+    tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    edges = r.select(tag("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent")).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey"))).union(c.select(tag("c", "c_custkey"), tag("n", "c_nationkey")))
+    counts = table(spark, sf, "orders").groupBy(tag("c", "o_custkey").alias("desc")).agg(F.count("*").alias("n"))
+    return closure_of(edges, "hierarchy_edges").join(counts, "desc").groupBy("anc").agg(F.sum("n").alias("n"))
+
+
+# Statistics
+
+
+@query(f"WITH {BLOCKS}, t AS (SELECT nation, n, sum(n) OVER (PARTITION BY nation ORDER BY n DESC ROWS UNBOUNDED PRECEDING) up, sum(n) OVER (PARTITION BY nation) al FROM bl) SELECT nation, max(n) AS n50 FROM t WHERE up >= al * 50 / 100.0 GROUP BY nation")
+def nx_by_group(spark, sf):
+    return stats.nx(blocks(spark, sf), ["nation"], "n", 50, "n50")
+
+
+@query(f"""WITH {BLOCKS}, t AS (SELECT nation, list_sort(list(n)) v, count(*) k, sum(n * n) / sum(n) wa, avg(n) mean, stddev_pop(n) sd FROM bl GROUP BY nation)
+SELECT nation, v[1 + CAST(floor(25 * (k - 1) / 100) AS INTEGER)] q25, v[1 + CAST(floor(50 * (k - 1) / 100) AS INTEGER)] q50, v[1 + CAST(floor(75 * (k - 1) / 100) AS INTEGER)] q75, round(wa, 6) wa, round(mean, 6) mean, round(sd, 6) sd, k AS n FROM t""")
+def quantile_summary(spark, sf):
+    s = stats.summary(blocks(spark, sf), ["nation"], "n")
+    return s.select("nation", "q25", "q50", "q75", *[F.round(c, 6).alias(c) for c in ("wa", "mean", "sd")], "n")
+
+
+@query("SELECT CAST(l_quantity AS BIGINT) AS v, count(*) AS n FROM lineitem GROUP BY 1")
+def value_histogram(spark, sf):
+    return stats.histogram(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("bigint").alias("v")), "v")
+
+
+@query("SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS wm FROM lineitem GROUP BY 1")
+def weighted_mean(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(stats.weighted_mean("l_discount", "l_quantity"), 6).alias("wm"))
+
+
+@query("SELECT l_linenumber, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def correlation(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+
+
+BEST = """c AS (SELECT l_orderkey % 4 AS anc, 1 AS ord, l_orderkey AS block, count(*) n FROM lineitem GROUP BY 1, 2, 3 UNION ALL SELECT l_orderkey % 4, 2, l_orderkey * 10 + l_linenumber % 2, count(*) FROM lineitem GROUP BY 1, 2, 3),
+t AS (SELECT anc, ord, n, sum(n) OVER (PARTITION BY anc, ord ORDER BY n DESC ROWS UNBOUNDED PRECEDING) up, sum(n) OVER (PARTITION BY anc, ord) al FROM c),
+x AS (SELECT anc, ord, max(n) n50 FROM t WHERE up >= al * 50 / 100.0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BEST} SELECT anc, 'c' || ord AS candidate, n50 FROM x QUALIFY row_number() OVER (PARTITION BY anc ORDER BY n50 DESC, ord) = 1")
+def best_reconstruction(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("anc", F.col("l_orderkey") % 4)
+    one = lines.groupBy("anc", F.col("l_orderkey").alias("block")).agg(F.count("*").alias("n")).withColumns({"candidate_ord": F.lit(1), "candidate": F.lit("c1")})
+    two = lines.groupBy("anc", (F.col("l_orderkey") * 10 + F.col("l_linenumber") % 2).alias("block")).agg(F.count("*").alias("n")).withColumns({"candidate_ord": F.lit(2), "candidate": F.lit("c2")})
+    return stats.best_reconstruction(one.unionByName(two))
+
+
+ORTHOS12 = GENES + ", x AS (SELECT chrom % 6 AS c1, pkey FROM g WHERE sp = 1), y AS (SELECT chrom % 7 AS c2, pkey FROM g WHERE sp = 2), oo AS (SELECT c1, c2 FROM x JOIN y USING (pkey))"
+
+
+def _chrom_pairs(spark, sf):
+    g = genes(spark, sf)
+    return g.where("sp = 1").select((F.col("chrom") % 6).alias("c1"), "pkey").join(g.where("sp = 2").select((F.col("chrom") % 7).alias("c2"), "pkey"), "pkey").select("c1", "c2")
+
+
+@query(f"WITH {ORTHOS12} SELECT c1, " + ", ".join(f"count(*) FILTER (c2 = {k}) AS c{k}" for k in range(7)) + " FROM oo GROUP BY c1")
+def ortholog_count_matrix(spark, sf):
+    return stats.count_matrix(_chrom_pairs(spark, sf), "c1", "c2", range(7))
+
+
+@query(f"WITH {ORTHOS12}, n AS (SELECT c1, c2, count(*) cnt FROM oo GROUP BY 1, 2), t AS (SELECT *, sum(cnt) OVER (PARTITION BY c1 ORDER BY cnt DESC, c2 DESC ROWS UNBOUNDED PRECEDING) cum, sum(cnt) OVER (PARTITION BY c1) al FROM n) SELECT c1, c2, cnt FROM t WHERE cum - cnt < al * 90 / 100.0")
+def dominant_homolog(spark, sf):
+    return stats.dominant(_chrom_pairs(spark, sf), "c1", "c2", 90)
+
+
+@query("SELECT lang, letters, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[acgt]')) AS letters FROM documents) GROUP BY 1, 2")
+def composition(spark, sf):
+    return stats.composition(table(spark, sf, "documents"), ["lang"], "text", "acgt")
+
+
+@query("SELECT lang, x || y AS letters, CAST(sum(len(regexp_extract_all(replace(lower(text), x || y, chr(1) || x || y), chr(1)))) AS BIGINT) AS n FROM documents, (VALUES ('a'),('c'),('g'),('t')) p(x), (VALUES ('a'),('c'),('g'),('t')) q(y) WHERE x <> y GROUP BY 1, 2 HAVING n > 0")
+def pair_composition(spark, sf):
+    """Pairs of unlike letters, which can't overlap themselves."""
+    return stats.composition(table(spark, sf, "documents"), ["lang"], "text", "acgt", 2).where(F.substring("letters", 1, 1) != F.substring("letters", 2, 1))
+
+
+@query("""WITH s AS (SELECT l_suppkey % 50 AS s, l_linenumber % 2 AS side, l_partkey % 200 AS f FROM lineitem GROUP BY ALL), a AS (SELECT s, f FROM s WHERE side = 0), b AS (SELECT s, f FROM s WHERE side = 1),
+i AS (SELECT s, count(*) k FROM a JOIN b USING (s, f) GROUP BY s), u AS (SELECT s, count(DISTINCT f) k FROM s GROUP BY s) SELECT u.s AS s, round(coalesce(i.k, 0) / u.k, 6) AS score FROM u LEFT JOIN i ON i.s = u.s""")
+def jaccard_children(spark, sf):
+    lines = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("s"), (F.col("l_linenumber") % 2).alias("side"), (F.col("l_partkey") % 200).alias("f"))
+    sets = lines.groupBy("s").agg(F.collect_set(F.when(F.col("side") == 0, F.col("f"))).alias("x"), F.collect_set(F.when(F.col("side") == 1, F.col("f"))).alias("y"))
+    return sets.select("s", F.round(stats.jaccard("x", "y"), 6).alias("score"))
+
+
+@query(f"WITH {GENES} SELECT fam, count(DISTINCT sp) AS species, count(*) AS genes, count(DISTINCT sp) >= 0.9 * 5 AND count(*) <= 1.1 * count(DISTINCT sp) * 60 AS kept FROM g GROUP BY fam")
+def size_filter_measures(spark, sf):
+    g = genes(spark, sf).groupBy("fam").agg(F.countDistinct("sp").alias("species"), F.count("*").alias("genes"))
+    return g.withColumn("kept", (F.col("species") >= 0.9 * 5) & (F.col("genes") <= F.lit(1.1) * F.col("species") * 60))
+
+
+# Order
+
+
+RUNS = GENES + """, x AS (SELECT fam, min(chrom * 100 + pos) p, arg_min(strand, chrom * 100 + pos) s FROM g WHERE sp = 1 GROUP BY fam), y AS (SELECT fam, min(chrom * 100 + pos) p, arg_min(strand, chrom * 100 + pos) s FROM g WHERE sp = 2 GROUP BY fam),
+z AS (SELECT row_number() OVER (ORDER BY x.p) i1, x.s s1, row_number() OVER (ORDER BY y.p) i2, y.s s2 FROM x JOIN y USING (fam)),
+t AS (SELECT *, CASE WHEN i2 = lag(i2) OVER w + lag(s1) OVER w * lag(s2) OVER w AND lag(s1) OVER w * s1 = lag(s2) OVER w * s2 THEN 0 ELSE 1 END nw FROM z WINDOW w AS (ORDER BY i1)),
+k AS (SELECT *, sum(nw) OVER (ORDER BY i1 ROWS UNBOUNDED PRECEDING) run FROM t)"""
+
+
+@query(f"WITH {RUNS} SELECT CAST(run AS BIGINT) AS run, count(*) AS len, min(i1) AS first1, min(i2) AS low2 FROM k GROUP BY run")
+def collinear_runs(spark, sf):
+    g = genes(spark, sf).withColumn("p", F.col("chrom") * 100 + F.col("pos"))
+    first = lambda sp, p, s: g.where(F.col("sp") == sp).groupBy("fam").agg(F.min("p").alias(p), F.min_by("strand", "p").alias(s))
+    both = first(1, "p1", "s1").join(first(2, "p2", "s2"), "fam")  # at most a row for each of 200 families
+    points = both.select(F.lit(1).alias("c1"), F.lit(1).alias("c2"), "s1", "s2", F.row_number().over(W.orderBy("p1")).alias("i1"), F.row_number().over(W.orderBy("p2")).alias("i2"))
+    return windows.collinear_runs(points, ["c1"]).groupBy("run").agg(F.count("*").alias("len"), F.min("i1").cast("bigint").alias("first1"), F.min("i2").cast("bigint").alias("low2"))
+
+
+DEDUPE = "d AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)"
+
+
+@query(f"WITH {DEDUPE} SELECT user_id, event_id, event_type FROM d WHERE was IS NULL OR was <> event_type")
+def run_dedupe(spark, sf):
+    return windows.dedupe_runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+@query(f"""WITH {GENES}, e AS (SELECT chrom, arg_min(fam, pos) f0, arg_min(strand, pos) s0, arg_max(fam, pos) f1, arg_max(strand, pos) s1 FROM g GROUP BY chrom)
+SELECT chrom, 'left' AS side, f0 AS id, s0 AS s, 1 AS direction FROM e UNION ALL SELECT chrom, 'right', f1, s1, 1 FROM e UNION ALL SELECT chrom, 'left', f1, -s1, -1 FROM e UNION ALL SELECT chrom, 'right', f0, -s0, -1 FROM e""")
+def block_extremities(spark, sf):
+    return windows.extremities(genes(spark, sf), "chrom", ["pos"], "fam", "strand")
+
+
+@query("WITH t AS (SELECT o_custkey, o_totalprice >= lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) ok FROM orders) SELECT o_custkey, coalesce(bool_and(ok), true) AS sorted FROM t GROUP BY 1")
+def sorted_check(spark, sf):
+    return windows.is_sorted(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice")
+
+
+@query("WITH t AS (SELECT user_id, event_id, event_type, ts, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END nw FROM events), k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) run FROM t) SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1 AS place FROM k")
+def run_offsets(spark, sf):
+    return windows.run_offset(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", "place").select("event_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM part")
+def natural_sort(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", fc.natural_key(F.col("p_name")).alias("key"))
+
+
+# Blocks
+
+
+@query(f"WITH {BLOCKS} SELECT nation, block, CASE WHEN n >= 10 THEN n ELSE 0 END AS n FROM bl")
+def block_filter_fixed(spark, sf):
+    return filters.filter_blocks_fixed(blocks(spark, sf), 10).select("nation", "block", "n")
+
+
+@query(f"WITH {BLOCKS}, t AS (SELECT nation, n, sum(n) OVER (PARTITION BY nation ORDER BY n DESC ROWS UNBOUNDED PRECEDING) up, sum(n) OVER (PARTITION BY nation) al FROM bl), k AS (SELECT nation, max(n) cut FROM t WHERE up >= al * 50 / 100.0 GROUP BY nation) SELECT nation, block, CASE WHEN n >= cut THEN n ELSE 0 END AS n FROM bl JOIN k USING (nation)")
+def block_filter_prop(spark, sf):
+    return filters.filter_blocks_proportional(blocks(spark, sf), 50, ["nation"]).select("nation", "block", "n")
+
+
+def _gene_blocks(spark, sf) -> DataFrame:
+    """anc, block_id, n, ids, strands, support: a customer's orders in the order of their keys."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("block_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("anc"), F.col("c_custkey").alias("block_id"))
+    b = o.join(c, "block_id")
+    strand = F.transform("ids", lambda k: F.when(k % 2 == 0, 1).otherwise(-1))
+    return b.select("anc", "block_id", F.size("ids").alias("n"), "ids", strand.alias("strands"), F.transform(F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))), lambda k: (k % 9).cast("string")).alias("support"))
+
+
+CUST = "x AS (SELECT c_nationkey AS nation, o_custkey AS cust, o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS s, CASE WHEN o_custkey % 3 = 0 THEN -1 ELSE 1 END AS dir FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+@query(f"WITH {CUST} SELECT CAST(nation AS VARCHAR) AS anc, count(*) AS n, array_to_string(list(CAST(k AS VARCHAR) ORDER BY cust, k * dir), ' ') AS ids, array_to_string(list(CAST(s * dir AS VARCHAR) ORDER BY cust, k * dir), ' ') AS strands FROM x GROUP BY nation")
+def blocks_of_blocks_expand(spark, sf):
+    inner = _gene_blocks(spark, sf)
+    outer = inner.groupBy("anc").agg(F.sort_array(F.collect_list("block_id")).alias("ids")).select("anc", F.lit(1).alias("block_id"), "ids", F.transform("ids", lambda c: F.when(c % 3 == 0, -1).otherwise(1)).alias("strands"), F.transform("ids", lambda c: F.lit("1")).alias("support"))
+    out = joins.expand_blocks(outer, inner)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return out.select("anc", F.col("n").cast("bigint").alias("n"), text("ids"), text("strands"))
+
+
+@query(f"WITH {CUST}, h AS (SELECT nation, cust, count(*) n FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w k, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nation ORDER BY n DESC, cust ROWS UNBOUNDED PRECEDING) s FROM h WINDOW w AS (PARTITION BY nation ORDER BY n DESC, cust)) SELECT CAST(nation AS VARCHAR) AS anc, CASE WHEN r.n = 1 THEN 'singleton_' || CAST(r.s AS BIGINT) ELSE 'CAR_' || CAST(r.k - r.s AS BIGINT) END AS block, row_number() OVER (PARTITION BY cust ORDER BY x.k) - 1 AS beg, x.s AS strand, x.k AS gene FROM x JOIN r USING (nation, cust)")
+def publish_blocks(spark, sf):
+    out = joins.publish(_gene_blocks(spark, sf), by_size=True)
+    return out.select("anc", "block", F.col("beg").cast("bigint").alias("beg"), "strand", F.col("fam_idx").alias("gene"))
+
+
+@query(f"WITH {WEIGHT} SELECT a, sa, b, sb, weight FROM r WHERE weight > 0 UNION SELECT b, -sb, a, -sa, weight FROM r WHERE weight > 0")
+def mirror_union(spark, sf):
+    return evidence.mirrored(_adjacency(spark, sf).withColumn("anc", F.lit("A0"))).drop("anc")
+
+
+@query(f"WITH {PAIRS} SELECT DISTINCT a, sa, b, sb FROM c WHERE sp = 1 INTERSECT SELECT a, sa, b, sb FROM c WHERE sp = 2")
+def pair_intersection(spark, sf):
+    pairs = windows.canonical(windows.adjacent_pairs(genes(spark, sf), ["sp", "chrom"]), ["sp"])
+    return pairs.where("sp = 1").drop("sp").intersect(pairs.where("sp = 2").drop("sp"))
+
+
+@query(f"WITH {WEIGHT} SELECT DISTINCT pkey % 1000 AS id FROM g WHERE pkey % 1000 NOT IN (SELECT a FROM r WHERE weight > 1 UNION SELECT b FROM r WHERE weight > 1)")
+def unused_genes(spark, sf):
+    used = _adjacency(spark, sf).where("weight > 1")
+    ids = used.select(F.col("a").alias("id")).union(used.select("b"))
+    return genes(spark, sf).select((F.col("pkey") % 1000).alias("id")).distinct().join(ids, "id", "left_anti")
+
+
+@query(f"WITH {WEIGHT}, gap AS (SELECT fam AS f, strand AS s, chrom % 3 AS w FROM g WHERE sp = 3 AND pos = 1) SELECT DISTINCT f, s, w, b, sb, weight, CASE WHEN w <> 0 THEN weight / w ELSE weight END AS score FROM gap JOIN r ON r.a = f AND r.sa = s AND r.weight > w")
+def insertion_candidates(spark, sf):
+    gap = genes(spark, sf).where("sp = 3 and pos = 1").select(F.col("fam").alias("f"), F.col("strand").alias("s"), (F.col("chrom") % 3).alias("w"))
+    r = _adjacency(spark, sf)
+    select = F.expr("case when w <> 0 then weight / w else weight end").cast("double")
+    return gap.join(r, (F.col("a") == F.col("f")) & (F.col("sa") == F.col("s")) & (F.col("weight") > F.col("w"))).select("f", "s", "w", "b", "sb", "weight", select.alias("score")).distinct()
+
+
+@query("SELECT * FROM " + values("('D','Y'),('S','M1'),('B','0.9')", "k, v"))
+def nhx_tags(spark, sf):
+    return spark.createDataFrame([("D=Y:S=M1:DD:B=0.9",)], "c string").select(F.explode(fc.nhx_tags(F.col("c"))).alias("k", "v"))
+
+
+@query("SELECT i, '.' || CASE WHEN i <= 26 THEN chr(CAST(96 + i AS INTEGER)) WHEN i <= 702 THEN chr(CAST(96 + (i - 1) % 26 AS INTEGER)) || chr(CAST(97 + (i - 1) // 26 AS INTEGER)) END AS suffix FROM range(1, 600) t(i)")
+def tandem_repeat_suffix(spark, sf):
+    from synteny_spark.functions.numbers import duplication_suffix
+
+    return spark.createDataFrame([(i, duplication_suffix(i)) for i in range(1, 600)], "i long, suffix string")
+
+
+# Comparison of genomes
+
+
+@query(f"""WITH {GENES}, x AS (SELECT chrom, pkey, row_number() OVER (ORDER BY chrom, pos) AS k FROM g WHERE sp = 1), y AS (SELECT chrom, pkey, row_number() OVER (ORDER BY chrom, pos) AS k FROM g WHERE sp = 2)
+SELECT x.k AS x, y.k AS y, x.chrom AS c1, y.chrom AS c2 FROM x JOIN y USING (pkey)""")
+def dotplot_coordinates(spark, sf):
+    from synteny_spark.operators.compare import dotplot
+
+    g = genes(spark, sf).select("sp", "chrom", "pos", F.col("pkey").alias("name"))
+    return dotplot(g.where("sp = 1"), g.where("sp = 2"))
+
+
+@query(f"WITH {GENES}, y AS (SELECT pkey, min(chrom) c2 FROM g WHERE sp = 2 GROUP BY 1), sz AS (SELECT chrom, rank() OVER (ORDER BY count(*) DESC, chrom) rk FROM g WHERE sp = 2 GROUP BY chrom) SELECT g.chrom AS chrom, g.pos AS pos, y.c2 AS c2, sz.rk AS rank FROM g JOIN y USING (pkey) JOIN sz ON sz.chrom = y.c2 WHERE g.sp = 1")
+def karyotype_rank(spark, sf):
+    from synteny_spark.operators.compare import karyotype
+
+    g = genes(spark, sf).select("sp", "chrom", "pos", F.col("pkey").alias("name"))
+    return karyotype(g.where("sp = 1"), g.where("sp = 2"))
+
+
+BIP = """b AS (SELECT DISTINCT 2 * (l_suppkey * 7919 + l_linenumber * 31 + l_partkey % 97) AS x, 2 * l_partkey + 1 AS y FROM lineitem WHERE l_partkey % 5 = 0 AND l_quantity < 4),
+u AS (SELECT x AS p, y AS q FROM b UNION SELECT y, x FROM b)"""
+COMP = "r(node, other) AS (SELECT p, q FROM u UNION SELECT r.node, u.q FROM r JOIN u ON u.p = r.other), k AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)"
+
+
+def _bipartite(spark, sf):
+    lines = table(spark, sf, "lineitem").where("l_partkey % 5 = 0 and l_quantity < 4")
+    return lines.select((2 * (F.col("l_suppkey") * 7919 + F.col("l_linenumber") * 31 + F.col("l_partkey") % 97)).alias("x"), (2 * F.col("l_partkey") + 1).alias("y")).distinct()
+
+
+@query(f"WITH RECURSIVE {BIP}, {COMP} SELECT node, component FROM k")
+def components(spark, sf):
+    from synteny_spark.operators.components import components as find
+
+    return find(_bipartite(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {BIP}, {COMP} SELECT component, count(*) FILTER (node % 2 = 0) AS n1, count(*) FILTER (node % 2 = 1) AS n2,
+CASE WHEN count(*) FILTER (node % 2 = 0) = 1 AND count(*) FILTER (node % 2 = 1) = 1 THEN '=' WHEN count(*) FILTER (node % 2 = 1) = 1 THEN '--' WHEN count(*) FILTER (node % 2 = 0) = 1 THEN '++' ELSE '**' END AS label FROM k GROUP BY component""")
+def gene_diff(spark, sf):
+    from synteny_spark.operators.compare import gene_diff as find
+
+    return find(_bipartite(spark, sf).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
