@@ -75,7 +75,7 @@ def best_reconstruction(blocks: DataFrame) -> DataFrame:
 def count_matrix(pairs: DataFrame, row: str, column: str, columns: Sequence) -> DataFrame:
     """Ortholog counts of chromosomes against given chromosomes."""
     out = pairs.groupBy(row).pivot(column, list(columns)).agg(F.sum(F.lit(1)))
-    return out.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"c{c}") for c in columns])
+    return out.select(row, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"n{c}") for c in columns])
 
 
 def dominant(pairs: DataFrame, row: str, column: str, percent: float = 90.0) -> DataFrame:

@@ -322,7 +322,7 @@ def _chrom_pairs(spark, sf):
     return g.where("sp = 1").select((F.col("chrom") % 6).alias("c1"), "pkey").join(g.where("sp = 2").select((F.col("chrom") % 7).alias("c2"), "pkey"), "pkey").select("c1", "c2")
 
 
-@query(f"WITH {ORTHOS12} SELECT c1, " + ", ".join(f"count(*) FILTER (c2 = {k}) AS c{k}" for k in range(7)) + " FROM oo GROUP BY c1")
+@query(f"WITH {ORTHOS12} SELECT c1, " + ", ".join(f"count(*) FILTER (c2 = {k}) AS n{k}" for k in range(7)) + " FROM oo GROUP BY c1")
 def ortholog_count_matrix(spark, sf):
     return stats.count_matrix(_chrom_pairs(spark, sf), "c1", "c2", range(7))
 
@@ -525,3 +525,225 @@ def gene_diff(spark, sf):
     from synteny_spark.operators.compare import gene_diff as find
 
     return find(_bipartite(spark, sf).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
+
+
+# Reconstruction: kernels, each reduced to what SQL can check
+
+
+def _adj(spark, sf) -> DataFrame:
+    return _adjacency(spark, sf).select(F.lit("A0").alias("anc"), *[F.col(c).cast("int").alias(c) for c in ("a", "sa", "b", "sb")], "weight")
+
+
+def _universe(spark, sf) -> DataFrame:
+    return genes(spark, sf).select(F.lit("A0").alias("anc"), F.col("fam").cast("int").alias("id")).distinct()
+
+
+def _denovo(spark, sf) -> DataFrame:
+    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.linear import denovo
+
+    return checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 1, True))
+
+
+def _times(blocks: DataFrame) -> DataFrame:
+    """How often each id is in a block."""
+    return blocks.select(F.explode("ids").alias("id")).groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count("*").alias("times"))
+
+
+def _flat(blocks: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return blocks.select("anc", F.col("n").cast("bigint").alias("n"), text("ids"), text("strands"), text("support"))
+
+
+@query(f"""WITH {WEIGHT}, k AS (SELECT * FROM r WHERE weight > 0) SELECT (SELECT count(*) FROM k) AS edges, (SELECT max(weight) FROM k) AS heaviest, CAST(0 AS BIGINT) AS forks, true AS whole""")
+def linear_forest(spark, sf):
+    """All edges get a verdict, the heaviest is accepted, no end is taken twice and accepted edges are fewer than their nodes."""
+    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.linear import forest_edges
+
+    e = checkpointed(forest_edges(_adj(spark, sf), 1))
+    kept = e.where("verdict = 'accepted'")
+    ends = kept.select("a", F.col("sa").alias("s")).union(kept.select("b", -F.col("sb")))
+    forks = ends.groupBy("a", "s").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("forks"))
+    nodes = ends.agg(F.countDistinct("a").alias("nodes"))
+    counts = e.agg(F.count("*").alias("edges"), F.max(F.when(F.col("verdict") == "accepted", F.col("weight"))).alias("heaviest"), F.count(F.when(F.col("verdict") == "accepted", 1)).alias("accepted"))
+    return counts.crossJoin(forks).crossJoin(nodes).select("edges", "heaviest", "forks", (F.col("accepted") < F.col("nodes")).alias("whole"))  # rows of one
+
+
+@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+def denovo_blocks(spark, sf):
+    """Every family is in one block, once."""
+    return _times(_denovo(spark, sf))
+
+
+HAND = {
+    "shortcut_removal": ([(0, 1, 2), (1, 2, 2), (0, 2, 3)], 3, "('A0',3,'0 1 2','1 1 1','2 2')"),
+    "linear_hand": ([(0, 1, 3), (1, 2, 2), (0, 2, 1)], 4, "('A0',3,'0 1 2','1 1 1','3 2'),('A0',1,'3','1','')"),
+}
+
+
+@query("SELECT anc, CAST(n AS BIGINT) n, ids, strands, support FROM " + values(HAND["shortcut_removal"][2], "anc, n, ids, strands, support"))
+def shortcut_removal(spark, sf):
+    return _hand(spark, "shortcut_removal", True)
+
+
+@query("SELECT anc, CAST(n AS BIGINT) n, ids, strands, support FROM " + values(HAND["linear_hand"][2], "anc, n, ids, strands, support"))
+def linear_hand(spark, sf):
+    return _hand(spark, "linear_hand", False)
+
+
+def _hand(spark, name, shortcuts):
+    from synteny_spark.operators.linear import denovo
+
+    edges, n, _ = HAND[name]
+    adj = spark.createDataFrame([("A0", a, 1, b, 1, w) for a, b, w in edges], "anc string, a int, sa int, b int, sb int, weight long")
+    return _flat(denovo(adj, spark.range(n).select(F.lit("A0").alias("anc"), F.col("id").cast("int").alias("id")), 1, shortcuts))
+
+
+@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+def fusion(spark, sf):
+    from synteny_spark.operators.linear import fusion as fuse
+
+    out = fuse(_denovo(spark, sf), _adj(spark, sf), _universe(spark, sf), only_singletons=False)
+    return _times(out)
+
+
+@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+def fill_in(spark, sf):
+    """Blocks of heavy edges, filled with singletons along the lighter ones: no gene is lost or used twice."""
+    from synteny_spark.operators.linear import denovo
+    from synteny_spark.operators.recon import fill_in as fill
+
+    adj = _adj(spark, sf)
+    out = fill(denovo(adj, _universe(spark, sf), 3), adj, _universe(spark, sf))
+    return _times(out)
+
+
+@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+def insertion(spark, sf):
+    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.linear import denovo
+    from synteny_spark.operators.recon import insertion as insert
+
+    adj = _adj(spark, sf)
+    heavy = checkpointed(denovo(adj, _universe(spark, sf), 3))
+    out = insert(heavy, heavy, adj)
+    return _times(out)
+
+
+def _support(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Blocks and the species' support of adjacencies between them, by diagonals of at least one gene."""
+    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.diagonals import adjacency_evidence
+    from synteny_spark.operators.linear import denovo
+
+    built = checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 3))
+    g = genes(spark, sf)
+    species = g.select(F.concat(F.lit("M"), "sp").alias("species")).distinct()
+    extant = g.select(F.lit("A0").alias("anc"), F.concat(F.lit("M"), "sp").alias("species"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").alias("idx"), F.col("fam").cast("int").alias("fam"), "strand")
+    rows = built.select("anc", "block_id", F.posexplode(F.arrays_zip("ids", "strands")).alias("idx", "x")).select("anc", "block_id", "idx", F.col("x.ids").alias("fam"), F.col("x.strands").alias("strand"))
+    return built, checkpointed(adjacency_evidence(extant, rows.crossJoin(F.broadcast(species)), 1))  # five species
+
+
+@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+def scaffolds(spark, sf):
+    from itertools import combinations
+
+    from synteny_spark.operators.diagonals import scaffold_edges
+    from synteny_spark.operators.diagonals import scaffolds as build
+
+    built, seen = _support(spark, sf)
+    tree = SpeciesTree.read(TREE)
+    pairs = [(a, x, y) for x, y in combinations(tree.species, 2) for a in tree.path(x, y)[1:-1]]
+    out = build(built, scaffold_edges(seen, spark.createDataFrame(pairs, "anc string, e1 string, e2 string")))
+    return _times(out)
+
+
+@query()
+def block_adjacencies(spark, sf):
+    from synteny_spark.operators.diagonals import adjacency_weights
+
+    return adjacency_weights(_support(spark, sf)[1], SpeciesTree.read(TREE).groups(spark))
+
+
+# Gene trees, made from part ids: a family of each part, with a gene in each species that a digit names
+
+
+def _forest(spark, sf) -> DataFrame:
+    """A tree (((M1,M2)A3,M3)A1,(M4,M5)A2)A0 for each part; every third has a duplication above M1 and M2, every fifth lacks M4."""
+    nodes = [("A0", None, 0, 0), ("A1", "A0", 0, 0), ("A2", "A0", 1, 0), ("A3", "A1", 0, 0), ("M3", "A1", 1, 1), ("M4", "A2", 0, 1), ("M5", "A2", 1, 1), ("M1", "A3", 0, 1), ("M2", "A3", 1, 1)]
+    number = {n: i for i, (n, *_) in enumerate(nodes)}
+    rows = [(number[n], number.get(p), o, n, leaf == 1) for n, p, o, leaf in nodes]
+    shape = spark.createDataFrame(rows, "node_id int, parent_id int, child_ord int, taxon string, leaf boolean")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("tree_id"))
+    t = parts.crossJoin(F.broadcast(shape)).where("not (tree_id % 5 = 0 and taxon = 'M4')")  # nine rows
+    dup = F.when((F.col("tree_id") % 3 == 0) & (F.col("taxon") == "A3"), 2).otherwise(0).alias("dup")
+    gene = F.when(F.col("leaf"), F.concat("taxon", F.lit("_"), "tree_id")).alias("gene_name")
+    return t.select("tree_id", "node_id", "parent_id", "child_ord", F.lit(1.0).alias("branch_len"), "taxon", dup, gene, F.concat(F.lit("Fam"), "tree_id").alias("tree_name"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT anc, sum(m) AS genes, count(*) AS families FROM (
+SELECT 'A0' AS anc, CASE WHEN k % 5 = 0 THEN 4 ELSE 5 END AS m FROM p UNION ALL SELECT 'A1', 3 FROM p UNION ALL SELECT 'A2', CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END FROM p UNION ALL SELECT 'A3', 2 FROM p WHERE k % 3 <> 0
+UNION ALL SELECT 'A3', 1 FROM p WHERE k % 3 = 0 UNION ALL SELECT 'A3', 1 FROM p WHERE k % 3 = 0 UNION ALL SELECT 'M' || s, 1 FROM p, range(1, 6) t(s) WHERE NOT (k % 5 = 0 AND s = 4)) GROUP BY anc""")
+def family_extraction(spark, sf):
+    from synteny_spark.operators.genetrees import extract_families
+
+    f = extract_families(_forest(spark, sf), SpeciesTree.read(TREE))
+    return f.groupBy("anc").agg(F.sum(F.size("members")).alias("genes"), F.count("*").alias("families"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT 'A0' AS anc, k, CAST(5 AS BIGINT) AS genes FROM p WHERE k % 5 <> 0 AND k % 3 <> 0 UNION ALL SELECT 'A1', k, 3 FROM p WHERE k % 3 <> 0 UNION ALL SELECT 'A2', k, 2 FROM p WHERE k % 5 <> 0""")
+def family_filter(spark, sf):
+    """Families of all species below their ancestor, once each. Parts without a gene of M4 lose A0 and A2; those whose A3 family
+    split lose its halves, and so A1 and A0."""
+    from synteny_spark.operators.genetrees import extract_families
+    from synteny_spark.operators.genetrees import filter_families as keep
+
+    tree = SpeciesTree.read(TREE)
+    f = keep(extract_families(_forest(spark, sf), tree), tree, 1.0, 1.0)
+    return f.where("anc in ('A0', 'A1', 'A2') and size(members) > 0").select("anc", F.regexp_extract("name", "^Fam([0-9]+)", 1).cast("bigint").alias("k"), F.size("members").cast("bigint").alias("genes"))
+
+
+def _edit(spark, sf, edit) -> DataFrame:
+    from synteny_spark.operators.genetrees import edited
+
+    return edited(_forest(spark, sf), edit)
+
+
+@query()
+def tree_compact(spark, sf):
+    from synteny_spark.operators.genetrees import compact
+
+    return _edit(spark, sf, compact)
+
+
+@query()
+def tree_rename(spark, sf):
+    from synteny_spark.operators.genetrees import rename
+
+    tree = SpeciesTree.read(TREE)
+    return _edit(spark, sf, lambda t: rename(t, tree))
+
+
+@query()
+def tree_flatten(spark, sf):
+    from synteny_spark.operators.genetrees import flatten
+
+    tree = SpeciesTree.read(TREE)
+    return _edit(spark, sf, lambda t: flatten(t, tree))
+
+
+@query()
+def tree_rebuild(spark, sf):
+    from synteny_spark.operators.genetrees import flatten, rebuild
+
+    tree = SpeciesTree.read(TREE)
+    return _edit(spark, sf, lambda t: (flatten(t, tree), rebuild(t, tree, lambda *_: False)))
+
+
+@query()
+def duplication_edit(spark, sf):
+    from synteny_spark.operators.genetrees import edit_duplications
+
+    tree = SpeciesTree.read(TREE)
+    return _edit(spark, sf, lambda t: edit_duplications(t, tree, 0.3))
