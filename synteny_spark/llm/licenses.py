@@ -9,8 +9,8 @@ A template of n words can reach the least coverage only with some of any k of it
 lack; its k longest words point to the places in a text where it is aligned, and texts with none of them are passed over. Words
 are lower-cased runs of letters and digits; spans are in code points, the end exclusive.
 
-Null texts count as empty. A finding inside a longer one is left out, and so is one of two equal spans of less coverage (of equal
-coverage: the later name). Repeated rows give repeated results; an empty table gives an empty result.
+Null texts count as empty. A finding inside a longer one is left out, and so is that of two equal spans with fewer aligned words (of
+as many: the later name). Repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,12 +137,12 @@ class Scanner:
             for minus, first, end in sorted(fits):  # the best alignments that share no word
                 if all(end <= a or b <= first for a, b in taken):
                     taken.append((first, end))
-                    found.append((at[first][0], -at[end - 1][1], minus / n, name))
+                    found.append((at[first][0], -at[end - 1][1], minus, name))
         out, reach = [], -1
-        for start, minus_end, minus_coverage, name in sorted(found):
+        for start, minus_end, minus_words, name in sorted(found):
             if -minus_end > reach:
                 reach = -minus_end
-                out.append((name, -minus_coverage, start, reach))
+                out.append((name, -minus_words / len(self.templates[name]), start, reach))
         return out
 
 
