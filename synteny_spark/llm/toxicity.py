@@ -4,7 +4,7 @@ Terms are a text's distinct lower-cased words and the first four and five letter
 model has a weight for each bucket and a vector for each, whose products are the weights of pairs: an insult beside a mention of
 a group may so count for more than both alone.
 
-It is fitted on at most PER_LABEL rows of either label, those of the least hashed ids; what is counted over them is counted on
+It is fitted on at most PER_LABEL rows of either label, those of the least hashed ids, of equal texts on one; what is counted over them is counted on
 the executors, and the driver gets at most TERMS buckets and their presence in these rows. Every row of any size is scored, over
 its whole text. Without both labels to learn from, each text scores the smoothed share of label 1.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from synteny_spark.llm.common import cut, per_text, texts
 
 #: The fit's bounds: rows of either label, buckets, rows that have a bucket at least, evidence for a bucket at least.
-PER_LABEL, TERMS, LEAST_ROWS, LEAST_G2 = 5000, 4096, 4, 16.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.05, 2e-4
+PER_LABEL, TERMS, LEAST_ROWS, LEAST_G2 = 5000, 4096, 4, 24.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.05, 5e-5
 THRESHOLD = 0.7
 BUCKETS = 1 << 40
 EDGES = ".,;:!?\"'()[]{}<>«»¡¿*#$%&|-_"
@@ -122,7 +122,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
 
 
 def learned(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Machine:
-    rows = labelled(texts(docs, id_col, text_col), labels, label_col, per_label).dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    rows = labelled(texts(docs, id_col, text_col), labels, label_col, per_label).withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).select("doc_id", "y", "text")
     rows = cut(per_text(rows, lambda: lambda batch, t=Terms(): [(t.of(x),) for x in batch], "terms array<long>", ("doc_id", "y")))
     n0, n1 = (rows.where(F.col("y") == y).count() for y in (0, 1))
     seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_ROWS)
