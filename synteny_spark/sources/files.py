@@ -80,7 +80,7 @@ def sniff(first: str) -> str:
         return "grimm"
     if len(c) == 1:
         return "families"
-    if len(c) == 2 and set(c[1].replace(" ", "")) - set("01-"):
+    if len(c) == 2 and set(c[1]) - set("01-"):
         return "chromosome_names"
     if len(c) >= 5 and " " not in c[3] and c[4]:
         return "genes"
