@@ -17,11 +17,12 @@ from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from synteny_spark.llm.common import per_text, texts
 
-#: Rows by which rules are ordered; the bound of the sample.
-SAMPLE = 500
+#: Rows by which rules are ordered, and the bytes of each: the bounds of the sample.
+SAMPLE, SAMPLE_BYTES = 500, 1 << 16
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -113,20 +114,17 @@ RULES: dict[str, Callable[[Text], bool]] = {
 
 
 def measured(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sample: int = SAMPLE) -> list[tuple[list[float], list[bool]]]:
-    """Seconds and verdict of each rule, alone, on each row of the sample; texts stay on the executors."""
-
-    def run(batch: list[str]) -> list[tuple]:
-        out = []
-        for text in batch:
-            seconds, rejects = [], []
-            for rule in rules.values():
-                t, began = Text(text), time.perf_counter()
-                rejects.append(bool(rule(t)))
-                seconds.append(time.perf_counter() - began)
-            out.append((seconds, rejects))
-        return out
-
-    return [(r.seconds, r.rejects) for r in per_text(docs.limit(sample), lambda: run, "seconds array<double>, rejects array<boolean>").select("seconds", "rejects").collect()]
+    """Seconds and verdict of each rule, alone, on each text of the sample: the first rows at hand, of at most SAMPLE_BYTES each,
+    which the driver takes from as few partitions as hold them."""
+    out = []
+    for row in docs.where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample).collect():
+        seconds, rejects = [], []
+        for rule in rules.values():
+            t, began = Text(row.text), time.perf_counter()
+            rejects.append(bool(rule(t)))
+            seconds.append(time.perf_counter() - began)
+        out.append((seconds, rejects))
+    return out
 
 
 def ordered(rules: list[str], rows: list[tuple[list[float], list[bool]]]) -> list[str]:
