@@ -10,6 +10,7 @@ only save time. Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -107,7 +108,16 @@ class TrieBpe:
         return tuple(reversed(out))
 
     def encode_words(self, words: list[str]) -> None:
-        """Adds the words to the cache."""
+        """Adds the words to the cache. A trie has many nodes and no cycles, so the collector rests meanwhile."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            self._encode_words(words)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_words(self, words: list[str]) -> None:
         root: dict = {}
         for w in words:
             raw = w.encode("utf-8")
@@ -139,6 +149,15 @@ class TrieBpe:
             return self.WORDS.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
+    def split_piece(self, piece: str) -> list[str]:
+        """As split; the common shapes, a word and a word with one mark after it, are told without a pattern."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return [piece]
+        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+            return [piece[:-1], piece[-1]]
+        return self.split(piece)
+
     def encode_batch(self, batch: list[str]) -> list[list[int]]:
         """The ids of each text."""
         plans, pieces = [], set()
@@ -160,7 +179,7 @@ class TrieBpe:
             self.pieces.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        fresh = {p: self.split(p) for p in pieces if p not in self.pieces}
+        fresh = {p: self.split_piece(p) for p in pieces if p not in self.pieces}
         self.encode_words([w for w in set(chain.from_iterable(fresh.values())) if w not in self.words])
         words, known = self.words, self.pieces
         for p, parts in fresh.items():
