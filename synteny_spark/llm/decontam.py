@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,9 +168,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thresho
     for items in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(seeded(rows, items))
 
-        @F.pandas_udf("boolean")
-        def leaky(text: pd.Series) -> pd.Series:
-            return pd.Series([bool(sent.value.leaks(t or "", threshold)) for t in text], dtype=bool)  # noqa: B023
+        @F.arrow_udf("boolean")
+        def leaky(text: pa.Array) -> pa.Array:
+            return pa.array([bool(sent.value.leaks(t or "", threshold)) for t in text.to_pylist()], pa.bool_())  # noqa: B023
 
         out = out.where(~leaky(F.col(f"`{text_col}`").cast("string")))
     return out

@@ -15,7 +15,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,9 +144,9 @@ def mask(text: str, found: str) -> str:
 
 def masked(docs: DataFrame, text_col: str = "text", ledger: str | None = None) -> DataFrame:
     """docs, all columns, with secrets masked in the text and n_chars, if there is one, counted anew for texts that change."""
-    @F.pandas_udf("string")
-    def cover(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([mask(t, f) for t, f in zip(text, found)], dtype=object)
+    @F.arrow_udf("string")
+    def cover(text: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([mask(t, f) for t, f in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
     text = F.col(f"`{text_col}`")
     known = update_ledger(texts(docs.withColumn("doc_id", F.lit(0)), text_col=text_col), ledger)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +148,9 @@ def accepted(docs: DataFrame, machine: Machine, text_col: str = "text", threshol
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     held: dict = {}
 
-    @F.pandas_udf("double")
-    def score_of(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score_of(text: pa.Array) -> pa.Array:
         terms = held.setdefault("terms", Terms(sent.value.buckets))
-        return pd.Series(sent.value.scores([t or "" for t in text], terms), dtype="float64")
+        return pa.array(sent.value.scores([t or "" for t in text.to_pylist()], terms), pa.float64())
 
     return docs.where(score_of(F.col(f"`{text_col}`").cast("string")) < threshold)
