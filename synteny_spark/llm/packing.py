@@ -1,6 +1,6 @@
 """Token packing: best-fit decreasing, with a segment tree over the bins' free room.
 
-Documents are encoded where they are read; those of a block of at least BLOCK tokens (or what a task has left) are packed
+Documents are encoded (by tiktoken; the operator is about packing) where they are read; those of a block of at least BLOCK tokens (or what a task has left) are packed
 together, so packing moves nothing and holds one block at a time. Longer documents are split, without loss, into whole rows and
 a rest. Pieces go, longest first, to the bin with the least room that holds them, which the tree finds in steps of its height.
 
@@ -18,13 +18,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from synteny_spark.llm.bpe import loaded, vocabulary_path
 from synteny_spark.llm.common import texts
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQ_LEN, BLOCK, PAD = 2048, 4_000_000, 50256
 SCHEMA = "pack_id long, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<int>"
 
 
+_LOADED: dict[str, object] = {}
+
+
+def encoder(path: str):
+    """tiktoken's encoding by a rank file, its end-of-text string being the id after the last; one for all tasks of a worker."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    if path not in _LOADED:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _LOADED[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    return _LOADED[path]
+
+
 class Room:
     """Bins by free room; a tree tells which rooms have any."""
 
@@ -94,14 +111,17 @@ def pack_block(doc_ids: list[int], ids: list[np.ndarray], seq_len: int, pad: int
 
 def pack(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, pad: int = PAD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each bin; pack_id is the task's number, times 2^40, and the bin's in the task."""
-    path = path or vocabulary_path()
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
     types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, number = loaded(path), TaskContext.get().partitionId() << 40
+        encoding, number = encoder(path), TaskContext.get().partitionId() << 40
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         size = 0
@@ -122,9 +142,10 @@ def pack(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, pad:
             size = 0
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1).to_pylist())):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encoding.encode_to_numpy(text, allowed_special="all")
                 held_ids.append(doc)
-                held.append(np.array(ids, np.uint16 if pad < 1 << 16 else np.uint32))
+                held.append(ids.astype(np.uint16 if pad < 1 << 16 else np.uint32))
                 size += len(ids)
             if size >= block:
                 yield from flush()
