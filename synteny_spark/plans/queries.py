@@ -632,7 +632,8 @@ def insertion(spark, sf):
 
 
 def _support(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Blocks and the species' support of adjacencies between them, by diagonals of at least one gene."""
+    """Blocks and the species' support of adjacencies between them, by diagonals of at least one gene; a species is one chromosome
+    of each family's first gene."""
     from synteny_spark.operators.components import checkpointed
     from synteny_spark.operators.diagonals import adjacency_evidence
     from synteny_spark.operators.linear import denovo
@@ -640,7 +641,8 @@ def _support(spark, sf) -> tuple[DataFrame, DataFrame]:
     built = checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 3))
     g = genes(spark, sf)
     species = g.select(F.concat(F.lit("M"), "sp").alias("species")).distinct()
-    extant = g.select(F.lit("A0").alias("anc"), F.concat(F.lit("M"), "sp").alias("species"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").alias("idx"), F.col("fam").cast("int").alias("fam"), "strand")
+    first = g.groupBy("sp", "fam").agg(F.min(F.struct(F.col("chrom"), F.col("pos"), F.col("strand"))).alias("x"))  # at most 200 families in each of five species
+    extant = first.select(F.lit("A0").alias("anc"), F.concat(F.lit("M"), "sp").alias("species"), F.lit("1").alias("chrom"), (F.col("x.chrom") * 10 + F.col("x.pos")).alias("idx"), F.col("fam").cast("int").alias("fam"), F.col("x.strand").alias("strand"))
     rows = built.select("anc", "block_id", F.posexplode(F.arrays_zip("ids", "strands")).alias("idx", "x")).select("anc", "block_id", "idx", F.col("x.ids").alias("fam"), F.col("x.strands").alias("strand"))
     return built, checkpointed(adjacency_evidence(extant, rows.crossJoin(F.broadcast(species)), 1))  # five species
 
@@ -659,11 +661,27 @@ def scaffolds(spark, sf):
     return _times(out)
 
 
-@query()
-def block_adjacencies(spark, sf):
-    from synteny_spark.operators.diagonals import adjacency_weights
+TURNED = """u AS (SELECT s, p_partkey AS k, p_partkey // 50 AS c, (p_partkey // 50 + s) % 4 = 0 AS back FROM part, range(1, 6) t(s)),
+v AS (SELECT s, c // 20 AS chrom, k // 10 AS blk, CASE WHEN back THEN -1 ELSE 1 END AS d, min(c * 50 + CASE WHEN back THEN 49 - k % 50 ELSE k % 50 END) AS p FROM u GROUP BY ALL),
+n AS (SELECT s, blk b1, d d1, lead(blk) OVER w b2, lead(d) OVER w d2 FROM v WINDOW w AS (PARTITION BY s, chrom ORDER BY p)),
+e AS (SELECT CASE WHEN s <= 3 THEN 1 ELSE 2 END grp, CASE WHEN b1 < b2 THEN b1 ELSE b2 END a, CASE WHEN b1 < b2 THEN d1 ELSE -d2 END sa, CASE WHEN b1 < b2 THEN b2 ELSE b1 END b, CASE WHEN b1 < b2 THEN d2 ELSE -d1 END sb FROM n WHERE b2 IS NOT NULL),
+f AS (SELECT a, sa, b, sb, grp, count(*) n FROM e GROUP BY ALL)"""
 
-    return adjacency_weights(_support(spark, sf)[1], SpeciesTree.read(TREE).groups(spark))
+
+@query(f"WITH {TURNED} SELECT a, CAST(sa AS BIGINT) sa, b, CAST(sb AS BIGINT) sb, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) weight FROM f GROUP BY a, sa, b, sb HAVING weight > 0")
+def block_adjacencies(spark, sf):
+    """Parts in the order of their keys are the ancestor's genes, ten a block; each species has some stretches of fifty turned round."""
+    from synteny_spark.operators.diagonals import adjacency_evidence, adjacency_weights
+
+    k = F.col("p_partkey")
+    c, species = F.floor(k / 50), spark.range(1, 6).withColumnRenamed("id", "s")
+    back = (c + F.col("s")) % 4 == 0
+    each = table(spark, sf, "part").select("p_partkey").crossJoin(F.broadcast(species)).select(F.lit("A0").alias("anc"), F.concat(F.lit("M"), "s").alias("species"), k.cast("int").alias("fam"), c.alias("c"), back.alias("back"))  # five species
+    place = F.col("c") * 50 + F.when(F.col("back"), 49 - F.col("fam") % 50).otherwise(F.col("fam") % 50)
+    extant = each.select("anc", "species", F.floor(F.col("c") / 20).cast("string").alias("chrom"), place.alias("idx"), "fam", F.when(F.col("back"), -1).otherwise(1).alias("strand"))
+    own = each.select("anc", "species", F.floor(F.col("fam") / 10).cast("int").alias("block_id"), (F.col("fam") % 10).alias("idx"), "fam", F.lit(1).alias("strand"))
+    out = adjacency_weights(adjacency_evidence(extant, own, 3), SpeciesTree.read(TREE).groups(spark))
+    return out.select(*big("a", "sa", "b", "sb", "weight"))
 
 
 # Gene trees, made from part ids: a family of each part, with a gene in each species that a digit names
