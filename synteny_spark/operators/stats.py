@@ -56,6 +56,23 @@ def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return out.select(*by, "min", "q25", "q50", "q75", "n75", "n50", "n25", "wa", "max", "mean", "sd", "n")
 
 
+def summary_text(with_nx: bool = True) -> Column:
+    """A row of summary() in one line: min [quartiles] [N75/N50/N25] max [mean/sd-n]."""
+    nxs = " [%s/%s/%s]" if with_nx else ""
+    args = ["min", "q25", "q50", "q75", *(["n75", "n50", "n25"] if with_nx else []), "max", "mean", "sd", "n"]
+    return F.format_string(f"%s [%s/%s/%s]{nxs} %s [%.2f/%.2f-%d]", *args)
+
+
+def short_summary_text() -> Column:
+    return F.when(F.col("n") > 0, F.format_string("min=%s\tN50=%s\tWA=%.2f\tmax=%s", "min", "n50", "wa", "max")).otherwise("no values")
+
+
+def distribution_text(counts: dict, first: int = 5, last: int = 3) -> str:
+    """count:value of a collected histogram by value; of a long one its two ends."""
+    items = [f"{counts[v]}:{v}" for v in sorted(counts)]
+    return ", ".join(items if len(items) <= first + last else [*items[:first], "...", *items[-last:]])
+
+
 def histogram(df: DataFrame, *values: str) -> DataFrame:
     return df.groupBy(*values).agg(F.count("*").alias("n"))
 

@@ -200,7 +200,10 @@ def closure_of(edges: DataFrame, name: str = "tree_edges") -> DataFrame:
 
 
 def pair_paths(closure: DataFrame) -> DataFrame:
-    """For every two species (a < b): the ancestors strictly between them, and their common one. closure has leaf-only desc rows."""
+    """a, b, anc: the ancestors strictly between every two species a < b, their common one among them. closure has its rows of
+    species as desc; the tree is small, and so is this."""
     up = closure.where("depth > 0").select("anc", "desc", "depth")
-    met = up.alias("x").join(up.alias("y"), "anc").where("x.desc < y.desc").select(F.col("x.desc").alias("a"), F.col("y.desc").alias("b"), "anc", F.col("x.depth").alias("da"))
-    return met.groupBy("a", "b").agg(F.min_by("anc", "da").alias("lca"))
+    met = up.alias("x").join(up.alias("y"), "anc").where("x.desc < y.desc")
+    top = met.groupBy(F.col("x.desc").alias("a"), F.col("y.desc").alias("b")).agg(F.min("x.depth").alias("da"), F.min("y.depth").alias("db"))
+    side = lambda name, most: top.join(up, F.col(name) == F.col("desc")).where(F.col("depth") <= F.col(most)).select("a", "b", "anc")
+    return side("a", "da").union(side("b", "db")).distinct()

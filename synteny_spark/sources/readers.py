@@ -100,7 +100,7 @@ def read_adjacencies(spark: SparkSession, path: str, anc: str, least: int = 0) -
 
 
 def read_old_adjacencies(spark: SparkSession, path: str, targets: Iterable[str]) -> DataFrame:
-    """The older table for several ancestors, whose weight is the seventh column after the ends in columns two to five."""
+    """The older table for several ancestors, whose weight is the eighth column, after the ends in columns two to five."""
     c = F.split("value", "\t")
     at = lambda k: F.get(c, F.lit(k))
     rows = data_lines(spark, path).where(at(0).isin(*targets))

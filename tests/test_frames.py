@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from synteny_spark.functions import columns as fc
-from synteny_spark.operators import compare, components, filters, genetrees, joins, linear, stats, windows
+from synteny_spark.operators import compare, components, filters, genetrees, joins, linear, stats, trees, windows
 from synteny_spark.operators.trees import SpeciesTree
 from synteny_spark.plans import workflow
 from synteny_spark.plans.projection import TREE
@@ -25,6 +25,9 @@ def test_statistics(spark):
     q = {r.k: (r.q25, r.q50, r.q75) for r in stats.summary(df, ["k"], "n").collect()}
     assert q["b"] == (1, 2, 3) and q["c"] == (None, None, None)
     assert dict(rows(df.groupBy("k").agg(stats.weighted_average("n"))))["b"] == 3.0
+    assert dict(rows(stats.summary(df, ["k"], "n").select("k", stats.summary_text())))["b"] == "1 [1/2/3] [2/3/4] 4 [2.50/1.12-4]"
+    assert dict(rows(stats.summary(df, ["k"], "n").select("k", stats.short_summary_text())))["a"] == "min=1\tN50=10\tWA=6.80\tmax=10"
+    assert stats.distribution_text({i: 1 for i in range(10)}, 2, 1) == "1:0, 1:1, ..., 1:9"
     assert rows(df.groupBy("k").agg(stats.quantile("n", 50)).where("k = 'b'")) == [("b", 2)]
 
 
@@ -158,3 +161,33 @@ def test_stream(spark, tmp_path):
     q = stream.follow(spark.readStream.schema(g.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert stream.totals(spark.read.parquet(str(tmp_path / "out"))).count() == 2
+
+
+def test_pair_paths(spark):
+    tree = SpeciesTree.read(TREE)
+    leaves = tree.closure(spark).where("desc like 'M%'")
+    assert rows(trees.pair_paths(leaves)) == sorted([(x, y, a) for x in tree.species for y in tree.species if x < y for a in tree.path(x, y)[1:-1]], key=str)
+
+
+@pytest.mark.parametrize("how", ["trees", "families", "groups"])
+def test_command_line(spark, world, tmp_path, how):
+    from synteny_spark.__main__ import main
+
+    tree, genes, families = world
+    (tmp_path / "tree.nwk").write_text(TREE)
+    bare = how == "groups"
+    for s in tree.species:
+        name = (lambda n: n.split("_")[1]) if bare else str
+        lines = [f"{r.chrom}\t{r.idx}\t{r.idx + 1}\t{r.strand}\t{name(r.name)}" for r in genes.where(F.col("species") == s).collect()]
+        (tmp_path / f"genes.{s}").write_text("\n".join(lines) + "\n")
+    for a in tree.ancestors:
+        fs = families.where(F.col("anc") == a).orderBy("fam_idx").collect()
+        (tmp_path / f"fam.{a}").write_text("".join(f"{r.name} {' '.join(r.members)}\n" for r in fs))
+        (tmp_path / f"og.{a}").write_text("".join(f"{r.fam_idx}\n" for r in fs))
+    text = "(((M1_{0}[&&NHX:S=M1],M2_{0}[&&NHX:S=M2])[&&NHX:S=A3],M3_{0}[&&NHX:S=M3])[&&NHX:S=A1],(M4_{0}[&&NHX:S=M4],M5_{0}[&&NHX:S=M5])[&&NHX:S=A2])[&&NHX:S=A0];\n"
+    (tmp_path / "forest").write_text("".join(text.format(f) for f in range(12)))
+    given = {"trees": "forest", "families": "fam.%s", "groups": "og.%s"}[how]
+    main([str(tmp_path / "tree.nwk"), "--genes", str(tmp_path / "genes.%s"), f"--{how}", str(tmp_path / given), "--preset", "basic", "--out", str(tmp_path / "out")])
+    (made,) = (tmp_path / "out/genomes").iterdir()
+    lines = [r.value.split("\t") for r in spark.read.text(str(made)).where("anc = 'A0'").collect()]
+    assert sorted(x[0] for x in lines) == ["CAR_1"] * 6 + ["CAR_2"] * 6 and "pairs/all" in (tmp_path / "out/steps.dot").read_text()
