@@ -34,7 +34,7 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
         return 0
     ids: dict[bytes, int] = {}
     x = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
-    if len(ids) > len(words) - size + 1 and len(ids) == len(words):
+    if len(ids) == len(words):
         return 0
     x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
