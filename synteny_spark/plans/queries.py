@@ -115,9 +115,12 @@ ORTHO = GENES + """, l AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam
 o AS (SELECT l.gene gene1, r.gene gene2 FROM l JOIN r ON l.pkey = r.pkey UNION SELECT l.gene, r.gene FROM l JOIN r ON l.fam = r.fam AND l.fam < 40)"""
 
 
-def _sides(spark, sf):
-    g = genes(spark, sf).where("chrom % 7 = 0").select("sp", (F.col("chrom") * 100 + F.col("pos")).alias("gene"), F.array(F.concat(F.lit("p"), F.col("pkey"))).alias("names"))
-    parts = table(spark, sf, "lineitem").select("l_partkey").distinct().where("l_partkey % 200 < 40")
+def _sides(spark, sf, whole=False):
+    """Genes of two genomes and the families of all parts; the SQL twins' share of both, unless whole."""
+    g, parts = genes(spark, sf), table(spark, sf, "lineitem").select("l_partkey").distinct()
+    if not whole:
+        g, parts = g.where("chrom % 7 = 0"), parts.where("l_partkey % 200 < 40")
+    g = g.select("sp", (F.col("chrom") * 100 + F.col("pos")).alias("gene"), F.array(F.concat(F.lit("p"), F.col("pkey"))).alias("names"))
     fams = parts.groupBy((F.col("l_partkey") % 200).cast("int").alias("fam_idx")).agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey"))).alias("members")).select(F.lit("A").alias("anc"), "fam_idx", F.concat(F.lit("f"), "fam_idx").alias("name"), "members")
     return g.where("sp = 1").drop("sp"), g.where("sp = 2").drop("sp"), fams
 
@@ -134,11 +137,32 @@ def ortholog_table_gaps(spark, sf):
 
 @query(f"WITH {GENES} SELECT chrom, pos, CASE WHEN fam < 40 THEN fam ELSE -1 END AS fam FROM g WHERE sp = 1 AND chrom % 7 = 0")
 def translate_families(spark, sf):
-    left, _, fams = _sides(spark, sf)
+    return _translated(*_sides(spark, sf))
+
+
+def _translated(left, _, fams):
     out = joins.translate(left.select("gene", F.col("names")[0].alias("name")), fams)
     return out.select(F.floor(F.col("gene") / 100).cast("bigint").alias("chrom"), (F.col("gene") % 100).cast("bigint").alias("pos"), F.col("fam").cast("bigint").alias("fam"))
 
 
+# The same over the whole tables, where DuckDB takes too long
+
+
+@query()
+def ortholog_table_whole(spark, sf):
+    return joins.orthologs(*_sides(spark, sf, True))
+
+
+@query()
+def ortholog_table_gaps_whole(spark, sf):
+    return joins.orthologs(*_sides(spark, sf, True), gaps=True)
+
+
+@query()
+def translate_families_whole(spark, sf):
+    return _translated(*_sides(spark, sf, True))
+
+
 @query(f"WITH {GENES}, b AS (SELECT fam FROM g WHERE sp IN (1, 2) AND fam % 11 = sp % 3 OR sp IN (1, 2) AND fam % 2 = 0 GROUP BY fam HAVING count(DISTINCT sp) = 2) SELECT sp, chrom, pos, fam FROM g JOIN b USING (fam) WHERE sp IN (1, 2) AND (fam % 11 = sp % 3 OR fam % 2 = 0)")
 def common_families(spark, sf):
     g = genes(spark, sf).where("fam % 11 = sp % 3 or fam % 2 = 0").withColumn("genome", F.col("sp").cast("string"))
@@ -507,8 +531,10 @@ u AS (SELECT x AS p, y AS q FROM b UNION SELECT y, x FROM b)"""
 COMP = "r(node, other) AS (SELECT p, q FROM u UNION SELECT r.node, u.q FROM r JOIN u ON u.p = r.other), k AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)"
 
 
-def _bipartite(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_partkey % 5 = 0 and l_quantity < 4")
+def _bipartite(spark, sf, whole=False):
+    lines = table(spark, sf, "lineitem")
+    if not whole:
+        lines = lines.where("l_partkey % 5 = 0 and l_quantity < 4")
     return lines.select((2 * (F.col("l_suppkey") * 7919 + F.col("l_linenumber") * 31 + F.col("l_partkey") % 97)).alias("x"), (2 * F.col("l_partkey") + 1).alias("y")).distinct()
 
 
@@ -527,6 +553,20 @@ def gene_diff(spark, sf):
     return find(_bipartite(spark, sf).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
 
 
+@query()
+def components_whole(spark, sf):
+    from synteny_spark.operators.components import components as find
+
+    return find(_bipartite(spark, sf, True))
+
+
+@query()
+def gene_diff_whole(spark, sf):
+    from synteny_spark.operators.compare import gene_diff as find
+
+    return find(_bipartite(spark, sf, True).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
+
+
 # Reconstruction: kernels, each reduced to what SQL can check
 
 

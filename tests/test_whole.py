@@ -1,0 +1,55 @@
+"""The queries over whole tables against brute force on the smallest ones."""
+
+import duckdb
+import pytest
+
+from synteny_spark.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def lines():
+    rows = duckdb.sql(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM '{SF}/lineitem.parquet' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate").fetchall()
+    assert len(rows) > 5000
+    return rows
+
+
+def sides(lines):
+    """(gene, part) of both genomes, a gene being its chromosome and place."""
+    out, place = {1: [], 2: []}, {}
+    for chrom, part, _, _ in lines:
+        place[chrom] = place.get(chrom, 0) + 1
+        if (sp := chrom % 5 + 1) in out:
+            out[sp].append((chrom * 100 + place[chrom], part))
+    return out[1], out[2]
+
+
+def test_orthologs_of_all_genes(spark, lines):
+    left, right = sides(lines)
+    want = {(a, b) for a, p in left for b, q in right if p % 200 == q % 200}  # equal parts are of one family
+    assert sorted(map(tuple, QUERIES["ortholog_table_whole"](spark, SF).collect())) == sorted(want)
+    alone = [(a, None) for a in {a for a, _ in left} - {a for a, _ in want}]
+    assert sorted(map(str, map(tuple, QUERIES["ortholog_table_gaps_whole"](spark, SF).collect()))) == sorted(map(str, [*want, *alone]))
+    got = QUERIES["translate_families_whole"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((a // 100, a % 100, p % 200) for a, p in left)
+
+
+def test_components_of_all_lines(spark, lines):
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, part, supp, n in lines:
+        a, b = find(2 * (supp * 7919 + n * 31 + part % 97)), find(2 * part + 1)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(root)}
+    assert {r.node: r.component for r in QUERIES["components_whole"](spark, SF).collect()} == want
+    sizes: dict[int, list[int]] = {}
+    for x, c in want.items():
+        sizes.setdefault(c, [0, 0])[x % 2] += 1
+    assert {r.component: [r.n1, r.n2] for r in QUERIES["gene_diff_whole"](spark, SF).collect()} == sizes
