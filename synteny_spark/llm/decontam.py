@@ -1,19 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds (word pairs), then Smith-Waterman alignment.
 
-Word n-grams of the benchmark are counted over all documents. In every stretch of STRETCH successive n-grams of an item the one in
-the fewest documents is a seed, so that each part of an item keeps one however common the passage is. A document meets an item
-where it has one of its seeds; around the seeds, at the places that they imply, the item is aligned with the document by local
-alignment of words (match 1, mismatch and gap -1). Its score over the item's words is the similarity; 1 is a whole copy, and
-edited or paraphrased copies score by what is left in order.
+Word pairs of the benchmark are counted over all documents, and those of an item in the fewest documents are its seeds, as many
+as leave no alignment at the threshold without one: of matches m and errors e, in at most e + 1 runs, at least m - e - 1 pairs are
+whole, and m - e is the score, so an item of n words keeps ceil(threshold * n) - 1 of its n - 1 pairs and one of any
+n - ceil(threshold * n) + 1 is among them. Longer n-grams can't promise that: a word put in after every second one breaks them all
+and scores over 0.5. A document meets an item where it has one of its seeds; around the seeds, at the places that they imply, the
+item is aligned with the document by local alignment of words (match 1, mismatch and gap -1). Its score over the item's words is
+the similarity; 1 is a whole copy, and edited or paraphrased copies score by what is left in order.
 
 Words are lower-cased runs of letters and digits. The benchmark is taken in blocks of BLOCK items, each sent to all tasks, so what
-is sent is bounded. Null texts count as empty; items of fewer than N_GRAM words can't be told from chance and match nothing; equal items
+is sent is bounded. Null texts count as empty; items of fewer than LEAST_WORDS words can't be told from chance and match nothing; equal items
 are found each. Repeated documents give repeated rows. An empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from synteny_spark.llm.common import per_text, texts
 
-N_GRAM, STRETCH, THRESHOLD, BLOCK = 3, 4, 0.5, 20_000
+N_GRAM, LEAST_WORDS, THRESHOLD, BLOCK = 2, 3, 0.5, 20_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,12 +61,15 @@ class Items:
         known = self.vocabulary.get
         return np.array([known(w, -1) for w in words_of(text)], np.int64)
 
-    def choose(self, documents: dict[int, int], stretch: int = STRETCH) -> "Items":
-        """Takes the rarest n-gram of each stretch as a seed; documents: how many have an n-gram."""
+    def choose(self, documents: dict[int, int], threshold: float = THRESHOLD) -> "Items":
+        """Takes an item's rarest pairs as seeds, all but as many as any alignment at the threshold keeps less one; documents: how many
+        have a pair."""
         for k, words in enumerate(self.words):
+            if len(words) < LEAST_WORDS:
+                continue
             grams = self.grams_of(words).tolist()
-            at = {min(range(a, min(a + stretch, len(grams))), key=lambda i: (documents.get(grams[i], 0), i)) for a in range(max(1, len(grams) - stretch + 1)) if grams}
-            for i in sorted(at):
+            rarest = sorted(range(len(grams)), key=lambda i: (documents.get(grams[i], 0), i))
+            for i in sorted(rarest[: len(words) - ceil(threshold * len(words)) + 1]):
                 self.seeds.setdefault(grams[i], []).append((k, i))
         self.seed_grams = np.array(sorted(self.seeds), np.int64)
         return self
@@ -87,7 +93,7 @@ class Items:
         out = []
         for item, at in sorted(starts.items()):
             words, best = self.words[item], None
-            slack = max(4, len(words) // 2)
+            slack = max(4, len(words) - ceil(threshold * len(words)))  # an alignment at the threshold has no more gaps
             at.sort()
             a = 0
             for b in range(1, len(at) + 1):
@@ -139,8 +145,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Items(part)
 
 
-def seeded(docs: DataFrame, items: Items) -> Items:
-    """items with seeds by their n-grams' document counts over all of docs (doc_id, text)."""
+def seeded(docs: DataFrame, items: Items, threshold: float = THRESHOLD) -> Items:
+    """items with seeds by their pairs' document counts over all of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def make():
@@ -148,14 +154,14 @@ def seeded(docs: DataFrame, items: Items) -> Items:
         return lambda batch: [(np.unique(items.present(t, items.grams)[2]).tolist(),) for t in batch]
 
     found = per_text(docs, make, "grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    return items.choose({r.gram: r["count"] for r in found.collect()})  # at most a row for each n-gram of the block
+    return items.choose({r.gram: r["count"] for r in found.collect()}, threshold)  # at most a row for each pair of the block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, n_seeds, first_word and end_word of each document and item that it leaks."""
     spark, rows, out = docs.sparkSession, texts(docs, id_col, text_col), None
     for items in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(seeded(rows, items))
+        sent = spark.sparkContext.broadcast(seeded(rows, items, threshold))
         make = lambda sent=sent: lambda batch: [(x,) if (x := sent.value.leaks(t, threshold)) else None for t in batch]
         part = per_text(rows, make, "found array<struct<item_id: long, score: double, n_seeds: long, first_word: long, end_word: long>>").select("doc_id", F.inline("found"))
         out = part if out is None else out.union(part)
@@ -166,7 +172,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thresho
     """The rows of docs that leak no item, all columns."""
     rows, out = texts(docs.withColumn("doc_id", F.lit(0)), text_col=text_col), docs
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(seeded(rows, items))
+        sent = docs.sparkSession.sparkContext.broadcast(seeded(rows, items, threshold))
 
         @F.arrow_udf("boolean")
         def leaky(text: pa.Array) -> pa.Array:

@@ -114,6 +114,28 @@ def test_leaks(spark):
     assert {i: k for i, k in Counter(r.doc_id for r in got).items() if k > 1} == {}
 
 
+@pytest.mark.parametrize("edit", ["change 4", "change 5", "change 6", "put in 2", "drop 4", "random"])
+def test_spread_edits_are_met(spark, edit):
+    """Copies with edits all over, met at the threshold however the seeds fall."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    kind, _, every = edit.rpartition(" ")
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 4, 5, 6, 9, 12, 15, 18, 25, 36, 61, 100)]
+    docs, want = [], {}
+    for k, item in enumerate(items * (4 if edit == "random" else 1)):
+        if edit == "random":
+            copy = [f"x{k}" if rng.random() < 0.22 else w for w in item]
+        else:
+            copy = [v for i, w in enumerate(item, 1) for v in ({"change": [f"x{k}"], "put in": [w, f"x{k}"], "drop": []}[kind] if i % int(every) == 0 else [w])]
+        body = [rng.choice(vocabulary) for _ in range(50)]
+        docs.append((k, " ".join(body[:20] + copy + body[20:])))
+        for i, x in enumerate(items):
+            if (s := plain_alignment(x, docs[-1][1].split())) >= decontam.THRESHOLD:
+                want[k, i] = s
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in got} == want and len(want) >= 8
+
+
 # SimHash
 
 
