@@ -1,23 +1,26 @@
 """Main text of web pages, by element marks and nearest-URL page differencing.
 
-Pages are sorted by host and URL path over range partitions, so that a host of any size is dealt to many tasks, and each page is
-paired with that neighbour of its host whose path shares the longer beginning (the one before it, if equal). The text lines of
+Pages are sorted by host, URL path and URL over ranges of URLs, so that a host of any size is dealt to many tasks, and each page is
+paired with that neighbour of its host whose path shares the longer beginning (the one before it, if equal). The pages at the ends
+of a range are sent to the next range too, so that pairs don't depend on how many ranges there are. The text lines of
 the two are aligned by their longest common subsequence, and shared lines are deleted: what a site puts on every page.
 
 Differencing alone can't give right results: menus, adverts and footers may differ on every page of a host, and articles of one
 host may share whole passages. So elements that mark a line as no part of the article drop it first, lines inside a marked
-article stay, and differencing decides on the lines that no element marks. A page next to a partition's edge is paired with its
-neighbour in the partition.
+article stay, and differencing decides on the lines that no element marks.
 
-Null html gives an empty text, a null URL the host and path "". Repeated rows give repeated results: equal URLs are no pair. An
-empty table gives an empty result.
+Null html gives an empty text, a page with a null URL has no pair. Repeated rows give repeated results: pages of one URL are no
+pair, and all have the same neighbours, the last page of the URL before and the first of the one after. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import html
 import os
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -142,6 +145,31 @@ def _near(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
+#: Keys looked at for each range of URLs, and bytes of a URL's pages held in memory while the next URL is awaited.
+KEYS, HELD = 20, 16 << 20
+
+
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """rows with bucket, one of n ranges of (host, path, url), and own; a page at the end of a range is also, not as its own, in the
+    range of the host's next URL on that side. Pages without a URL have no neighbours and go anywhere."""
+    key = F.struct("host", "path", "url")
+    some = rows.where("url is not null").select("host", "path", "url").distinct().orderBy(F.xxhash64("url"), "host", "path", "url").limit(KEYS * n).collect()
+    keys = sorted(map(tuple, some))
+    bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
+    of_key = F.size(F.filter(F.array(*(F.struct(*map(F.lit, b)) for b in bounds)), lambda b: b <= F.struct(F.col("host").alias("col1"), F.col("path").alias("col2"), F.col("url").alias("col3")))) if bounds else F.lit(0)
+    rows = rows.withColumn("bucket", F.when(F.col("url").isNull(), F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(n)).cast("int")).otherwise(of_key))
+    edges = rows.where("url is not null").groupBy("bucket").agg(F.min(key).alias("first"), F.max(key).alias("last")).orderBy("bucket").collect()
+    also: dict[str, set[int]] = {}
+    for a, b in zip(edges, edges[1:]):
+        if a["last"].host == b["first"].host:
+            also.setdefault(a["last"].url, set()).add(b.bucket)
+            also.setdefault(b["first"].url, set()).add(a.bucket)
+    if not also:
+        return rows.withColumn("own", F.lit(True))
+    copies = rows.sparkSession.createDataFrame([(u, sorted(x)) for u, x in also.items()], "url string, also array<int>")
+    return rows.join(F.broadcast(copies), "url", "left").withColumn("home", F.col("bucket")).withColumn("bucket", F.explode(F.concat(F.array("home"), F.coalesce("also", F.array().cast("array<int>"))))).withColumn("own", F.col("bucket") == F.col("home"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     url = F.col(f"`{url_col}`").cast("string")
@@ -153,30 +181,54 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple]:
             for batch in batches:
-                for host, path, page, url, source in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield host, path, page, url, lines(source)
+                for bucket, own, host, path, page, url, source in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield (bucket, host), url, path, own, page, lines(source)
 
         def result(before: tuple | None, here: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x and x[0] == here[0] and x[3] != here[3]]
-            other = max(near, key=lambda x: _near(x[1], here[1])) if near else None
-            text = main_text(here[4], other and other[4])
-            return here[2], here[3], text, len(text)
+            near = [x for x in (before, after) if x and x[0] == here[0]]
+            other = max(near, key=lambda x: _near(x[2], here[2])) if near else None
+            text = main_text(here[5], other and other[5])
+            return here[4], here[1], text, len(text)
+
+        def results() -> Iterator[tuple]:
+            before = last = None  # last pages of the URL before and of this one
+            with tempfile.SpooledTemporaryFile(HELD) as held:  # this URL's own pages
+
+                def awaited(after: tuple | None) -> Iterator[tuple]:
+                    held.seek(0)
+                    while True:
+                        try:
+                            here = pickle.load(held)
+                        except EOFError:
+                            break
+                        yield result(before, here, after)
+                    held.seek(0)
+                    held.truncate()
+
+                for here in stream():
+                    if here[1] is None:
+                        yield result(None, here, None)
+                        continue
+                    if last and (last[0], last[1]) != (here[0], here[1]):
+                        yield from awaited(here)
+                        before = last
+                    if here[3]:
+                        pickle.dump(here, held)
+                    last = here
+                yield from awaited(None)
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
-        before = here = None
         out: list[tuple] = []
-        for after in stream():
-            if here:
-                out.append(result(before, here, after))
-            before, here = here, after
+        for row in results():
+            out.append(row)
             if len(out) >= 500:
                 yield batch_of(out)
                 out = []
-        if here:
-            out.append(result(before, here, None))
         if out:
             yield batch_of(out)
 
-    return rows.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    ranged = _ranged(rows, n).select("bucket", "own", "host", "path", "page_id", "url", "html")
+    order = ["bucket", "host", "path", "url", "page_id", F.xxhash64("html")]
+    return ranged.repartitionById(n, "bucket").sortWithinPartitions(*order).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -441,6 +441,21 @@ def test_pages_without_marks_are_told_by_their_neighbours(spark):
     assert sum(r.text == f"own {i}" for i, r in got.items()) >= 36  # at an edge of a partition a page may lack its own kind
 
 
+@pytest.mark.parametrize("n", [1, 3, 16, 60])
+def test_pairs_do_not_depend_on_partitions(spark, n):
+    """Lines shared with the nearest URL go, at every number of partitions; each section has lines of its own."""
+    pages = [(i, f"http://H{i % 3}/s{i // 12}/{i:03d}", f"<div>Site</div><p>own {i}</p><div>Section {i // 12}</div>") for i in range(48)]
+    pages += [(90, "http://two/a", "<p>x</p><p>first</p>"), (91, "http://two/b", "<p>x</p><p>second</p>"), (92, "http://two/b", "<p>x</p><p>second</p>"), (93, None, "<p>x</p>"), (94, None, "<p>x</p>")]
+    want = {i: f"own {i}" for i in range(48)} | {90: "first", 91: "second", 92: "second", 93: "x", 94: "x"}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(got) == len(pages) and {r.page_id: r.text for r in got} == want
+
+
 def test_pages_against_their_paragraphs(spark):
     rows = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op10_html"](spark, SF).collect():
