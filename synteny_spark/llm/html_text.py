@@ -7,7 +7,8 @@ the two are aligned by their longest common subsequence, and shared lines are de
 
 Differencing alone can't give right results: menus, adverts and footers may differ on every page of a host, and articles of one
 host may share whole passages. So elements that mark a line as no part of the article drop it first, lines inside a marked
-article stay, and differencing decides on the lines that no element marks.
+article stay, and differencing decides on the lines that no element marks. Where a
+page has no pair, a marked article stays alone.
 
 Null html gives an empty text, a page with a null URL has no pair. Repeated rows give repeated results: pages of one URL are no
 pair, and all have the same neighbours, the last page of the URL before and the first of the one after. An empty table gives an
@@ -136,9 +137,10 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(mine: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
+    """The lines of a marked article, and those that no element marks and other lacks; without other, a marked article alone."""
     marked = any(m for _, m in mine)
     shared = common_lines([x for x, _ in mine], [x for x, _ in other]) if other else set()
-    return "\n".join(x for i, (x, m) in enumerate(mine) if (m if marked else i not in shared))
+    return "\n".join(x for i, (x, m) in enumerate(mine) if m or (other is not None or not marked) and i not in shared)
 
 
 def _near(a: str, b: str) -> int:

@@ -441,6 +441,11 @@ def test_pages_without_marks_are_told_by_their_neighbours(spark):
     assert sum(r.text == f"own {i}" for i, r in got.items()) >= 36  # at an edge of a partition a page may lack its own kind
 
 
+def test_unmarked_lines_of_marked_pages():
+    page = "<div>Site</div><h1>Head {0}</h1><p>Lead {0}</p><article><p>Teaser</p></article><p>Body {0}</p><div>Contact</div>"
+    assert html_text.main_text(*(html_text.lines(page.format(k)) for k in "ab")) == "Head a\nLead a\nTeaser\nBody a"
+
+
 @pytest.mark.parametrize("n", [1, 3, 16, 60])
 def test_pairs_do_not_depend_on_partitions(spark, n):
     """Lines shared with the nearest URL go, at every number of partitions; each section has lines of its own."""
