@@ -307,6 +307,21 @@ def test_machine_learns_pairs():
     assert np.mean([(m.logit(r) > 0) == (v > 0) for r, v in zip(rows, y)]) > 0.98
 
 
+def test_small_tables_and_pairs_of_terms_are_learned(spark):
+    def learned(rows):
+        docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+        return toxicity.learned(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+
+    few = learned([(f"{'vile' if i % 6 == 0 else 'kind'} words {i}", int(i % 6 == 0)) for i in range(60)])
+    vile, kind = few.scores(["vile words", "kind words"])
+    assert vile >= toxicity.THRESHOLD > 0.5 > kind
+    rng = random.Random(5)
+    draws = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(900)]
+    both = learned([(" ".join([*["insult"] * a, *["group"] * b, f"row{i}"]), int(a != b)) for i, (a, b) in enumerate(draws)])
+    one, other, two, none = both.scores(["insult", "group", "insult group", ""])
+    assert min(one, other) > 0.5 > max(two, none)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
