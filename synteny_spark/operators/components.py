@@ -1,32 +1,44 @@
-"""Connected components by min-label propagation with pointer jumps, checkpointed each round."""
+"""Connected components of an edge table, by alternating large-star and small-star steps, each round checkpointed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from synteny_spark.operators.spread import checkpointed, spread_join
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; on one machine, where it is unset, in a temporary one."""
-    import tempfile
+#: Edges up to which a hub needs no tasks of its own.
+FEW = 100_000
 
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
+
+def _star(edges: DataFrame, keys: list[str], large: bool, few: bool) -> DataFrame:
+    """edges (x, y), y < x. Large star: the neighbours above a node go to the least of its neighbours and itself; small star: those
+    below it, and itself, go there."""
+    near = edges.union(edges.select(*keys, F.col("y").alias("x"), F.col("x").alias("y"))) if large else edges
+    least = near.groupBy(*keys, "x").agg(F.min("y").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("x", "m"))
+    to = least.drop("n")
+    met = near.join(to, [*keys, "x"]) if few else spread_join(near, to, [*keys, "x"], counts=least)
+    if large:
+        return met.where("y > x").select(*keys, F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+    return met.select(*keys, F.col("y").alias("x"), F.col("m").alias("y")).union(to.select(*keys, "x", F.col("m").alias("y"))).where("x <> y").distinct()
 
 
 def components(edges: DataFrame, key: str | None = None) -> DataFrame:
-    """[key,] node, component (the least node) for every node of edges ([key,] x, y)."""
+    """[key,] node, component (the least node) for every node of edges ([key,] x, y).
+
+    Edges may repeat, be mirrored or join a node to itself. Both steps keep the components and end at stars around the least
+    nodes, in rounds that grow with the logarithm of the longest path. No task holds a hub's neighbours alone.
+    """
     keys = [key] if key else []
-    both = checkpointed(edges.select(*keys, "x", "y").union(edges.select(*keys, F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    now = checkpointed(both.groupBy(*keys, "x").agg(F.least("x", F.min("y")).alias("label")).select(*keys, F.col("x").alias("node"), "label"))
+    edges = checkpointed(edges.select(*keys, "x", "y").distinct())
+    now = edges.where("x <> y").select(*keys, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    state = None
     while True:
-        # the least label among the neighbours, then the label of that label
-        met = both.join(now.select(*keys, F.col("node").alias("y"), "label"), [*keys, "y"]).groupBy(*keys, F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        hop = now.join(met, [*keys, "node"]).select(*keys, "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        to = now.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        after = checkpointed(hop.join(to, [*keys, "label"], "left").select(*keys, "node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        if after.where("label <> was").isEmpty():
-            return after.select(*keys, "node", F.col("label").alias("component"))
-        now = after.drop("was")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "x", "y").cast("decimal(38,0)"))).first()
+        if seen == state or not seen[0]:
+            break
+        state, few = seen, seen[0] < FEW
+        now = checkpointed(_star(_star(now, keys, True, few), keys, False, few))
+    stars = now.select(*keys, F.col("x").alias("node"), F.col("y").alias("component")).union(now.select(*keys, "y", F.col("y").alias("component")).distinct())
+    alone = edges.where("x = y").select(*keys, F.col("x").alias("node")).join(stars, [*keys, "node"], "left_anti")
+    return stars.union(alone.withColumn("component", F.col("node")))

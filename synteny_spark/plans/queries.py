@@ -579,7 +579,7 @@ def _universe(spark, sf) -> DataFrame:
 
 
 def _denovo(spark, sf) -> DataFrame:
-    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.spread import checkpointed
     from synteny_spark.operators.linear import denovo
 
     return checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 1, True))
@@ -598,7 +598,7 @@ def _flat(blocks: DataFrame) -> DataFrame:
 @query(f"""WITH {WEIGHT}, k AS (SELECT * FROM r WHERE weight > 0) SELECT (SELECT count(*) FROM k) AS edges, (SELECT max(weight) FROM k) AS heaviest, CAST(0 AS BIGINT) AS forks, true AS whole""")
 def linear_forest(spark, sf):
     """All edges get a verdict, the heaviest is accepted, no end is taken twice and accepted edges are fewer than their nodes."""
-    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.spread import checkpointed
     from synteny_spark.operators.linear import forest_edges
 
     e = checkpointed(forest_edges(_adj(spark, sf), 1))
@@ -661,7 +661,7 @@ def fill_in(spark, sf):
 
 @query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
 def insertion(spark, sf):
-    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.spread import checkpointed
     from synteny_spark.operators.linear import denovo
     from synteny_spark.operators.recon import insertion as insert
 
@@ -674,7 +674,7 @@ def insertion(spark, sf):
 def _support(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Blocks and the species' support of adjacencies between them, by diagonals of at least one gene; a species is one chromosome
     of each family's first gene."""
-    from synteny_spark.operators.components import checkpointed
+    from synteny_spark.operators.spread import checkpointed
     from synteny_spark.operators.diagonals import adjacency_evidence
     from synteny_spark.operators.linear import denovo
 
