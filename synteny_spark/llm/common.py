@@ -1,8 +1,7 @@
-"""What the corpus operators share: the shared folder, written tables and Arrow plumbing."""
+"""What the corpus operators share: written tables and Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from synteny_spark.operators.spread import shared_dir
+
 #: Rows and bytes of one Arrow batch; long documents must not pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -22,22 +23,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and kept as a reliable checkpoint, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
@@ -46,6 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _path(spark, path)
+    return store.exists(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that `written` made, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, at = _path(df.sparkSession, folder)
+        store.delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synteny_spark.llm.common import cut
+from synteny_spark.operators.spread import checkpointed
 
 BITS, LIMIT = 60, 64 << 20
 
@@ -28,20 +28,26 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _sums(cells: DataFrame, first: int, depth: int) -> DataFrame:
-    """Bytes of every prefix of first to depth bits, from the cells of depth bits."""
-    each = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth"))
-    return each.groupBy("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+    """Bytes of every prefix of first to depth bits: from the cells of depth bits up, each level from the one below it."""
+    level = cells.select(F.lit(depth).alias("depth"), F.col("cell").alias("prefix"), "bytes")
+    out = level
+    for d in range(depth - 1, first - 1, -1):
+        level = level.groupBy(F.lit(d).alias("depth"), F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+        if (depth - d) % 4 == 0:
+            level = checkpointed(level)
+        out = out.union(level)
+    return out
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, shard (its bits, "" for the only one), depth and shard_bytes of every row."""
-    rows = cut(hashed(docs, id_col, text_col))
+    rows = checkpointed(hashed(docs, id_col, text_col))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     first, depth, parts = 0, min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + 4), []
     while True:
         keyed = rows.withColumn("cell", F.shiftright("h", BITS - depth))
-        cells = cut(keyed.groupBy("cell").agg(F.sum("bytes").alias("bytes")))
-        sums = cut(_sums(cells, first, depth))
+        cells = checkpointed(keyed.groupBy("cell").agg(F.sum("bytes").alias("bytes")))
+        sums = checkpointed(_sums(cells, first, depth))
         fits = sums.where(F.col("bytes") <= limit) if depth < BITS else sums.where((F.col("bytes") <= limit) | (F.col("depth") == BITS))
         above = sums.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
         split = fits.withColumn("parent", F.shiftright("prefix", 1)).join(above, ["depth", "parent"], "left_semi") if depth else fits.limit(0)
@@ -51,7 +57,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         large = sums.where((F.col("depth") == depth) & (F.col("bytes") > limit)).select(F.col("prefix").alias("cell"))
         if depth == BITS or large.isEmpty():
             break
-        rows = cut(keyed.join(large, "cell", "left_semi").select("doc_id", "h", "bytes"))
+        rows = checkpointed(keyed.join(large, "cell", "left_semi").select("doc_id", "h", "bytes"))
         first, depth = depth + 1, min(BITS, depth + 8)
     out = parts[0]
     for p in parts[1:]:

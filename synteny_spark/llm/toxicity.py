@@ -4,9 +4,9 @@ Terms are a text's distinct lower-cased words and the first four and five letter
 model has a weight for each bucket and a vector for each, whose products are the weights of pairs: an insult beside a mention of
 a group may so count for more than both alone.
 
-It is fitted on at most PER_LABEL rows of either label, those of the least hashed ids, of equal texts on one; what is counted over them is counted on
-the executors, and the driver gets at most TERMS buckets, half by
-evidence and the rest by rows, and their presence in these rows. Every row of any size is scored, over
+It is fitted on at most PER_LABEL rows of either label, those of the least hashed ids. Equal texts count as one, with the label that
+most of them have (of as many: 1). What is counted over them is counted on the executors, and the driver gets at most TERMS
+buckets, half by evidence and the rest by rows, and their presence in these rows. Every row of any size is scored, over
 its whole text. Without both labels to learn from, each text scores the smoothed share of label 1.
 
 Null texts count as empty and get the score of a text without terms. Of an id with several labels the highest counts. Rows with a
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synteny_spark.llm.common import cut, per_text, texts
+from synteny_spark.llm.common import per_text, texts
+from synteny_spark.operators.spread import checkpointed
 
 #: The fit's bounds: rows of either label, buckets.
 PER_LABEL, TERMS = 5000, 4096
@@ -123,18 +124,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
 
 
 def learned(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Machine:
-    rows = labelled(texts(docs, id_col, text_col), labels, label_col, per_label).withColumn("same", F.xxhash64("text")).dropDuplicates(["same"]).select("doc_id", "y", "text")
-    rows = cut(per_text(rows, lambda: lambda batch, t=Terms(): [(t.of(x),) for x in batch], "terms array<long>", ("doc_id", "y")))
+    rows = labelled(texts(docs, id_col, text_col), labels, label_col, per_label).groupBy(F.sha2("text", 256).alias("same")).agg((2 * F.sum("y") >= F.count("*")).cast("int").alias("y"), F.max("text").alias("text"))
+    rows = checkpointed(per_text(rows, lambda: lambda batch, t=Terms(): [(t.of(x),) for x in batch], "terms array<long>", ("same", "y")))
     n0, n1 = (rows.where(F.col("y") == y).count() for y in (0, 1))
     seen = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     part = lambda x, of, n: F.when(x > 0, x * F.log(x * (n0 + n1) / (of * n))).otherwise(0.0)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g2 = 2 * (part(a, a + b, max(n1, 1)) + part(b, a + b, max(n0, 1)) + part(n1 - a, n0 + n1 - a - b, max(n1, 1)) + part(n0 - b, n0 + n1 - a - b, max(n0, 1)))
-    ranked = cut(seen.select("term", g2.alias("g2"), (a + b).alias("rows")))
+    ranked = checkpointed(seen.select("term", g2.alias("g2"), (a + b).alias("rows")))
     terms = [r.term for r in ranked.orderBy(F.desc("g2"), "term").limit(TERMS // 2).collect()]
     terms += [r.term for r in ranked.where(~F.col("term").isin(terms)).orderBy(F.desc("rows"), "term").limit(TERMS - len(terms)).collect()]
     buckets = {t: i for i, t in enumerate(terms)}
-    have = rows.select("doc_id", "y", F.array_intersect("terms", F.array(*map(F.lit, terms)).cast("array<long>")).alias("terms")).orderBy("doc_id").collect() if terms else []
+    have = rows.select("same", "y", F.array_intersect("terms", F.array(*map(F.lit, terms)).cast("array<long>")).alias("terms")).orderBy("same").collect() if terms else []
     return fit([sorted(buckets[t] for t in r.terms) for r in have], np.array([r.y for r in have], float), buckets) if have else fit([], np.array([1.0] * n1 + [0.0] * n0), {})
 
 
