@@ -1,11 +1,14 @@
 """Secret scans by an incremental blob ledger.
 
-Every version of every document is a blob, named by the SHA-256 of its text. The ledger holds what each rule version found in
-each blob. A scan takes only pairs of blob and rule version that the ledger doesn't hold, adds them to it, and joins the findings
-back to all documents (paths) that have such a blob, at whatever time.
-
-Copies of a blob are dropped in the task that reads them, before blobs move; blobs move compressed. Null texts are empty blobs.
-Spans are in code points, the end exclusive. Repeated rows give repeated results; an empty table gives an empty result.
+Every version of every document is a blob, named by the SHA-256 of its text. The ledger, a Parquet folder by rule version, holds
+what each rule version found in each blob. A scan takes only pairs of blob and rule version that the ledger doesn't hold, adds
+them to it, and joins the findings back to all documents (paths) that have such a blob, at whatever time. What is found in a blob
+follows from the blob and the rules alone, and the ledger is read with each pair once: scans that run at the same time may both
+add a pair, which changes no result.
+
+Copies of a blob are dropped in the task that reads them, before blobs move; blobs move compressed. Paths of a blob that many
+documents share are dealt to several tasks. Null texts are empty blobs. Spans are in code points, the end exclusive. Repeated rows
+give repeated results; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synteny_spark.llm.common import texts, written
+from synteny_spark.llm.common import exists, texts, written
+from synteny_spark.operators.spread import fresh, spread_join
 
 
 def either_case(pattern: str) -> str:
@@ -98,33 +102,33 @@ def scanned(unseen: DataFrame, version: str = RULE_VERSION) -> DataFrame:
                     rows.append(finding(blob, zlib.decompress(z.as_py()).decode("utf-8"), version))
             yield _columns(rows, names, kinds)
 
-    n = int(unseen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return unseen.repartition(n, "blob").mapInArrow(run, FINDINGS)
+    return unseen.repartition("blob").mapInArrow(run, FINDINGS)
+
+
+def findings(spark: SparkSession, ledger: str, version: str = RULE_VERSION) -> DataFrame:
+    """The ledger's rows of a rule version, each blob once; none if there is no ledger yet. Another table's folder is an error."""
+    if not exists(spark, ledger):
+        return spark.createDataFrame([], FINDINGS)
+    held = spark.read.parquet(ledger)
+    return held.select(*[F.col(x.split(" ")[0]).cast(x.split(" ")[1]) for x in FINDINGS.split(", ")]).where(F.col("rule_version") == version).dropDuplicates(["blob"])
 
 
 def update_ledger(docs: DataFrame, ledger: str | None = None, version: str = RULE_VERSION) -> DataFrame:
     """Scans what the ledger (a Parquet folder; it may not exist yet) doesn't hold for this rule version, adds it, and returns
     the ledger's rows of this version. Without a ledger, one is begun in the shared folder."""
-    from pyspark.errors import AnalysisException
-
-    spark = docs.sparkSession
     here = blobs(docs)
-    if ledger:
-        try:
-            known = spark.read.schema(FINDINGS).parquet(ledger).where(F.col("rule_version") == version)
-            here = here.join(known.select("blob"), "blob", "left_anti")
-        except AnalysisException:
-            pass  # the first scan
-        scanned(here, version).write.mode("append").parquet(ledger)
-        return spark.read.schema(FINDINGS).parquet(ledger).where(F.col("rule_version") == version)
-    return written(scanned(here, version), "ledger")
-
-
-def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if not ledger:
+        return written(scanned(here, version), "ledger")
+    unseen = here.join(findings(docs.sparkSession, ledger, version).select("blob"), "blob", "left_anti")
+    scanned(unseen, version).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    return findings(docs.sparkSession, ledger, version)
+
+
+def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """doc_id, blob, the counts, base and spans ("kind:start:end", comma-joined) of every row."""
     rows = texts(docs, id_col, text_col)
     paths = rows.select("doc_id", F.sha2("text", 256).alias("blob"))
-    return paths.join(update_ledger(rows, ledger).drop("rule_version"), "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base", "spans")
+    return spread_join(paths, update_ledger(rows, ledger, version).drop("rule_version"), ["blob"]).select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base", "spans")
 
 
 MASK = "<secret>"
@@ -143,16 +147,18 @@ def mask(text: str, found: str) -> str:
 
 
 def masked(docs: DataFrame, text_col: str = "text", ledger: str | None = None) -> DataFrame:
-    """docs, all columns, with secrets masked in the text and n_chars, if there is one, counted anew for texts that change."""
+    """docs, all columns, with secrets masked in the text and n_chars, if there is one, counted anew for texts that change. Null texts
+    stay null; columns may have any names."""
+
     @F.arrow_udf("string")
     def cover(text: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([mask(t, f) for t, f in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
-    text = F.col(f"`{text_col}`")
-    known = update_ledger(texts(docs.withColumn("doc_id", F.lit(0)), text_col=text_col), ledger)
-    found = known.where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    met = docs.withColumn("__blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(found, "__blob", "left")
-    hit, clean = met.where("__spans is not null").withColumn(text_col, cover(text, F.col("__spans"))), met.where("__spans is null")
+    text, blob, spans_ = F.col(f"`{text_col}`"), fresh(docs.columns, "blob"), fresh(docs.columns, "spans")
+    known = update_ledger(docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text")), ledger)
+    found = known.where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(spans_))
+    met = spread_join(docs.withColumn(blob, F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), found, [blob], "left")
+    hit, clean = met.where(F.col(spans_).isNotNull()).withColumn(text_col, cover(text.cast("string"), F.col(spans_))), met.where(F.col(spans_).isNull())
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     names = [F.col(f"`{c}`") for c in docs.columns]
