@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are measured on a sample; rules then run in the order of rejections per cost, each counted over
-what the rules before it leave, and a text that one rejects is not shown to the rest. The order decides what a verdict costs,
-never the verdict, since a text is kept only if no rule rejects it.
-
-Null and empty texts have no words and fail the base rule. Ties in the order go by the rule's name. Repeated rows give repeated
-results; an empty table gives an empty result.
+The base counts are part of every row's result, so every text pays for them and the base rule comes first, at no cost of its own.
+Each other rule's cost and selectivity are measured, after the base counts, on a sample of the texts that the base rule leaves;
+rules then run in the order of rejections per cost, each counted over what the rules before it leave, and a text that one rejects
+is not shown to the rest. The order decides what a verdict costs, never the verdict, since a text is kept only if no rule rejects
+it.
+
+The sample is drawn from all partitions at random and measured where it lies; the driver gets seconds and verdicts, no texts. Null
+and empty texts have no words and fail the base rule. Ties in the order go by the rule's name. Repeated rows give repeated
+results; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 
 from synteny_spark.llm.common import per_text, texts
 
-#: Rows by which rules are ordered, and the bytes of each: the bounds of the sample.
-SAMPLE, SAMPLE_BYTES = 500, 1 << 16
+#: Rows by which rules are ordered: about so many, at most four times as many.
+SAMPLE = 500
 WINDOW = 8
+#: Words in a stretch whose distinct words are counted together.
+STRETCH = 2000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -97,6 +102,18 @@ class Text:
     def n_repeat_words(self) -> int:
         return repeated_words(self.words)
 
+    @cached_property
+    def variety(self) -> float:
+        """Distinct words over words in stretches of one length (the last ends with the text), so that long texts are judged like
+        those of one stretch."""
+        size = min(self.n_words, STRETCH)
+        starts = {*range(0, self.n_words - size + 1, max(size, 1)), self.n_words - size}
+        return sum(len(set(self.words[i : i + size])) for i in starts) / max(len(starts) * size, 1)
+
+    @cached_property
+    def base(self) -> tuple:
+        return self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words, self.base_failed
+
     @cached_property
     def base_failed(self) -> bool:
         return self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
@@ -109,22 +126,30 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "stutter": lambda t: 3 * sum(a == b for a, b in zip(t.words, t.words[1:])) > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 30 * t.n_words,
     "digits": lambda t: 2 * len(re.findall("[0-9]", t.text)) > len(t.text),
-    "few_words": lambda t: 20 * len(set(t.words)) < t.n_words < 2000,
+    "few_words": lambda t: 20 * t.variety < 1,
 }
 
 
 def measured(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sample: int = SAMPLE) -> list[tuple[list[float], list[bool]]]:
-    """Seconds and verdict of each rule, alone, on each text of the sample: the first rows at hand, of at most SAMPLE_BYTES each,
-    which the driver takes from as few partitions as hold them."""
-    out = []
-    for row in docs.where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample).collect():
-        seconds, rejects = [], []
-        for rule in rules.values():
-            t, began = Text(row.text), time.perf_counter()
-            rejects.append(bool(rule(t)))
-            seconds.append(time.perf_counter() - began)
-        out.append((seconds, rejects))
-    return out
+    """Seconds and verdict of each rule on each text of the sample that passes the base rule, its base counts being known."""
+
+    def measure(batch: list[str]) -> list[tuple | None]:
+        out = []
+        for text in batch:
+            seconds, rejects = [], []
+            for rule in rules.values():
+                t = Text(text)
+                failed = t.base[-1]  # so that a rule pays only for what the counts leave to do
+                began = time.perf_counter()
+                rejects.append(bool(rule(t)))
+                seconds.append(time.perf_counter() - began)
+            out.append(None if not rules or failed else (seconds, rejects))
+        return out
+
+    share = sample / max(docs.count(), 1)
+    drawn = docs.sample(fraction=min(share, 1.0), seed=9) if share < 1 else docs
+    found = per_text(drawn, lambda: measure, "seconds array<double>, rejects array<boolean>").select("seconds", "rejects")
+    return [(r.seconds, r.rejects) for r in found.limit(4 * sample).collect()]
 
 
 def ordered(rules: list[str], rows: list[tuple[list[float], list[bool]]]) -> list[str]:
@@ -156,8 +181,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = Non
     def run(batch: list[str]) -> list[tuple]:
         out = []
         for t in map(Text, batch):
-            kept = not t.base_failed and rejected_by(t, steps) is None
-            out.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, t.base_failed, kept))
+            out.append((*t.base, not t.base[-1] and rejected_by(t, steps) is None))
         return out
 
     return per_text(rows, lambda: run, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
