@@ -8,9 +8,12 @@ and scores over 0.5. A document meets an item where it has one of its seeds; aro
 item is aligned with the document by local alignment of words (match 1, mismatch and gap -1). Its score over the item's words is
 the similarity; 1 is a whole copy, and edited or paraphrased copies score by what is left in order.
 
-Words are lower-cased runs of letters and digits. The benchmark is taken in blocks of BLOCK items, each sent to all tasks, so what
-is sent is bounded. Null texts count as empty; items of fewer than LEAST_WORDS words can't be told from chance and match nothing; equal items
-are found each. Repeated documents give repeated rows. An empty table on either side gives an empty result.
+Words are lower-cased runs of letters and digits. The benchmark is taken in blocks of at most BLOCK items and BLOCK_CHARS
+characters (or one item), each sent to all tasks, so what is sent is bounded. Items of fewer than LEAST_WORDS words can't be told
+from chance inside a text: such an item is found in a document that has its words and no others, with score 1. Null texts count as
+empty, and an item without words matches nothing; equal items are found each. Of pairs in as few documents those earlier in the
+item are seeds. Repeated documents give repeated rows. An empty table on either side gives an empty result; other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from synteny_spark.llm.common import per_text, texts
 
-N_GRAM, LEAST_WORDS, THRESHOLD, BLOCK = 2, 3, 0.5, 20_000
+N_GRAM, LEAST_WORDS, THRESHOLD, BLOCK, BLOCK_CHARS = 2, 3, 0.5, 20_000, 8 << 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -40,8 +43,10 @@ class Items:
         self.n, self.vocabulary = n, {}
         self.ids = [r[0] for r in rows]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t or "")], np.int64) for _, t in rows]
-        if len(self.vocabulary) ** n >= 1 << 62:
-            raise ValueError("too many words in a block of items; take smaller blocks")
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w.tolist()), []).append(k)
         self.grams = np.unique(np.concatenate([np.empty(0, np.int64), *map(self.grams_of, self.words)]))
         self.seeds: dict[int, list[tuple[int, int]]] = {}
         self.seed_grams = np.empty(0, np.int64)
@@ -86,11 +91,12 @@ class Items:
     def leaks(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int, int]]:
         """item id, score, seeds in the aligned window, first word and end of the best alignment, for each item that leaks."""
         numbers, hits, grams = self.present(text, self.seed_grams)
+        whole = self.short.get(tuple(numbers.tolist()), ()) if len(numbers) < LEAST_WORDS else ()
         starts: dict[int, list[int]] = {}
         for p, g in zip(hits.tolist(), grams.tolist()):
             for item, q in self.seeds[g]:
                 starts.setdefault(item, []).append(p - q)
-        out = []
+        out = [(self.ids[k], 1.0, 0, 0, len(numbers)) for k in whole]
         for item, at in sorted(starts.items()):
             words, best = self.words[item], None
             slack = max(4, len(words) - ceil(threshold * len(words)))  # an alignment at the threshold has no more gaps
@@ -132,15 +138,17 @@ class Items:
         return (best[0] / len(item), best[1], best[2]) if best[0] >= threshold * len(item) else None
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK):
-    """Items, at most block at once."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, chars: int = BLOCK_CHARS):
+    """Items, at most block and chars at once."""
     rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
     part: list[tuple[int, str]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        part.append((r.item_id, r.text))
-        if len(part) == block:
+        if part and (len(part) == block or size + len(r.text) > chars):
             yield Items(part)
-            part = []
+            part, size = [], 0
+        part.append((r.item_id, r.text))
+        size += len(r.text)
     if part:
         yield Items(part)
 
