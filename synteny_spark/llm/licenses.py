@@ -1,16 +1,19 @@
 """License scans by patience alignment.
 
 Words that a stretch of text and a template both have exactly once are anchors; the longest run of anchors in the same order in
-both is kept, and the gaps between them are aligned in the same way. A gap without anchors is trimmed at both ends where its
-words are equal, and what is left is aligned by longest common subsequence if it is small. The share of the template's words so
-aligned is its coverage.
+both is kept, and the gaps between them are aligned in the same way. A gap without anchors, of any size, is trimmed at both ends
+where its words are equal, and what is left is aligned by a longest common subsequence in linear space. The share of the
+template's words so aligned is its coverage.
 
 A template of n words can reach the least coverage only with some of any k of its words, k being one more than the share it may
-lack; its k longest words point to the places in a text where it is aligned, and texts with none of them are passed over. Words
-are lower-cased runs of letters and digits; spans are in code points, the end exclusive.
-
-Null texts count as empty. A finding inside a longer one is left out, and so is that of two equal spans with fewer aligned words (of
-as many: the later name). Repeated rows give repeated results; an empty table gives an empty result.
+lack; its k longest words point to the places in a text where it is aligned, and texts with none of them are passed over. Places
+that differ by at most n words are aligned as one stretch too, so a licence with as many words put in, at one place or several,
+is found. Words are lower-cased runs of letters and digits; spans are in code points, the end exclusive.
+
+Null texts count as empty. Of findings of one template that share words, those at one place go before those of joined places, then
+the one with the most aligned words counts, then the first. A finding inside a longer one is left out, and so is that of two equal spans with fewer aligned words (of as many: less
+coverage, then the later name). Repeated rows give repeated results; an empty table gives an empty result; other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from synteny_spark.llm.common import per_text, texts
 from synteny_spark.llm.license_texts import TEMPLATES
 
-COVERAGE, SMALL_GAP = 0.8, 10_000
+COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,22 +50,38 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """The length of a longest common subsequence of a with each beginning of b, by one machine word of bits for many words."""
+    where: dict[str, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full  # a bit is clear where the length grows
+    for x in a:
+        met = free & where.get(x, 0)
+        free = ((free + met) | (free - met)) & full
+    grown = bin(full & ~free)[2:].zfill(len(b))[::-1]
+    return [0, *accumulate(map(int, grown))] if b else [0]
+
+
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Longest common subsequence of two short lists."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """A longest common subsequence, in space that is linear in both: a is halved, and b where both halves fit best."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        m = (a0 + a1) // 2
+        front, back = _lengths(a[a0:m], b[b0:b1]), _lengths(a[m:a1][::-1], b[b0:b1][::-1])
+        n = b1 - b0
+        k = max(range(n + 1), key=lambda j: front[j] + back[n - j])
+        if front[k] + back[n - k]:
+            todo += [(a0, m, b0, b0 + k), (m, a1, b0 + k, b1)]
+    return sorted(out)
 
 
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -84,7 +104,7 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out += anchors
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             todo += [(i + 1, i2, j + 1, j2) for (i, j), (i2, j2) in zip(edges, edges[1:])]
-        elif (a1 - a0) * (b1 - b0) <= SMALL_GAP:
+        else:
             out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
@@ -96,6 +116,7 @@ class Scanner:
         self.coverage = coverage
         self.templates = {k: WORD.findall(v.lower()) for k, v in sorted((TEMPLATES if templates is None else templates).items())}
         self.templates = {k: v for k, v in self.templates.items() if v}
+        self.bags = {k: Counter(v) for k, v in self.templates.items()}
         self.pointers: dict[str, list[tuple[str, int]]] = {}
         self.seen = ahocorasick.Automaton()
         for name, words in self.templates.items():
@@ -123,26 +144,33 @@ class Scanner:
                 starts.setdefault(name, set()).add(p - q)
         found = []
         for name, places in starts.items():
-            template = self.templates[name]
+            template, bag = self.templates[name], self.bags[name]
             n, slack, fits = len(template), len(template) // 4 + 2, set()
-            for s in places:
-                for lo, hi in ((s, s + n), (s - slack, s + n + slack)):
-                    part = words[max(lo, 0) : max(hi, 0)]
-                    if sum((Counter(template) & Counter(part)).values()) < self.coverage * n:
-                        continue
-                    pairs = patience(template, part)
-                    if len(pairs) >= self.coverage * n:
-                        fits.add((-len(pairs), max(lo, 0) + pairs[0][1], max(lo, 0) + pairs[-1][1] + 1))
+            order, last = sorted(places), 0
+            windows: dict[tuple[int, int], int] = {}
+            for k, s in enumerate(order):
+                while last + 1 < len(order) and order[last + 1] <= s + n:
+                    last += 1
+                for joined, (lo, hi) in enumerate(((s, s + n), (s - slack, s + n + slack), (s - slack, order[last] + n + slack))):
+                    windows.setdefault((max(lo, 0), max(hi, 0)), joined // 2)
+            for (lo, hi), joined in windows.items():
+                part = words[lo:hi]
+                if sum((bag & Counter(part)).values()) < self.coverage * n:
+                    continue
+                pairs = patience(template, part)
+                if len(pairs) >= self.coverage * n:
+                    fits.add((joined, -len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
             taken: list[tuple[int, int]] = []
-            for minus, first, end in sorted(fits):  # the best alignments that share no word
-                if all(end <= a or b <= first for a, b in taken):
-                    taken.append((first, end))
-                    found.append((at[first][0], -at[end - 1][1], minus, name))
+            for _, minus, first, end in sorted(fits):  # the best alignments that share no word
+                k = bisect_left(taken, (first, end))
+                if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (first, end))
+                    found.append((at[first][0], -at[end - 1][1], minus, minus / n, name))
         out, reach = [], -1
-        for start, minus_end, minus_words, name in sorted(found):
+        for start, minus_end, _, minus_share, name in sorted(found):
             if -minus_end > reach:
                 reach = -minus_end
-                out.append((name, -minus_words / len(self.templates[name]), start, reach))
+                out.append((name, -minus_share, start, reach))
         return out
 
 
