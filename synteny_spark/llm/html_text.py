@@ -63,8 +63,8 @@ def boilerplate(name: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The blocks that no element drops, and whether each lies in a marked article."""
+def lines(page: str, whole: bool = False) -> list[tuple[str, bool]]:
+    """The blocks that no element drops (whole: all of them, as if no element marked any) and whether each lies in a marked article."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
@@ -102,8 +102,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if stack and name in ("p", "li") and stack[-1][0] == name:
                 stack.pop()
                 dropped, in_main = stack[-1][1:] if stack else (False, False)
-            dropped = dropped or boilerplate(name, m["attrs"], in_main)
-            in_main = in_main or name in MAIN or "main" in m["attrs"] and bool(re.search(r"""role\s*=\s*["']?main\b""", m["attrs"]))
+            dropped = not whole and (dropped or boilerplate(name, m["attrs"], in_main))
+            in_main = not whole and (in_main or name in MAIN or "main" in m["attrs"] and bool(re.search(r"""role\s*=\s*["']?main\b""", m["attrs"])))
             stack.append((name, dropped, in_main))
     if not dropped:
         parts.append(page[at:])
@@ -172,8 +172,8 @@ def _ranged(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(copies), "url", "left").withColumn("home", F.col("bucket")).withColumn("bucket", F.explode(F.concat(F.array("home"), F.coalesce("also", F.array().cast("array<int>"))))).withColumn("own", F.col("bucket") == F.col("home"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page. Without marks, differencing alone decides on every line."""
     url = F.col(f"`{url_col}`").cast("string")
     site = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
@@ -184,7 +184,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         def stream() -> Iterator[tuple]:
             for batch in batches:
                 for bucket, own, host, path, page, url, source in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield (bucket, host), url, path, own, page, lines(source)
+                    yield (bucket, host), url, path, own, page, lines(source, not marks)
 
         def result(before: tuple | None, here: tuple, after: tuple | None) -> tuple:
             near = [x for x in (before, after) if x and x[0] == here[0]]
