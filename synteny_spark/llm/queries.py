@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,28 @@ from pyspark.sql import functions as F
 
 from synteny_spark.llm import bpe, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, toxicity
 from synteny_spark.llm.common import table
+from synteny_spark.operators.spread import shared_dir
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle()}
+#: So small a limit splits shards of the smallest tables.
+SMALL_SHARD = 64 << 10
+
+#: Two versions of every document, all scanned, with one ledger, and the second once more.
+HISTORY = """WITH v AS (SELECT 1 AS run, coalesce(text, '') AS text FROM documents UNION ALL SELECT 2, coalesce(text, '') || CASE WHEN source IS NULL THEN '' ELSE chr(10) || 'token = rotated-' || source END FROM documents),
+w AS (SELECT * FROM v UNION ALL SELECT 3, text FROM v WHERE run = 2), f AS (SELECT text, min(run) AS first FROM w GROUP BY text)
+SELECT CAST(w.run AS BIGINT) AS run, count(*) AS n_rows, count(DISTINCT CASE WHEN f.first = w.run THEN w.text END) AS n_scanned FROM w JOIN f USING (text) GROUP BY w.run"""
+
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_SHARD, 40), "secret_history": HISTORY}
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with SMALL_SHARD bytes as the limit."""
+    return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARD)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it leaks."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +65,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the scan over two versions of all documents, and the second again, with one ledger: rows of results and blobs scanned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    later = docs.withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("\ntoken = rotated-"), "source"), F.lit(""))))
+    ledger, known, out = f"{shared_dir(spark).rstrip('/')}/secret-history-{uuid.uuid4().hex}", 0, []
+    for run, version in enumerate((docs, later, later), 1):
+        rows = secrets.scan(version, ledger).count()
+        held = secrets.findings(spark, ledger).count()
+        out.append((run, rows, held - known))
+        known = held
+    return spark.createDataFrame(out, "run long, n_rows long, n_scanned long")  # a row for each run
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -60,6 +88,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "sharding_small": sharding_small,
+    "secret_history": secret_history,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
