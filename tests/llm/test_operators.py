@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from synteny_spark.llm import bpe, decontam, graph, html_text, licenses, packing, quality, secrets, sharding, simhash, toxicity
+from synteny_spark.llm import bpe, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, toxicity
 from synteny_spark.llm.license_texts import TEMPLATES
 from synteny_spark.llm.queries import ORACLES, QUERIES
 
@@ -114,6 +114,17 @@ def test_leaks(spark):
     assert {i: k for i, k in Counter(r.doc_id for r in got).items() if k > 1} == {}
 
 
+def test_shortest_items_and_small_blocks(spark, monkeypatch):
+    """Items of one and two words: whole documents only. Blocks of some characters give the same rows."""
+    docs = spark.createDataFrame([(1, "Forty two!"), (2, "forty two and more"), (3, "yes"), (4, "one small step for all"), (5, ""), (6, None), (7, "two forty")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "forty two"), (11, "YES"), (12, ""), (13, None), (14, "one small step for all"), (15, "forty-two")], "item_id long, text string")
+    want = [(1, 10, 1.0), (1, 15, 1.0), (3, 11, 1.0), (4, 14, 1.0)]
+    for chars in (decontam.BLOCK_CHARS, 10):
+        monkeypatch.setattr(decontam.blocks, "__defaults__", (*decontam.blocks.__defaults__[:3], chars))
+        assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.leaks(docs, items).collect()) == want
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [2, 5, 6, 7]
+
+
 @pytest.mark.parametrize("edit", ["change 4", "change 5", "change 6", "put in 2", "drop 4", "random"])
 def test_spread_edits_are_met(spark, edit):
     """Copies with edits all over, met at the threshold however the seeds fall."""
@@ -171,8 +182,8 @@ def test_simhash_is_whole(spark):
         assert got[i].fingerprint == f"{fps[k]:016x}" and got[i].component_id == min(docs[j][0] for j in range(len(docs)) if root[j] == root[k])
 
 
-@pytest.mark.parametrize("tile", [3, 4000])
-def test_links_lose_no_component(spark, tile):
+@pytest.mark.parametrize("tile,blocks", [(3, None), (4000, 6), (4000, 8)])
+def test_links_lose_no_component(spark, tile, blocks):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for x in list(fps)[:40]:
@@ -183,14 +194,26 @@ def test_links_lose_no_component(spark, tile):
     fps = sorted(fps)
     want = classes(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     at = {simhash.signed(x): i for i, x in enumerate(fps)}
-    edges = [(at[r.a], at[r.b]) for r in simhash.links(spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long"), tile=tile).collect()]
+    edges = [(at[r.x], at[r.y]) for r in simhash.links(spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long"), blocks=blocks, tile=tile).collect()]
     assert classes(len(fps), edges) == want and all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in edges)
 
 
-def test_components(spark):
-    edges = [(i + 1, i) for i in range(30)] + [(50, 60), (61, 60), (50, 61), (70, 70)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 31)} | {60: 50, 61: 50}
+@pytest.mark.parametrize("n", [40, 300])
+def test_pivots_discard_and_lose_no_pair(n):
+    """A skewed bucket: random fingerprints that share 13 bits, and near copies of some. Few pairs come to be compared."""
+    rng, high = random.Random(8), 0x1FFF << 51
+    fps = sorted({(rng.getrandbits(64) & ~high) | (0xABC << 51) for _ in range(n)})
+    fps = sorted({*fps, *(x ^ (1 << rng.randrange(50)) ^ (1 << rng.randrange(50)) for x in fps[:10])})
+    rng.shuffle(fps)
+    left = [(i, j) for i, rest in simhash.near(np.array(fps, np.uint64), 4, simhash.pivots()) for j in rest.tolist()]
+    want = {frozenset((i, j)) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    assert want and want <= set(map(frozenset, left)) and len(left) == len(set(map(frozenset, left)))
+    assert len(left) - len(want) < 0.02 * len(fps) * (len(fps) - 1) / 2
+
+
+def test_more_fingerprints_make_longer_keys():
+    chosen = [simhash.blocks_for(n) for n in (0, 10**5, 10**7, 10**10)]
+    assert chosen == sorted(chosen) and chosen[0] == 5 and chosen[-1] > 6
 
 
 # BPE
@@ -242,7 +265,34 @@ def test_bpe_round_trip(spark):
 def test_patience_aligns_equal_words_in_order(a, b):
     pairs = licenses.patience(a, b)
     assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
-    assert len(pairs) <= len(licenses._common(a, b)) and (a != b or len(pairs) == len(a))
+    assert len(pairs) <= lcs(a, b) and (a != b or len(pairs) == len(a))
+    common = licenses._common(a, b)
+    assert len(common) == lcs(a, b) and all(a[i] == b[j] for i, j in common) and all(i < k and j < m for (i, j), (k, m) in zip(common, common[1:]))
+
+
+def test_large_gaps_are_aligned():
+    """No word is unique, and the gap has far over 10,000 cells."""
+    rng = random.Random(3)
+    a, b = (list(rng.choices("abcdefgh", k=n)) for n in (300, 900))
+    assert len(licenses.patience(a, b)) == len(licenses._common(a, b)) == lcs(a, b) > 200 and len(licenses.patience(a, a[::-1])) > 50
+
+
+@pytest.mark.parametrize("name", ["mit", "apache-2.0-header", "bsd-3-clause", "gpl-3.0-header", "zlib"])
+def test_edited_licences(name):
+    s, rng = licenses.Scanner(), random.Random(1)
+    words = TEMPLATES[name].split()
+    n = len(words)
+    some = set(rng.sample(range(n), n * 15 // 100))
+    changed = " ".join("edited" if i in some else w for i, w in enumerate(words))
+    inserted = " ".join(words[: n // 2] + [f"put{i}" for i in range(n * 9 // 10)] + words[n // 2 :])
+    thrice = " ".join(w for i, w in enumerate(words) for w in ([f"x{i}.{k}" for k in range(n // 5)] if i in (n // 4, n // 2, 3 * n // 4) else []) + [w])
+    far = set(rng.sample(range(n), n * 35 // 100))
+    for text, found in ((changed, True), (inserted, True), (thrice, True), (" ".join("edited" if i in far else w for i, w in enumerate(words)), False)):
+        assert (name in [x[0] for x in s.findings(f"Before it. {text} After it.")]) == found, text
+
+
+def test_licences_of_a_text_full_of_pointers():
+    assert licenses.Scanner().findings("license software warranty " * 3000) == []
 
 
 @pytest.mark.parametrize("name", TEMPLATES)
@@ -332,6 +382,18 @@ def test_toxicity_held_out(spark):
     assert hit / said > 0.95 and hit / true > 0.75  # labels of some rows are chance
 
 
+def test_equal_texts_of_unlike_labels(spark):
+    """The label of most of them counts, in whatever order rows come."""
+    rows = [(i, f"twin {i // 3} {'vile' if i % 3 else 'mild'}" if i % 3 < 2 else f"twin {i // 3} vile", int(i % 2)) for i in range(150)]
+    scores = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(seed + 1)
+        m = toxicity.learned(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+        scores.append(m.scores(["twin 4 vile", "mild", ""]))
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_one_label_alone_gives_its_share(spark):
     docs = odd(spark)
     m = toxicity.learned(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
@@ -374,6 +436,19 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 5
 
 
+def test_pairs_added_twice_change_nothing(spark, tmp_path):
+    """What two scans at the same time leave: the same blob twice in the ledger."""
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(i, f"token = abcdef{i % 3}") for i in range(9)], "doc_id long, text string")
+    first = sorted(map(tuple, secrets.scan(docs, ledger).collect()))
+    secrets.scanned(secrets.blobs(docs)).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    assert spark.read.parquet(ledger).count() == 6 and secrets.findings(spark, ledger).count() == 3
+    assert sorted(map(tuple, secrets.scan(docs, ledger).collect())) == first and len(first) == 9
+    docs.write.parquet(str(tmp_path / "other"))
+    with pytest.raises(Exception, match="blob"):
+        secrets.scan(docs, str(tmp_path / "other"))
+
+
 def test_masking(spark):
     docs = odd(spark, [*ODD, (8, "é token = abcdef1234567890abcdef1234 end", "en", "s", 1, 1, "")])
     got = {r.doc_id: r for r in secrets.masked(docs).collect()}
@@ -410,6 +485,18 @@ def test_quality_query(spark):
         assert failed or labels.get(r.doc_id, r.kept) == r.kept
 
 
+def test_long_texts_are_judged_like_short_ones():
+    rng = random.Random(2)
+    for n in (1999, 2001, 9000):
+        assert quality.RULES["few_words"](quality.Text(" ".join(rng.choices([f"w{i}" for i in range(90)], k=n))))
+        assert not quality.RULES["few_words"](quality.Text(" ".join(rng.choices([f"w{i}" for i in range(3000)], k=n))))
+
+
+def test_costs_are_measured_after_the_counts(spark):
+    seen = quality.measured(spark.createDataFrame([(i, "word " * i) for i in range(60)] + [(99, " ".join(map(str, range(5000))))], "doc_id long, text string"), {"a": lambda t: t.n_words > 25, "b": lambda t: False})
+    assert all(len(s) == len(r) == 2 for s, r in seen) and [r for _, r in seen] == [[True, False]]  # the others fail the base rule
+
+
 def test_cascade_order_and_short_circuit():
     rows = [([1.0, 0.1, 0.1], [True, i < 5, i < 2]) for i in range(10)]
     assert quality.ordered(["dear", "good", "weak"], rows) == ["good", "dear", "weak"]  # after "good", "weak" finds nothing left
@@ -484,6 +571,15 @@ def test_pages_against_their_paragraphs(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_differencing_alone(spark):
+    """What the README says of it: on these pages it keeps menus and adverts, and drops article lines that a neighbour has too."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    both, alone = ({r.page_id: r.text.split("\n") for r in html_text.extract(pages, marks=m).collect()} for m in (True, False))
+    kept = sum(len(x) for x in alone.values())
+    hit = sum(sum((Counter(x) & Counter(both[i])).values()) for i, x in alone.items())
+    assert hit / kept < 0.9 and hit / sum(len(x) for x in both.values()) > 0.8
+
+
 # The queries whose rows SQL can give
 
 

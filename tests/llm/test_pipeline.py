@@ -32,6 +32,7 @@ def test_stages(spark, docs, tmp_path):
             assert ids(now) == sorted(i for i, r in rows.items() if machine.scores([r.text or ""])[0] < toxicity.THRESHOLD)
         if name == "simhash":
             assert ids(now) == sorted({r.component_id for r in simhash.near_duplicates(read).collect()})
+            assert now.count() == len(set(ids(now)))
         if name == "decontamination":
             leaking = {r.doc_id for r in decontam.leaks(read, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
             assert leaking and ids(now) == sorted(set(rows) - leaking)
@@ -46,11 +47,23 @@ def test_stages(spark, docs, tmp_path):
 
 
 def test_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, `__blob` string, component_id long"
-    rows = [(None, "a b", None, None, None, "x", 1), (1, None, None, None, 0, "x", 1), (2, "", None, None, 0, "x", 1), (3, "c d", None, None, 3, "x", 1), (3, "c d", None, None, 3, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__blob` string, `__spans` string, component_id long, row_key string, blob string, spans string, who string, fp long, root long, salt int, `a.b` map<string,int>"
+    more = ("x", "y", 1, "k", "b", "s", "w", 1, 2, 3, {"m": 1})
+    rows = [(None, "a b", None, None, None, *more), (1, None, None, None, 0, *more), (2, "", None, None, 0, *more), (3, "c d", None, None, 3, *more), (3, "c d", None, None, 3, *more)]
     docs = spark.createDataFrame(rows, schema)
     near = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert sorted(map(str, (r.doc_id for r in near.collect()))) == ["1", "3", "None"] and near.columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.drop_leaks(spark, docs, SF).count() == 5 and corpus_pipeline.drop_toxic(spark, docs, SF).count() == 5
+    masked = corpus_pipeline.mask_secrets(spark, spark.createDataFrame([(9, "token = abcdef1234", None, None, 0, *more), *rows], schema), SF).collect()
+    assert len(masked) == 6 and {(r["__blob"], r["__spans"], r.blob, r.spans) for r in masked} == {("x", "y", "b", "s")}
+    assert {r.doc_id: r.text for r in masked}[9] == secrets.MASK
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "one text about the sea and ships that sail on it", "b"), (1, "quite another one: mountains, snow, goats and a hut", "b"), (2, "one text about the sea and ships that sail on it", "a"), (None, "no id at all but some words to tell it by", "c"), (None, "no id at all but some words to tell it by", "c"), (3, "Quite another one: mountains, snow, goats and a hut", "a"), (1, "one text about the sea and ships that sail on it", "a")], "doc_id long, text string, lang string")
+    for _ in range(2):
+        got = sorted(map(str, map(tuple, corpus_pipeline.drop_near_copies(spark, docs, SF).collect())))
+        assert [x[:22] for x in got] == ["(1, 'one text about th", "(1, 'quite another one", "(None, 'no id at all b"]
+        docs = docs.orderBy("lang").repartition(3)
