@@ -1,16 +1,17 @@
 """The corpus pipeline: five stages, each written and read again before the next.
 
-Rows that are kept keep all their columns; the secret stage changes texts (and n_chars) where it masks, the last stage returns
-what it encodes.
+Rows that are kept keep all their columns, whatever their names; the secret stage changes texts (and n_chars) where it masks, the
+last stage returns what it encodes. Null texts count as empty, empty texts are near copies of each other, rows with a null id are
+rows like others. Ids may repeat: rows are told apart by all that they hold, and only the stage for near copies takes equal rows
+for one. Of near copies that with the least id stays (ties: the least hash of the row). An empty table passes all stages as one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from synteny_spark.llm import bpe, decontam, secrets, simhash, toxicity
-from synteny_spark.llm.common import session, table, written
+from synteny_spark.llm.common import discard, session, table, written
 
 #: SQL can't express the fitted model, the hash majority, the alignment or the vocabulary.
 ORACLE_SQL = None
@@ -23,11 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that of the least id. Rows without an id stay: no component is named after them."""
+    """One document of each component."""
     session(spark)
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, docs.doc_id == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    return simhash.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
     session(spark)
     return secrets.masked(docs)
 
@@ -57,9 +57,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            if before is not None:
+                discard(before)  # the next table is written: nothing reads this one any more
+            before = docs
     return docs
