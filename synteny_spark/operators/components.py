@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from synteny_spark.operators.spread import checkpointed, spread_join
 
-#: Edges up to which a hub needs no tasks of its own.
+#: Edges that one task can hold: up to so many it finds the same components without rounds.
 FEW = 100_000
 
 
-def _star(edges: DataFrame, keys: list[str], large: bool, few: bool) -> DataFrame:
+def _at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
+    schema = edges.select(*keys, F.col("x").alias("node"), F.col("y").alias("component")).schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[tuple, tuple] = {}
+
+        def top(v: tuple) -> tuple:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        for batch in batches:
+            for *key, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = top((*key, x)), top((*key, y))
+                root[max(a, b)] = min(a, b)
+        rows = [(*v, top(v)[-1]) for v in list(root)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return edges.repartition(1).mapInArrow(run, schema)
+
+
+def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """edges (x, y), y < x. Large star: the neighbours above a node go to the least of its neighbours and itself; small star: those
     below it, and itself, go there."""
     near = edges.union(edges.select(*keys, F.col("y").alias("x"), F.col("x").alias("y"))) if large else edges
     least = near.groupBy(*keys, "x").agg(F.min("y").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("x", "m"))
     to = least.drop("n")
-    met = near.join(to, [*keys, "x"]) if few else spread_join(near, to, [*keys, "x"], counts=least)
+    met = spread_join(near, to, [*keys, "x"], counts=least)
     if large:
         return met.where("y > x").select(*keys, F.col("y").alias("x"), F.col("m").alias("y")).distinct()
     return met.select(*keys, F.col("y").alias("x"), F.col("m").alias("y")).union(to.select(*keys, "x", F.col("m").alias("y"))).where("x <> y").distinct()
@@ -31,14 +59,16 @@ def components(edges: DataFrame, key: str | None = None) -> DataFrame:
     """
     keys = [key] if key else []
     edges = checkpointed(edges.select(*keys, "x", "y").distinct())
+    if edges.count() <= FEW:
+        return _at_once(edges, keys)
     now = edges.where("x <> y").select(*keys, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     state = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "x", "y").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             break
-        state, few = seen, seen[0] < FEW
-        now = checkpointed(_star(_star(now, keys, True, few), keys, False, few))
+        state = seen
+        now = checkpointed(_star(_star(now, keys, True), keys, False))
     stars = now.select(*keys, F.col("x").alias("node"), F.col("y").alias("component")).union(now.select(*keys, "y", F.col("y").alias("component")).distinct())
     alone = edges.where("x = y").select(*keys, F.col("x").alias("node")).join(stars, [*keys, "node"], "left_anti")
     return stars.union(alone.withColumn("component", F.col("node")))

@@ -44,13 +44,64 @@ def test_turn_of_unknown_strand():
     assert linear.turn((3, 0)) == (3, 10) and linear.turn((3, 10)) == (3, 0)
 
 
-@pytest.mark.parametrize("code", ["1", "2", "31", "32", "33", "34", "35", "36", "40", "41", "42", "432", "44"])
-def test_path_searches(code):
-    edges = sorted([(w, x, y) for x, y, w in (P(0, 1, 1), P(1, 2, 1), P(2, 3, 1), P(0, 3, 5))], reverse=True)
+CODES = ["1", "2", "31", "32", "33", "34", "35", "36", "40", "41", "42", "431", "432", "433", "434", "435", "436", "44"]
+
+
+def found_by(code, start, end, edges):
     table, most = paths.strategies(f"0,{code}|100")
-    nodes, weights = paths.chosen(table, len(edges))[0](g(0), g(3), edges, paths.Budget())
-    assert most == 100 and (nodes, weights) == (([g(0), g(1), g(2), g(3)], [1, 1, 1]) if code == "32" else ([g(0), g(3)], [5]))
-    assert paths.chosen(table, 1)[0](g(0), g(9), edges, paths.Budget()) is None
+    assert most == 100
+    return paths.chosen(table, len(edges))[0](start, end, edges, paths.Budget())
+
+
+@pytest.mark.parametrize("code", CODES)
+def test_path_searches_by_hand(code):
+    edges = sorted([(w, x, y) for x, y, w in (P(0, 1, 1), P(1, 2, 1), P(2, 3, 1), P(0, 3, 5))], reverse=True)
+    assert found_by(code, g(0), g(3), edges) == (([g(0), g(1), g(2), g(3)], [1, 1, 1]) if code == "32" else ([g(0), g(3)], [5]))
+    assert found_by(code, g(0), g(9), edges) is None
+
+
+def simple_paths(start, end, edges):
+    """Every path from start to end that has no gene twice."""
+    step, todo, out = {}, [([start], [])], []
+    for w, x, y in edges:
+        step.setdefault(x, []).append((y, w))
+    while todo:
+        nodes, ws = todo.pop()
+        for y, w in step.get(nodes[-1], ()):
+            if y == end:
+                out.append((nodes + [y], ws + [w]))
+            elif y[0] not in {n[0] for n in nodes} | {end[0]}:
+                todo.append((nodes + [y], ws + [w]))
+    return out
+
+
+def test_path_searches_against_all_paths():
+    """Random graphs of oriented genes. Every search gives one of the paths, or none if there is none; 31 to 33 of start's choices
+    can be told from the enumeration, and 4x and 1, 2 by their weights taken from the heaviest on."""
+    rng, some = random.Random(11), 0
+    for _ in range(250):
+        n = rng.randint(3, 6)
+        nodes = [(i, s) for i in range(1, n) for s in (1, -1)]
+        pairs = {}
+        for _ in range(rng.randint(4, 24)):
+            x, y = rng.choice([*nodes, (0, 1)]), rng.choice([*nodes, (n, 1)])
+            if x[0] != y[0]:
+                pairs[x, y] = rng.randint(1, 5)
+        both = pairs | {(linear.turn(y), linear.turn(x)): w for (x, y), w in pairs.items() if x[0] and y[0] != n}
+        edges = sorted(((w, x, y) for (x, y), w in both.items()), reverse=True)
+        all_ = simple_paths((0, 1), (n, 1), edges)
+        some += len(all_) > 1
+        rank = {e[1:]: i for i, e in enumerate(edges)}
+        ranks = lambda p: sorted(rank[x] for x in zip(p[0], p[0][1:]))  # noqa: B023, E731
+        for code in CODES:
+            p = found_by(code, (0, 1), (n, 1), edges)
+            assert (p is None) == (not all_) or code[0] == "4", code
+            assert p is None or p in all_, code
+            if p and code in ("1", "2"):  # the first set of edges in the order of ranks
+                assert ranks(p) == min(map(ranks, all_)), code
+            if p and code in ("40", "42", "44", "431"):  # no path has a heavier lightest edge
+                assert max(ranks(p)) == min(max(ranks(q)) for q in all_), code
+    assert some > 60
 
 
 def test_timed_search_gives_up():
@@ -89,6 +140,38 @@ def test_collinear_and_diagonals():
     assert [d[4] for d in diagonals.diagonals({"1": [(0, 1), (1, 1)]}, gap, "all", gap=1)] == [[0, 1]]
 
 
+def plain_runs(genes, where, same_strand):
+    """Runs told gene by gene from the pairs of places."""
+    beside = lambda p, s, q, t: p[0] == q[0] and ((q[1], q[2] * t) == (p[1] + s * p[2], p[2] * s) if same_strand else abs(p[1] - q[1]) == 1)
+    out, run = [], []  # of a run: gene, its places still open
+    for i, (f, s) in enumerate(genes):
+        mine = where.get(f, []) if f >= 0 else []
+        pairs = [(p, q) for q in mine for p in (run[-1][1] if run else ()) if beside(p, genes[i - 1][1], q, s)]
+        if pairs:
+            run[-1] = (i - 1, [pairs[0][0]])
+            run.append((i, [pairs[0][1]]))
+        else:
+            out.append(run)
+            run = [(i, mine)]
+    return [(r[-1][1][0][0], [(i, genes[i][1]) for i, _ in r], [p[0][1:] for _, p in r], [genes[i][0] for i, _ in r]) for r in [*out, run] if r and r[0][1]]
+
+
+@pytest.mark.parametrize("same_strand", [True, False])
+def test_collinear_runs_of_many_orthologs(same_strand):
+    rng, long = random.Random(7), 0
+    for _ in range(400):
+        row = [(rng.randint(-1, 5), rng.choice((1, -1))) for _ in range(rng.randint(0, 25))]
+        where = {}
+        for c in "xy":
+            other = [(f, s if rng.random() < 0.8 else -s) for f, s in row] if rng.random() < 0.6 else [(rng.randint(0, 5), rng.choice((1, -1))) for _ in range(12)]
+            for k, (f, s) in enumerate(other if rng.random() < 0.5 else [(f, -s) for f, s in other[::-1]]):
+                where.setdefault(f, []).append((c, k, s))
+        got = [(c, list(a), list(b), list(f)) for c, a, b, f in diagonals.collinear(row, where, same_strand)]
+        assert got == plain_runs(row, where, same_strand)
+        long += any(len(f) > 3 for *_, f in got)
+    assert long > 50
+
+
 def test_block_adjacencies():
     extant = {"1": [(i, 1) for i in range(6)]}
     assert diagonals.block_adjacencies(extant, {1: [(0, 1), (1, 1), (2, 1)], 2: [(3, 1), (4, 1), (5, 1)]}) == [((1, 1), (2, 1))]
