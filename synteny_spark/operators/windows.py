@@ -92,4 +92,4 @@ def dense_index(df: DataFrame, by: str, bucket: Column, order: Sequence[str | Co
     sizes = rows.groupBy(by, "__b").agg(F.count("*").alias("__n"))
     before = sizes.select(by, "__b", (F.sum("__n").over(W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     inside = F.row_number().over(W.partitionBy(by, "__b").orderBy(*order)) - 1
-    return rows.withColumn("__k", inside).join(before, [by, "__b"]).withColumn(name, (F.col("__before") + F.col("__k")).cast("int")).drop("__before", "__k", "__b")
+    return rows.withColumn("__at", inside).join(before, [by, "__b"]).withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__before", "__at", "__b")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from synteny_spark.functions import columns as fc
 from synteny_spark.operators import evidence, filters, joins, stats, windows
+from synteny_spark.operators.spread import checkpointed
 from synteny_spark.operators.trees import SpeciesTree, closure_of
+from synteny_spark.plans import planted
 from synteny_spark.plans import projection as pr
 from synteny_spark.plans.projection import BLOCKS, GENES, PAIRS, TREE, blocks, genes, table
 
@@ -111,15 +113,13 @@ def rename_unique(spark, sf):
 # Orthologs
 
 
-ORTHO = GENES + """, l AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 1 AND chrom % 7 = 0), r AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 2 AND chrom % 7 = 0),
-o AS (SELECT l.gene gene1, r.gene gene2 FROM l JOIN r ON l.pkey = r.pkey UNION SELECT l.gene, r.gene FROM l JOIN r ON l.fam = r.fam AND l.fam < 40)"""
+ORTHO = GENES + """, l AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 1), r AS (SELECT DISTINCT chrom * 100 + pos AS gene, pkey, fam FROM g WHERE sp = 2),
+o AS (SELECT l.gene gene1, r.gene gene2 FROM l JOIN r ON l.fam = r.fam)"""
 
 
-def _sides(spark, sf, whole=False):
-    """Genes of two genomes and the families of all parts; the SQL twins' share of both, unless whole."""
+def _sides(spark, sf):
+    """Genes of two genomes and the families of all parts; equal parts are of one family."""
     g, parts = genes(spark, sf), table(spark, sf, "lineitem").select("l_partkey").distinct()
-    if not whole:
-        g, parts = g.where("chrom % 7 = 0"), parts.where("l_partkey % 200 < 40")
     g = g.select("sp", (F.col("chrom") * 100 + F.col("pos")).alias("gene"), F.array(F.concat(F.lit("p"), F.col("pkey"))).alias("names"))
     fams = parts.groupBy((F.col("l_partkey") % 200).cast("int").alias("fam_idx")).agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey"))).alias("members")).select(F.lit("A").alias("anc"), "fam_idx", F.concat(F.lit("f"), "fam_idx").alias("name"), "members")
     return g.where("sp = 1").drop("sp"), g.where("sp = 2").drop("sp"), fams
@@ -135,38 +135,36 @@ def ortholog_table_gaps(spark, sf):
     return joins.orthologs(*_sides(spark, sf), gaps=True)
 
 
-@query(f"WITH {GENES} SELECT chrom, pos, CASE WHEN fam < 40 THEN fam ELSE -1 END AS fam FROM g WHERE sp = 1 AND chrom % 7 = 0")
+@query(f"WITH {GENES} SELECT chrom, pos, fam FROM g WHERE sp = 1")
 def translate_families(spark, sf):
-    return _translated(*_sides(spark, sf))
-
-
-def _translated(left, _, fams):
+    left, _, fams = _sides(spark, sf)
     out = joins.translate(left.select("gene", F.col("names")[0].alias("name")), fams)
     return out.select(F.floor(F.col("gene") / 100).cast("bigint").alias("chrom"), (F.col("gene") % 100).cast("bigint").alias("pos"), F.col("fam").cast("bigint").alias("fam"))
 
 
-# The same over the whole tables, where DuckDB takes too long
-
-
-@query()
-def ortholog_table_whole(spark, sf):
-    return joins.orthologs(*_sides(spark, sf, True))
+@query(f"WITH {GENES}, x AS (SELECT DISTINCT 'p' || pkey AS name FROM g WHERE sp = 2 AND strand = -1) SELECT DISTINCT chrom, pos FROM g JOIN x ON x.name = 'p' || pkey WHERE sp = 1")
+def gene_positions(spark, sf):
+    """Places in one genome of the genes that the other has read backwards."""
+    g = genes(spark, sf)
+    names = F.concat(F.lit("p"), F.col("pkey"))
+    here = g.where("sp = 1").select(F.lit("M1").alias("genome"), "chrom", F.col("pos").alias("idx"), F.array(names).alias("names"))
+    return joins.positions(here, g.where("sp = 2 and strand = -1").select(names.alias("name"))).select("chrom", F.col("idx").cast("bigint").alias("pos"))
 
 
-@query()
-def ortholog_table_gaps_whole(spark, sf):
-    return joins.orthologs(*_sides(spark, sf, True), gaps=True)
+COMMON = """y AS (SELECT l_suppkey % 3 AS sp, l_orderkey AS chrom, l_linenumber AS pos, l_partkey AS fam FROM lineitem),
+f1 AS (SELECT * FROM y WHERE sp IN (1, 2) AND fam IN (SELECT fam FROM y WHERE sp = 1 INTERSECT SELECT fam FROM y WHERE sp = 2)), c1 AS (SELECT * FROM f1 QUALIFY count(*) OVER (PARTITION BY sp, chrom) >= 2)"""
 
 
-@query()
-def translate_families_whole(spark, sf):
-    return _translated(*_sides(spark, sf, True))
+def _rounds(n: int) -> str:
+    """The next rounds of the fixed point: families of both, then chromosomes of two such genes."""
+    return ", ".join(f"f{i} AS (SELECT * FROM c{i - 1} WHERE fam IN (SELECT fam FROM c{i - 1} WHERE sp = 1 INTERSECT SELECT fam FROM c{i - 1} WHERE sp = 2)), c{i} AS (SELECT * FROM f{i} QUALIFY count(*) OVER (PARTITION BY sp, chrom) >= 2)" for i in range(2, n + 1))
 
 
-@query(f"WITH {GENES}, b AS (SELECT fam FROM g WHERE sp IN (1, 2) AND fam % 11 = sp % 3 OR sp IN (1, 2) AND fam % 2 = 0 GROUP BY fam HAVING count(DISTINCT sp) = 2) SELECT sp, chrom, pos, fam FROM g JOIN b USING (fam) WHERE sp IN (1, 2) AND (fam % 11 = sp % 3 OR fam % 2 = 0)")
+@query(f"WITH {COMMON}, {_rounds(12)} SELECT sp, chrom, pos, fam FROM c12")
 def common_families(spark, sf):
-    g = genes(spark, sf).where("fam % 11 = sp % 3 or fam % 2 = 0").withColumn("genome", F.col("sp").cast("string"))
-    return joins.common_families(g, "1", "2").select("sp", "chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
+    """Genes of families that two genomes share, on chromosomes that keep two of them, to the fixed point."""
+    y = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("sp"), F.col("l_orderkey").alias("chrom"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("fam"))
+    return joins.common_families(y.withColumn("genome", F.col("sp").cast("string")), "1", "2", 2).select("sp", "chrom", F.col("pos").cast("bigint").alias("pos"), "fam")
 
 
 # Adjacency and evidence
@@ -240,7 +238,7 @@ def _evidence_tables(spark, sf):
 @query("WITH " + E3)
 def propagated_evidence(spark, sf):
     tree, g, fams, lineages = _evidence_tables(spark, sf)
-    obs = evidence.observations(g, fams, F.broadcast(lineages)).persist()
+    obs = checkpointed(evidence.observations(g, fams, F.broadcast(lineages)))
     out = evidence.weights(evidence.propagated(obs, tree.closure(spark)), tree.groups(spark))
     return out.select("anc", "a", F.col("sa").cast("bigint").alias("sa"), "b", F.col("sb").cast("bigint").alias("sb"), "weight")
 
@@ -486,14 +484,6 @@ def unused_genes(spark, sf):
     return genes(spark, sf).select((F.col("pkey") % 1000).alias("id")).distinct().join(ids, "id", "left_anti")
 
 
-@query(f"WITH {WEIGHT}, gap AS (SELECT fam AS f, strand AS s, chrom % 3 AS w FROM g WHERE sp = 3 AND pos = 1) SELECT DISTINCT f, s, w, b, sb, weight, CASE WHEN w <> 0 THEN weight / w ELSE weight END AS score FROM gap JOIN r ON r.a = f AND r.sa = s AND r.weight > w")
-def insertion_candidates(spark, sf):
-    gap = genes(spark, sf).where("sp = 3 and pos = 1").select(F.col("fam").alias("f"), F.col("strand").alias("s"), (F.col("chrom") % 3).alias("w"))
-    r = _adjacency(spark, sf)
-    select = F.expr("case when w <> 0 then weight / w else weight end").cast("double")
-    return gap.join(r, (F.col("a") == F.col("f")) & (F.col("sa") == F.col("s")) & (F.col("weight") > F.col("w"))).select("f", "s", "w", "b", "sb", "weight", select.alias("score")).distinct()
-
-
 @query("SELECT * FROM " + values("('D','Y'),('S','M1'),('B','0.9')", "k, v"))
 def nhx_tags(spark, sf):
     return spark.createDataFrame([("D=Y:S=M1:DD:B=0.9",)], "c string").select(F.explode(fc.nhx_tags(F.col("c"))).alias("k", "v"))
@@ -526,15 +516,14 @@ def karyotype_rank(spark, sf):
     return karyotype(g.where("sp = 1"), g.where("sp = 2"))
 
 
-BIP = """b AS (SELECT DISTINCT 2 * (l_suppkey * 7919 + l_linenumber * 31 + l_partkey % 97) AS x, 2 * l_partkey + 1 AS y FROM lineitem WHERE l_partkey % 5 = 0 AND l_quantity < 4),
+BIP = """b AS (SELECT DISTINCT 2 * (l_suppkey * 7919 + l_linenumber * 31 + l_partkey % 97) AS x, 2 * l_partkey + 1 AS y FROM lineitem),
 u AS (SELECT x AS p, y AS q FROM b UNION SELECT y, x FROM b)"""
-COMP = "r(node, other) AS (SELECT p, q FROM u UNION SELECT r.node, u.q FROM r JOIN u ON u.p = r.other), k AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)"
+#: Each node's least label so far, lowered along edges.
+COMP = "k(node, component) USING KEY (node) AS (SELECT p, least(p, min(q)) FROM u GROUP BY p UNION SELECT u.p, min(k.component) FROM k JOIN u ON u.q = k.node JOIN recurring.k AS now ON now.node = u.p WHERE k.component < now.component GROUP BY u.p)"
 
 
-def _bipartite(spark, sf, whole=False):
+def _bipartite(spark, sf):
     lines = table(spark, sf, "lineitem")
-    if not whole:
-        lines = lines.where("l_partkey % 5 = 0 and l_quantity < 4")
     return lines.select((2 * (F.col("l_suppkey") * 7919 + F.col("l_linenumber") * 31 + F.col("l_partkey") % 97)).alias("x"), (2 * F.col("l_partkey") + 1).alias("y")).distinct()
 
 
@@ -553,67 +542,23 @@ def gene_diff(spark, sf):
     return find(_bipartite(spark, sf).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
 
 
-@query()
-def components_whole(spark, sf):
-    from synteny_spark.operators.components import components as find
-
-    return find(_bipartite(spark, sf, True))
-
-
-@query()
-def gene_diff_whole(spark, sf):
-    from synteny_spark.operators.compare import gene_diff as find
-
-    return find(_bipartite(spark, sf, True).withColumnsRenamed({"x": "gene1", "y": "gene2"}))
-
-
-# Reconstruction: kernels, each reduced to what SQL can check
-
-
-def _adj(spark, sf) -> DataFrame:
-    return _adjacency(spark, sf).select(F.lit("A0").alias("anc"), *[F.col(c).cast("int").alias(c) for c in ("a", "sa", "b", "sb")], "weight")
-
-
-def _universe(spark, sf) -> DataFrame:
-    return genes(spark, sf).select(F.lit("A0").alias("anc"), F.col("fam").cast("int").alias("id")).distinct()
+# Reconstruction: whole blocks of planted genomes
 
 
-def _denovo(spark, sf) -> DataFrame:
-    from synteny_spark.operators.spread import checkpointed
-    from synteny_spark.operators.linear import denovo
-
-    return checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 1, True))
-
-
-def _times(blocks: DataFrame) -> DataFrame:
-    """How often each id is in a block."""
-    return blocks.select(F.explode("ids").alias("id")).groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count("*").alias("times"))
-
-
-def _flat(blocks: DataFrame) -> DataFrame:
-    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
-    return blocks.select("anc", F.col("n").cast("bigint").alias("n"), text("ids"), text("strands"), text("support"))
-
-
-@query(f"""WITH {WEIGHT}, k AS (SELECT * FROM r WHERE weight > 0) SELECT (SELECT count(*) FROM k) AS edges, (SELECT max(weight) FROM k) AS heaviest, CAST(0 AS BIGINT) AS forks, true AS whole""")
+@query(f"WITH RECURSIVE {planted.pairs_sql('ed', True)}, {planted.greedy_sql('ac', 'SELECT * FROM ed')} SELECT ed.a, CAST(ed.sa AS BIGINT) AS sa, ed.b, CAST(ed.sb AS BIGINT) AS sb, ed.weight, ac.a IS NOT NULL AS accepted FROM ed LEFT JOIN ac ON ac.a = ed.a AND ac.sa = ed.sa AND ac.b = ed.b AND ac.sb = ed.sb")
 def linear_forest(spark, sf):
-    """All edges get a verdict, the heaviest is accepted, no end is taken twice and accepted edges are fewer than their nodes."""
-    from synteny_spark.operators.spread import checkpointed
+    """Every adjacency, and whether the forest takes it."""
     from synteny_spark.operators.linear import forest_edges
 
-    e = checkpointed(forest_edges(_adj(spark, sf), 1))
-    kept = e.where("verdict = 'accepted'")
-    ends = kept.select("a", F.col("sa").alias("s")).union(kept.select("b", -F.col("sb")))
-    forks = ends.groupBy("a", "s").agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("forks"))
-    nodes = ends.agg(F.countDistinct("a").alias("nodes"))
-    counts = e.agg(F.count("*").alias("edges"), F.max(F.when(F.col("verdict") == "accepted", F.col("weight"))).alias("heaviest"), F.count(F.when(F.col("verdict") == "accepted", 1)).alias("accepted"))
-    return counts.crossJoin(forks).crossJoin(nodes).select("edges", "heaviest", "forks", (F.col("accepted") < F.col("nodes")).alias("whole"))  # rows of one
+    e = forest_edges(planted.adjacencies(spark, sf, True), 1)
+    return e.select(*big("a", "sa", "b", "sb", "weight"), (F.col("verdict") == "accepted").alias("accepted"))
 
 
-@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+@query(planted.DENOVO)
 def denovo_blocks(spark, sf):
-    """Every family is in one block, once."""
-    return _times(_denovo(spark, sf))
+    from synteny_spark.operators.linear import denovo
+
+    return planted.flat(denovo(planted.adjacencies(spark, sf, True), planted.universe(spark, sf)))
 
 
 HAND = {
@@ -637,68 +582,51 @@ def _hand(spark, name, shortcuts):
 
     edges, n, _ = HAND[name]
     adj = spark.createDataFrame([("A0", a, 1, b, 1, w) for a, b, w in edges], "anc string, a int, sa int, b int, sb int, weight long")
-    return _flat(denovo(adj, spark.range(n).select(F.lit("A0").alias("anc"), F.col("id").cast("int").alias("id")), 1, shortcuts))
+    return planted.flat(denovo(adj, spark.range(n).select(F.lit("A0").alias("anc"), F.col("id").cast("int").alias("id")), 1, shortcuts)).drop("block_id")
 
 
-@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+@query(planted.FUSION)
 def fusion(spark, sf):
+    """Blocks of heavy edges, joined further by all."""
+    from synteny_spark.operators.linear import denovo
     from synteny_spark.operators.linear import fusion as fuse
 
-    out = fuse(_denovo(spark, sf), _adj(spark, sf), _universe(spark, sf), only_singletons=False)
-    return _times(out)
+    adj, all_ = planted.adjacencies(spark, sf, True), planted.universe(spark, sf)
+    return planted.flat(fuse(checkpointed(denovo(adj, all_, 3)), adj, all_, only_singletons=False, shortcuts=False))
 
 
-@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
-def fill_in(spark, sf):
-    """Blocks of heavy edges, filled with singletons along the lighter ones: no gene is lost or used twice."""
+def _filled(spark, sf) -> DataFrame:
+    """Blocks of the families that no species lacks, filled with the others."""
     from synteny_spark.operators.linear import denovo
     from synteny_spark.operators.recon import fill_in as fill
 
-    adj = _adj(spark, sf)
-    out = fill(denovo(adj, _universe(spark, sf), 3), adj, _universe(spark, sf))
-    return _times(out)
-
+    all_ = planted.universe(spark, sf)
+    sure = checkpointed(denovo(planted.adjacencies(spark, sf, False, True), all_))
+    return fill(sure, planted.adjacencies(spark, sf, False), all_)
 
-@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
-def insertion(spark, sf):
-    from synteny_spark.operators.spread import checkpointed
-    from synteny_spark.operators.linear import denovo
-    from synteny_spark.operators.recon import insertion as insert
 
-    adj = _adj(spark, sf)
-    heavy = checkpointed(denovo(adj, _universe(spark, sf), 3))
-    out = insert(heavy, heavy, adj)
-    return _times(out)
+@query(planted.FILL_IN)
+def fill_in(spark, sf):
+    return planted.flat(_filled(spark, sf))
 
 
-def _support(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Blocks and the species' support of adjacencies between them, by diagonals of at least one gene; a species is one chromosome
-    of each family's first gene."""
-    from synteny_spark.operators.spread import checkpointed
-    from synteny_spark.operators.diagonals import adjacency_evidence
-    from synteny_spark.operators.linear import denovo
+@query(planted.INSERTION)
+def insertion(spark, sf):
+    from synteny_spark.operators.recon import insertion as insert
 
-    built = checkpointed(denovo(_adj(spark, sf), _universe(spark, sf), 3))
-    g = genes(spark, sf)
-    species = g.select(F.concat(F.lit("M"), "sp").alias("species")).distinct()
-    first = g.groupBy("sp", "fam").agg(F.min(F.struct(F.col("chrom"), F.col("pos"), F.col("strand"))).alias("x"))  # at most 200 families in each of five species
-    extant = first.select(F.lit("A0").alias("anc"), F.concat(F.lit("M"), "sp").alias("species"), F.lit("1").alias("chrom"), (F.col("x.chrom") * 10 + F.col("x.pos")).alias("idx"), F.col("fam").cast("int").alias("fam"), F.col("x.strand").alias("strand"))
-    rows = built.select("anc", "block_id", F.posexplode(F.arrays_zip("ids", "strands")).alias("idx", "x")).select("anc", "block_id", "idx", F.col("x.ids").alias("fam"), F.col("x.strands").alias("strand"))
-    return built, checkpointed(adjacency_evidence(extant, rows.crossJoin(F.broadcast(species)), 1))  # five species
+    filled = checkpointed(_filled(spark, sf))
+    return planted.flat(insert(filled, filled, planted.adjacencies(spark, sf, False, product=False)))
 
 
-@query(f"WITH {GENES} SELECT DISTINCT fam AS id, CAST(1 AS BIGINT) AS times FROM g")
+@query(planted.SCAFFOLDS)
 def scaffolds(spark, sf):
-    from itertools import combinations
-
     from synteny_spark.operators.diagonals import scaffold_edges
     from synteny_spark.operators.diagonals import scaffolds as build
+    from synteny_spark.operators.linear import numbered
 
-    built, seen = _support(spark, sf)
-    tree = SpeciesTree.read(TREE)
-    pairs = [(a, x, y) for x, y in combinations(tree.species, 2) for a in tree.path(x, y)[1:-1]]
-    out = build(built, scaffold_edges(seen, spark.createDataFrame(pairs, "anc string, e1 string, e2 string")))
-    return _times(out)
+    blocks_, seen = planted.ten_by_ten(spark, sf)
+    pairs = spark.createDataFrame([("A0", x, y) for x in ("M1", "M2", "M3") for y in ("M4", "M5")], "anc string, e1 string, e2 string")
+    return planted.flat(numbered(build(blocks_, scaffold_edges(checkpointed(seen), pairs), shortcuts=False)))
 
 
 TURNED = """u AS (SELECT s, p_partkey AS k, p_partkey // 50 AS c, (p_partkey // 50 + s) % 4 = 0 AS back FROM part, range(1, 6) t(s)),
