@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from synteny_spark.operators.genetrees import extract_families, ingest_groups
 from synteny_spark.operators.trees import SpeciesTree
+from synteny_spark.operators.windows import dense_index
 from synteny_spark.plans import workflow
 from synteny_spark.plans.cluster import send_package
 from synteny_spark.sources import readers, sinks
@@ -35,9 +36,7 @@ def with_extant(families: DataFrame, genes: DataFrame) -> DataFrame:
     """families, and each gene of a species that has none as a family of its own."""
     missing = genes.join(families.select(F.col("anc").alias("species")).distinct(), "species", "left_anti")
     own = missing.select(F.col("species").alias("anc"), F.xxhash64("species", "name").alias("k"), "name")
-    from synteny_spark.operators.genetrees import dense_index
-
-    numbered = dense_index(own.withColumn("b", F.pmod("k", F.lit(1024))), "anc", "b", ["name"], "fam_idx")
+    numbered = dense_index(own, "anc", F.pmod("k", F.lit(1024)), ["name"], "fam_idx")
     return families.unionByName(numbered.select("anc", "fam_idx", F.lit(None).cast("string").alias("name"), F.array("name").alias("members")))
 
 

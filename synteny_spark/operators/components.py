@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from synteny_spark.operators.spread import checkpointed, spread_join
 
 #: Edges that one task can hold: up to so many it finds the same components without rounds.
-FEW = 100_000
+FEW = 400_000
 
 
 def _at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,9 +20,10 @@ def _at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[tuple, tuple] = {}
+        root: dict = {}
+        keyed = bool(keys)
 
-        def top(v: tuple) -> tuple:
+        def top(v):
             while root.setdefault(v, v) != v:
                 root[v] = root[root[v]]
                 v = root[v]
@@ -30,9 +31,9 @@ def _at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
 
         for batch in batches:
             for *key, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = top((*key, x)), top((*key, y))
+                a, b = (top((*key, x)), top((*key, y))) if keyed else (top(x), top(y))
                 root[max(a, b)] = min(a, b)
-        rows = [(*v, top(v)[-1]) for v in list(root)]
+        rows = [(*v, top(v)[-1]) for v in list(root)] if keyed else [(v, top(v)) for v in list(root)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synteny_spark.operators.spread import checkpointed
 from synteny_spark.sources.newick import Node, collapse, number_unnamed, parse, parse_table
 
 
@@ -190,13 +191,18 @@ class SpeciesTree:
         return spark.createDataFrame(rows, "anc string, species string, grp int")
 
 
-def closure_of(edges: DataFrame, name: str = "tree_edges") -> DataFrame:
-    """anc, desc, depth of any table of edges (parent, node) that form trees, by a recursive query."""
-    edges.select("parent", "node").createOrReplaceTempView(name)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE c(anc, desc, depth) AS (
-          SELECT node, node, 0 FROM {name} UNION ALL SELECT e.parent, c.desc, c.depth + 1 FROM c JOIN {name} e ON e.node = c.anc WHERE e.parent IS NOT NULL)
-        SELECT anc, desc, depth FROM c""")
+def closure_of(edges: DataFrame) -> DataFrame:
+    """anc, desc, depth of any table of edges (parent, node) that form trees, of any size: each round doubles the reach of the steps
+    up, and so of what is known, so there are as many rounds as the logarithm of the depth."""
+    far = 1
+    up = checkpointed(edges.where("parent is not null").select("node", F.col("parent").alias("to")))
+    known = checkpointed(edges.select(F.col("node").alias("anc"), F.col("node").alias("desc"), F.lit(0).alias("depth")))
+    while not up.isEmpty():
+        more = known.join(up, F.col("anc") == F.col("node")).select(F.col("to").alias("anc"), "desc", (F.col("depth") + far).alias("depth"))
+        known = checkpointed(known.union(more))
+        up = checkpointed(up.select("node", F.col("to").alias("mid")).join(up.select(F.col("node").alias("mid"), "to"), "mid").select("node", "to"))
+        far *= 2
+    return known
 
 
 def pair_paths(closure: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def _evidence_tables(spark, sf):
 def propagated_evidence(spark, sf):
     tree, g, fams, lineages = _evidence_tables(spark, sf)
     obs = checkpointed(evidence.observations(g, fams, F.broadcast(lineages)))
-    out = evidence.weights(evidence.propagated(obs, tree.closure(spark)), tree.groups(spark))
+    out = evidence.propagated_weights(obs, tree.closure(spark), tree.groups(spark))
     return out.select("anc", "a", F.col("sa").cast("bigint").alias("sa"), "b", F.col("sb").cast("bigint").alias("sb"), "weight")
 
 
@@ -290,7 +290,7 @@ def subtree_totals(spark, sf):
     tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     edges = r.select(tag("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent")).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey"))).union(c.select(tag("c", "c_custkey"), tag("n", "c_nationkey")))
     counts = table(spark, sf, "orders").groupBy(tag("c", "o_custkey").alias("desc")).agg(F.count("*").alias("n"))
-    return closure_of(edges, "hierarchy_edges").join(counts, "desc").groupBy("anc").agg(F.sum("n").alias("n"))
+    return closure_of(edges).join(counts, "desc").groupBy("anc").agg(F.sum("n").alias("n"))
 
 
 # Statistics
@@ -668,26 +668,37 @@ def _forest(spark, sf) -> DataFrame:
     return t.select("tree_id", "node_id", "parent_id", "child_ord", F.lit(1.0).alias("branch_len"), "taxon", dup, gene, F.concat(F.lit("Fam"), "tree_id").alias("tree_name"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT anc, sum(m) AS genes, count(*) AS families FROM (
-SELECT 'A0' AS anc, CASE WHEN k % 5 = 0 THEN 4 ELSE 5 END AS m FROM p UNION ALL SELECT 'A1', 3 FROM p UNION ALL SELECT 'A2', CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END FROM p UNION ALL SELECT 'A3', 2 FROM p WHERE k % 3 <> 0
-UNION ALL SELECT 'A3', 1 FROM p WHERE k % 3 = 0 UNION ALL SELECT 'A3', 1 FROM p WHERE k % 3 = 0 UNION ALL SELECT 'M' || s, 1 FROM p, range(1, 6) t(s) WHERE NOT (k % 5 = 0 AND s = 4)) GROUP BY anc""")
+#: Families of each tree in the order in which they are made: inner ones before those around them.
+MADE = """p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS split, p_partkey % 5 = 0 AS lost FROM part),
+m AS (SELECT k, s, 'M' || s || '_' || k AS gene FROM p, range(1, 6) t(s) WHERE NOT (lost AND s = 4)),
+made AS (SELECT k, CASE s WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 5 WHEN 4 THEN 7 ELSE 8 END AS ord, 'M' || s AS anc, CASE WHEN split AND s <= 2 THEN 'Fam' || k || CASE s WHEN 1 THEN '.a' ELSE '.b' END ELSE 'Fam' || k END AS name, gene AS members FROM m JOIN p USING (k)
+UNION ALL SELECT k, 4, 'A3', 'Fam' || k, 'M1_' || k || ' M2_' || k FROM p WHERE NOT split
+UNION ALL SELECT k, 2, 'A3', 'Fam' || k || '.a', 'M1_' || k FROM p WHERE split UNION ALL SELECT k, 3, 'A3', 'Fam' || k || '.b', 'M2_' || k FROM p WHERE split
+UNION ALL SELECT k, 6, 'A1', 'Fam' || k, 'M1_' || k || ' M2_' || k || ' M3_' || k FROM p
+UNION ALL SELECT k, 9, 'A2', 'Fam' || k, CASE WHEN lost THEN '' ELSE 'M4_' || k || ' ' END || 'M5_' || k FROM p
+UNION ALL SELECT k, 10, 'A0', 'Fam' || k, 'M1_' || k || ' M2_' || k || ' M3_' || k || CASE WHEN lost THEN '' ELSE ' M4_' || k END || ' M5_' || k FROM p)"""
+
+
+@query(f"WITH {MADE} SELECT anc, row_number() OVER (PARTITION BY anc ORDER BY k, ord) - 1 AS fam_idx, name, members FROM made")
 def family_extraction(spark, sf):
+    """Every family: its number, name and genes."""
     from synteny_spark.operators.genetrees import extract_families
 
     f = extract_families(_forest(spark, sf), SpeciesTree.read(TREE))
-    return f.groupBy("anc").agg(F.sum(F.size("members")).alias("genes"), F.count("*").alias("families"))
+    return f.select("anc", F.col("fam_idx").cast("bigint").alias("fam_idx"), "name", F.array_join("members", " ").alias("members"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k FROM part) SELECT 'A0' AS anc, k, CAST(5 AS BIGINT) AS genes FROM p WHERE k % 5 <> 0 AND k % 3 <> 0 UNION ALL SELECT 'A1', k, 3 FROM p WHERE k % 3 <> 0 UNION ALL SELECT 'A2', k, 2 FROM p WHERE k % 5 <> 0""")
+@query(f"""WITH {MADE}, n AS (SELECT anc, row_number() OVER (PARTITION BY anc ORDER BY k, ord) - 1 AS fam_idx, name, members, split, lost FROM made JOIN p USING (k) WHERE anc LIKE 'A%')
+SELECT anc, fam_idx, name, CASE WHEN anc = 'A0' AND (split OR lost) OR anc IN ('A1', 'A3') AND split OR anc = 'A2' AND lost THEN '' ELSE members END AS members FROM n""")
 def family_filter(spark, sf):
-    """Families of all species below their ancestor, once each. Parts without a gene of M4 lose A0 and A2; those whose A3 family
-    split lose its halves, and so A1 and A0."""
+    """Families of all species below their ancestor, once each, with the others emptied. Parts without a gene of M4 lose A0 and A2;
+    those whose A3 family split lose its halves, and so A1 and A0."""
     from synteny_spark.operators.genetrees import extract_families
     from synteny_spark.operators.genetrees import filter_families as keep
 
     tree = SpeciesTree.read(TREE)
-    f = keep(extract_families(_forest(spark, sf), tree), tree, 1.0, 1.0)
-    return f.where("anc in ('A0', 'A1', 'A2') and size(members) > 0").select("anc", F.regexp_extract("name", "^Fam([0-9]+)", 1).cast("bigint").alias("k"), F.size("members").cast("bigint").alias("genes"))
+    f = keep(checkpointed(extract_families(_forest(spark, sf), tree)), tree, 1.0, 1.0)
+    return f.select("anc", F.col("fam_idx").cast("bigint").alias("fam_idx"), "name", F.array_join("members", " ").alias("members"))
 
 
 def _edit(spark, sf, edit) -> DataFrame:
