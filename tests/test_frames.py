@@ -155,6 +155,28 @@ def test_workflow_file(world):
         workflow.run_ini(r, ["> Integration", "melt (all)"])
 
 
+def test_steps_of_other_inputs_are_not_reused(world, tmp_path):
+    """The same folder with other genes, then with another tree."""
+    tree, genes, families = world
+    count = lambda *w: workflow.Reconstruction(*w, folder=str(tmp_path)).pairs(workflow.Reconstruction(*w, folder=str(tmp_path)).families).table.count()
+    first = count(tree, genes, families)
+    assert count(tree, genes.where("idx < 3"), families) < first
+    assert count(tree, genes, families.where("fam_idx < 4")) < first and count(tree, genes, families) == first
+    other = SpeciesTree.read("((((M1:10,M2:10)A3:0,M3:10)A1:0,M4:10)A2:0,M5:10)A0;")
+    assert workflow.Reconstruction(other, genes, families, folder=str(tmp_path)).families.key != workflow.Reconstruction(tree, genes, families, folder=str(tmp_path)).families.key
+
+
+def test_workflow_file_with_targets(world):
+    r = workflow.Reconstruction(*world)
+    text = "> AncGenes\nall = all\n1,2 = 1.0 1.0, 0.5 2.0\n> Pairwise\nall = conservedPairs\n1 = conservedPairs\n2 = conservedPairs\n> Integration\ndenovo (1) ! =A1\n[/mixed/] copy\ndenovo (2) ! =A0,=A2\n[/mixed/] copy\nfillin (all) ! A0\n[more] insertion -selectionFunction=newscore^-^oldscore (all)\n"
+    steps = workflow.run_ini(r, text.splitlines())
+    assert {"blocks/denovo-size-1.0-1.0", "blocks/mixed", "blocks/mixed.fillin-all", "blocks/mixed.fillin-all.more-all"} <= set(steps)
+    ancestors = lambda k: {x.anc for x in steps[k].table.select("anc").distinct().collect()}
+    assert ancestors("blocks/denovo-size-1.0-1.0") == {"A1"} and ancestors("blocks/mixed") == {"A0", "A1", "A2"}
+    assert ancestors("blocks/mixed.fillin-all") == {"A0", "A1", "A2", "A3"}  # all ancestors below A0, A3 with singletons alone
+    assert r.accounting().where("seconds > 0").count() >= 8
+
+
 def test_stream(spark, tmp_path):
     g = spark.createDataFrame([("s", "c", i, f, 1) for i, f in enumerate([0, 1, 2])], "genome string, chrom string, pos int, fam int, strand int")
     g.write.parquet(str(tmp_path / "in"))
