@@ -123,3 +123,22 @@ def gene_density(genes: DataFrame) -> DataFrame:
     """Of genes (genome, chrom, beg, end): each chromosome's genes, extent, gene length and mean distance between genes."""
     g = genes.groupBy("genome", "chrom").agg(F.count("*").alias("n"), (F.max("end") - F.min("beg")).alias("extent"), F.sum(F.col("end") - F.col("beg")).alias("covered"))
     return g.withColumn("mean_gap", (F.col("extent") - F.col("covered")) / F.nullif(F.col("n") - 1, F.lit(0)))
+
+
+def window_content(sequence: str, first: Column, last: Column, wanted: Sequence[str]) -> tuple[Column, Column]:
+    """Of a sequence column's letters first to last (from 0), or its pairs of letters that begin there before last: how many there are
+    without an N, and how many of these are wanted. wanted has strings of one length, one or two; pairs overlap."""
+    k = len(wanted[0])
+    part = F.substring(F.col(sequence), first + 1, last - first + 1)
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(part) - (k - 1), F.lit(1)))
+    whole = F.transform(at, lambda i: F.substring(part, i, F.lit(k)))
+    known = F.filter(whole, lambda x: (F.char_length(x) == k) & ~x.contains("N"))
+    return F.size(known).cast("bigint"), F.size(F.filter(known, lambda x: x.isin(*wanted))).cast("bigint")
+
+
+def family_composition(families: DataFrame, genes: DataFrame) -> DataFrame:
+    """anc, fam_idx, species, members: each family's genes in each species that has any; genes has species and name. Genes that no
+    species has are left out, repeated names count once."""
+    each = families.select("anc", "fam_idx", F.explode("members").alias("name"))
+    met = each.join(genes.select("species", "name").distinct(), "name")
+    return met.groupBy("anc", "fam_idx", "species").agg(F.sort_array(F.collect_set("name")).alias("members"))

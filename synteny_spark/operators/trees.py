@@ -67,6 +67,14 @@ class SpeciesTree:
             out.append(self.parent[out[-1]])
         return out
 
+    def species_since(self, ancestor: str) -> list[str]:
+        """The species below an ancestor; all of them for a name that is none."""
+        return sorted(self.leaves.get(self.official(ancestor), self.species))
+
+    def species_before(self, ancestor: str) -> list[str]:
+        """The species that aren't below an ancestor; all of them for a name that is none."""
+        return sorted(self.outgroup.get(self.official(ancestor), self.species))
+
     def lca(self, *nodes: str) -> str:
         found = self.official(nodes[0])
         for n in nodes[1:]:

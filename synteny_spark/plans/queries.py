@@ -49,8 +49,12 @@ def gene_projection(spark, sf):
 NAMES = "SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR) || '_random' FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'Un')"
 
 
-@query(f"""SELECT name, CASE WHEN name IN ('Un_random','UNKN','Un') THEN 'Unknown' WHEN regexp_matches(name, '^[0-9]+$') THEN CASE WHEN TRY_CAST(name AS BIGINT) < 100 THEN 'Chromosome' ELSE 'Scaffold' END
-  WHEN contains(lower(name),'rand') THEN 'Random' WHEN regexp_matches(lower(name), 'cont|scaff|ultra|reftig|_|un|gl|ki|jh|aaex|aadn') OR name IN ('U','E64','2-micron') OR ends_with(name,'Het') THEN 'Scaffold' ELSE 'Chromosome' END AS kind FROM ({NAMES})""")
+KIND = f"""SELECT name, CASE WHEN name IN ('Un_random','UNKN','Un') THEN 'Unknown' WHEN regexp_matches(name, '^[0-9]+$') THEN CASE WHEN TRY_CAST(name AS BIGINT) < 100 THEN 'Chromosome' ELSE 'Scaffold' END
+  WHEN contains(lower(name),'rand') THEN 'Random' WHEN regexp_matches(lower(name), 'cont|scaff|ultra|reftig|_|un|gl|ki|jh|aaex|aadn') OR name IN ('U','E64','2-micron') OR ends_with(name,'Het') THEN 'Scaffold' ELSE 'Chromosome' END AS kind FROM ({NAMES})"""
+NAMES_CTE = f"n AS ({KIND})"
+
+
+@query(KIND)
 def contig_class(spark, sf):
     c, n, r, p = (table(spark, sf, t) for t in ("customer", "nation", "region", "part"))
     key = F.col("c_custkey").cast("string")
@@ -354,6 +358,35 @@ def dominant_homolog(spark, sf):
     return stats.dominant(_chrom_pairs(spark, sf), "c1", "c2", 90)
 
 
+@query("""WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, substr(t, 11, 40) AS p FROM s), d AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(p), 2)), lambda i: substr(p, i, 2))) AS x FROM w)
+SELECT w.doc_id AS doc_id, len(p) - len(regexp_extract_all(p, 'N')) AS n1, len(regexp_extract_all(p, '[gc]')) AS gc1, count(x) FILTER (len(x) = 2 AND NOT contains(x, 'N')) AS n2, count(x) FILTER (x = 'th') AS gc2 FROM w LEFT JOIN d USING (doc_id) GROUP BY w.doc_id, p""")
+def window_content(spark, sf):
+    """Letters and pairs of letters in places 10 to 49 of a text, N excluded."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    n1, gc1 = stats.window_content("t", F.lit(10), F.lit(49), ["g", "c"])
+    n2, gc2 = stats.window_content("t", F.lit(10), F.lit(49), ["th"])
+    return docs.select("doc_id", n1.alias("n1"), gc1.alias("gc1"), n2.alias("n2"), gc2.alias("gc2"))
+
+
+@query(f"WITH {GENES}, f AS (SELECT DISTINCT fam, pkey FROM g) SELECT 'A' AS anc, f.fam AS fam_idx, 'M' || sp AS species, array_to_string(list(DISTINCT 'p' || f.pkey ORDER BY 'p' || f.pkey), ' ') AS members FROM f JOIN g ON g.pkey = f.pkey GROUP BY f.fam, sp")
+def family_composition(spark, sf):
+    """Each family's genes by species."""
+    _, _, fams = _sides(spark, sf)
+    g = genes(spark, sf).select(F.concat(F.lit("M"), "sp").alias("species"), F.concat(F.lit("p"), F.col("pkey")).alias("name"))
+    return stats.family_composition(fams, g).select("anc", F.col("fam_idx").cast("bigint").alias("fam_idx"), "species", F.array_join("members", " ").alias("members"))
+
+
+@query("""WITH e AS (SELECT user_id AS chrom, count(*) AS n, max(epoch_us(ts)) + 100 AS top, min(epoch_us(ts)) AS low FROM events GROUP BY 1) SELECT chrom, n, CAST(top - low AS BIGINT) AS extent, CAST(100 * n AS BIGINT) AS covered, CASE WHEN n > 1 THEN (top - low - 100 * n) / (n - 1) END AS mean_gap FROM e""")
+def gene_density(spark, sf):
+    e = pr.interval_events(spark, sf).select(F.lit("g").alias("genome"), F.col("user_id").alias("chrom"), "beg", (F.col("beg") + 100).alias("end"))
+    return stats.gene_density(e).drop("genome")
+
+
+@query(f"WITH {NAMES_CTE} SELECT name FROM n WHERE kind IN ('Chromosome', 'Scaffold')")
+def placed_contigs(spark, sf):
+    return filters.placed_contigs(contig_class(spark, sf), "name").select("name")
+
+
 @query("SELECT lang, letters, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[acgt]')) AS letters FROM documents) GROUP BY 1, 2")
 def composition(spark, sf):
     return stats.composition(table(spark, sf, "documents"), ["lang"], "text", "acgt")
@@ -516,6 +549,31 @@ def karyotype_rank(spark, sf):
     return karyotype(g.where("sp = 1"), g.where("sp = 2"))
 
 
+PAINT = f"""{GENES}, y AS (SELECT pkey, min(chrom % 23) c2 FROM g WHERE sp = 2 GROUP BY 1), sz AS (SELECT chrom % 23 AS c, rank() OVER (ORDER BY count(*) DESC, chrom % 23) rk FROM g WHERE sp = 2 GROUP BY 1),
+pa AS (SELECT g.chrom // 50 AS chrom, g.chrom * 100 + g.pos AS pos, sz.rk AS rank FROM g JOIN y USING (pkey) JOIN sz ON sz.c = y.c2 WHERE g.sp = 1)"""
+
+
+@query(f"""WITH {PAINT}, n AS (SELECT *, CASE WHEN rank <> lag(rank) OVER (PARTITION BY chrom ORDER BY pos) THEN 1 ELSE 0 END nw FROM pa), r AS (SELECT *, sum(nw) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) run FROM n),
+s AS (SELECT chrom, run, count(*) n, min(rank) AS rank FROM r GROUP BY 1, 2 HAVING count(*) >= 2) SELECT chrom, CAST(sum(n) OVER (PARTITION BY chrom ORDER BY run ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS pos, n, rank FROM s""")
+def karyotype_runs(spark, sf):
+    """Stretches of two genes and more of one colour."""
+    from synteny_spark.operators import compare
+
+    g = genes(spark, sf).select("sp", "chrom", "pos", F.col("pkey").alias("name"))
+    left = g.where("sp = 1").select(F.floor(F.col("chrom") / 50).alias("chrom"), (F.col("chrom") * 100 + F.col("pos")).alias("pos"), "name")
+    out = compare.karyotype_runs(compare.karyotype(left, g.where("sp = 2").withColumn("chrom", F.col("chrom") % 23)), 2)
+    return out.select(*big("chrom", "pos", "n", "rank"))
+
+
+@query(f"WITH {ORTHO}, ll AS (SELECT chrom * 100 + pos AS gene, chrom FROM g WHERE sp = 1), rr AS (SELECT chrom * 100 + pos AS gene, chrom FROM g WHERE sp = 2), oo AS (SELECT DISTINCT a.gene AS gene1, b.gene AS gene2 FROM l a JOIN r b ON a.pkey = b.pkey) SELECT gene1, gene2, ll.chrom AS chrom1, rr.chrom AS chrom2 FROM oo LEFT JOIN ll ON ll.gene = gene1 LEFT JOIN rr ON rr.gene = gene2")
+def ortholog_list(spark, sf):
+    from synteny_spark.operators import compare
+
+    left, right, _ = _sides(spark, sf)
+    place = lambda g: g.select("gene", F.floor(F.col("gene") / 100).cast("bigint").alias("chrom"))
+    return compare.ortholog_list(joins.orthologs(left, right), place(left), place(right))
+
+
 BIP = """b AS (SELECT DISTINCT 2 * (l_suppkey * 7919 + l_linenumber * 31 + l_partkey % 97) AS x, 2 * l_partkey + 1 AS y FROM lineitem),
 u AS (SELECT x AS p, y AS q FROM b UNION SELECT y, x FROM b)"""
 #: Each node's least label so far, lowered along edges.

@@ -83,6 +83,12 @@ def read_species(spark: SparkSession, template: str, species: Iterable[str]) ->
     return out
 
 
+def gene_index(genes: DataFrame) -> DataFrame:
+    """name, genome, chrom, idx of every name of every gene; of a name that occurs more than once the last place."""
+    each = genes.select(F.explode("names").alias("name"), "genome", "chrom", "idx")
+    return each.groupBy("name").agg(F.max(F.struct("genome", "chrom", "idx")).alias("at")).select("name", "at.*")
+
+
 def read_families(spark: SparkSession, path: str, anc: str) -> DataFrame:
     """Families of one ancestor; identity is the line, from 0."""
     words = F.filter(F.split("value", r"\s+"), lambda x: x != "")

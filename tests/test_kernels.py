@@ -248,3 +248,36 @@ def test_sniffing():
     assert {k: files.sniff(k) for k in kinds} == kinds
     assert list(files.mysql_lines(["a\\\n", "b\t\\N\n"])) == [["ab", None]]
     assert list(files.typed_rows(["1\tx\t2\t3"], [int, str, (float, 2)])) == [(1, "x", 2.0, 3.0)]
+
+
+def test_duplication_scores():
+    s = SpeciesTree.read("(((M1:1,*M2:1)A3:1,M3:1)A1:1,(M4:1,*M5:1)A2:1)A0;")
+    assert genetrees.duplication_cutoffs(s, 0.5)["A0"] == 0.5 and genetrees.duplication_cutoffs(s, {"A1": 0.4}, 3) == dict.fromkeys(s.species, 0.0) | {"A0": 0.0, "A1": 0.4, "A2": 0.0, "A3": 0.0}
+    two = genetrees.duplication_cutoffs(s, 0.5, 2)
+    assert two["A0"] == pytest.approx(round(1.5 / 5, 3) - 2e-3) and two["A3"] == pytest.approx(0.5 - 2e-3) and two["M1"] == 0
+    t = genetrees.GeneTree(0, "F", {0: [(1, 1), (2, 1)], 1: [(3, 1), (4, 1)], 2: [(5, 1), (6, 1)]})
+    t.taxon, t.dup = {0: "A3", 1: "A3", 2: "A3", 3: "M1", 4: "M2", 5: "M1", 6: "M1"}, dict.fromkeys(range(7), 0) | {0: 2}
+    t.gene = {n: f"g{n}" for n in (3, 4, 5, 6)}
+    assert t.confidence(0) == 0.5 and t.confidence(0, frozenset(["M2"])) == 1.0 and t.confidence(0, frozenset(["M1", "M2"])) == 0.0 and t.confidence(3) == 1.0
+    import copy
+
+    low, high = copy.deepcopy(t), copy.deepcopy(t)
+    genetrees.edit_duplications(low, s, 0.6)
+    genetrees.edit_duplications(high, s, 0.6, 3)
+    assert low.dup[0] < genetrees.DUPLICATION <= high.dup[0]
+
+
+def test_colours_and_coordinates():
+    from synteny_spark.functions import colours
+
+    assert colours.table(["! comment", "255 0 0\t\tred", "0 128 255 deep sky"]) == {"red": (1.0, 0.0, 0.0), "deep sky": (0.0, 128 / 255, 1.0)}
+    assert colours.gradient([(0, 0, 0), (1, 1, 1)])(0.25) == (0.25, 0.25, 0.25) and colours.gradient([(0, 0, 0), (1, 0, 1), (1, 1, 1)], True)(0.5) == pytest.approx((1, 0, 1))
+    assert colours.mixed((1, 0, 0), (0, 0, 1), 0.25) == (0.25, 0, 0.75) and colours.from_yuv(0.5, 0, 0) == pytest.approx((0.5, 0.5, 0.5))
+    red = (0.299, -0.299 * 0.436 / 0.886, 0.615)
+    assert colours.from_yuv(*red) == pytest.approx((1, 0, 0), abs=1e-9)
+    assert fn.by_coordinate([(0, (0, 10)), (2, (4, 0))])(1) == [2, 5]
+
+
+def test_species_lists():
+    t = SpeciesTree.read(TREE)
+    assert t.species_since("A3") == ["M1", "M2"] and t.species_before("A1") == ["M4", "M5"] and len(t.species_since("nowhere")) == 5 == len(t.species_before("nowhere"))
