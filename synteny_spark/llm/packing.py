@@ -6,8 +6,10 @@ a rest. Pieces go, longest first, to the bin with the least room that holds them
 
 A bin is a row of an id matrix: ids and position_ids hold seq_len little-endian unsigned numbers (positions start anew with each
 piece; rows are filled up with the pad id and position 0), cu_seqlens the pieces' cumulative lengths from 0, doc_ids and starts
-each piece's document and its first token there. A text without tokens, null texts among them, is in no bin. Repeated rows are packed each. An
-empty table gives an empty result.
+each piece's document and its first token there. Pieces of one length go in the order of their documents, and of bins with the same
+room the one filled last is taken. Which documents share a bin, and pack_id, depend on how rows are dealt to tasks; each task
+leaves one block that may fill its last bins in part. A text without tokens, null texts among them, is in no bin. Repeated rows
+are packed each. An empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from synteny_spark.llm.common import texts
 
@@ -158,3 +160,20 @@ def matrix(rows: list, seq_len: int = SEQ_LEN, pad: int = PAD, column: str = "id
     """The id (or position) matrix of collected or streamed rows."""
     kind = "<u2" if pad < 1 << 16 and seq_len <= 1 << 16 else "<u4"
     return np.frombuffer(b"".join(bytes(r[column]) for r in rows), kind).reshape(-1, seq_len)
+
+
+def save(packs: DataFrame, path: str) -> None:
+    """Writes bins as Parquet: a task's bins are a file, each the rows of an id and a position matrix with their segments."""
+    packs.write.mode("error").parquet(path)
+
+
+def saved(spark: SparkSession, path: str, seq_len: int = SEQ_LEN, pad: int = PAD, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[int]]]]:
+    """What `save` has written, in the order of pack_id and at most so many rows at once: ids, positions and cumulative lengths."""
+    part: list = []
+    for row in spark.read.parquet(path).select("pack_id", "ids", "position_ids", "cu_seqlens").orderBy("pack_id").toLocalIterator():
+        part.append(row)
+        if len(part) == rows:
+            yield matrix(part, seq_len, pad), matrix(part, seq_len, pad, "position_ids"), [r.cu_seqlens for r in part]
+            part = []
+    if part:
+        yield matrix(part, seq_len, pad), matrix(part, seq_len, pad, "position_ids"), [r.cu_seqlens for r in part]

@@ -345,6 +345,17 @@ def test_packing_loses_nothing(spark, library):
         assert [x for _, p in sorted(parts.get(i, {}).items()) for x in p] == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_packs_are_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words of a text " * (i % 40)) for i in range(60)], "doc_id long, text string")
+    packs = packing.pack(docs, seq_len=128)
+    packing.save(packs, str(tmp_path / "packs"))
+    rows = sorted(packs.collect(), key=lambda r: r.pack_id)
+    parts = list(packing.saved(spark, str(tmp_path / "packs"), 128, rows=7))
+    assert all(len(i) <= 7 and i.shape == p.shape == (len(c), 128) for i, p, c in parts)
+    assert (np.concatenate([i for i, _, _ in parts]) == packing.matrix(rows, 128)).all() and [c for _, _, cs in parts for c in cs] == [r.cu_seqlens for r in rows]
+    assert all(p[k, a] == 0 for _, p, cs in parts for k, c in enumerate(cs) for a in c[:-1])
+
+
 # Toxicity
 
 
