@@ -56,3 +56,33 @@ def test_components(spark, monkeypatch, few):
     assert {r.node: r.component for r in comp.components(frame).collect()} == brute(edges)
     two = comp.components(frame.withColumn("k", F.explode(F.array(F.lit("a"), F.lit("b")))), "k").collect()
     assert len(two) == 2 * len(brute(edges)) and comp.components(frame.limit(0)).count() == 0
+
+
+def test_closure_of_deep_trees(spark):
+    from synteny_spark.operators.trees import closure_of
+
+    rng = random.Random(9)
+    parent = {i: i - 1 if i < 70 else rng.randrange(i) for i in range(1, 200)}
+    edges = spark.createDataFrame([(str(i), None if i == 0 else str(parent[i])) for i in range(200)], "node string, parent string")
+    want = set()
+    for i in range(200):
+        at, depth = i, 0
+        while True:
+            want.add((str(at), str(i), depth))
+            if at == 0:
+                break
+            at, depth = parent[at], depth + 1
+    got = [tuple(r) for r in closure_of(edges).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_evidence_spelled_out_has_the_same_weights(spark):
+    from synteny_spark.operators import evidence
+    from synteny_spark.plans.queries import _evidence_tables
+
+    tree, genes, families, lineages = _evidence_tables(spark, "/root/testdata/sf0.001")
+    obs = evidence.observations(genes, families, lineages)
+    spelled = evidence.weights(evidence.propagated(obs, tree.closure(spark)), tree.groups(spark))
+    counted = evidence.propagated_weights(obs, tree.closure(spark), tree.groups(spark))
+    told = lambda d: sorted(map(tuple, d.select("anc", *evidence.PAIR, "weight").collect()))
+    assert told(spelled) == told(counted) and len(told(counted)) > 1000
