@@ -55,9 +55,11 @@ def canonical_pair(f1: Column, s1: Column, f2: Column, s2: Column) -> list[Colum
 
 
 def natural_key(text: Column, width: int = 20) -> Column:
-    """A string whose order is the natural one: digit runs are padded with zeros."""
+    """A string whose order is the natural one: digit runs are padded with zeros; longer ones come after these, by their length."""
     parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p)), "")
+    long = lambda p: F.concat(F.lit(":"), F.lpad(F.char_length(p).cast("string"), 9, "0"), p)
+    padded = lambda p: F.when(F.char_length(p) > width, long(p)).otherwise(F.lpad(p, width, "0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), padded(p)).otherwise(p)), "")
 
 
 def nhx_tags(comment: Column) -> Column:

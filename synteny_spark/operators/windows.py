@@ -85,11 +85,11 @@ def near(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, rea
     return df.withColumn(name, F.collect_list(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(-reach, reach)))
 
 
-def dense_index(df: DataFrame, by: str, bucket: Column, order: Sequence[str | Column], name: str) -> DataFrame:
+def dense_index(df: DataFrame, by: str, bucket: Column, order: Sequence[str | Column], name: str, kind: str = "int") -> DataFrame:
     """Numbers the rows of each by from 0, by bucket and order: rows are numbered inside their bucket, and only the buckets' counts
     pass through a window of their own. Buckets must be finer than what one task can sort."""
     rows = df.withColumn("__b", bucket)
     sizes = rows.groupBy(by, "__b").agg(F.count("*").alias("__n"))
     before = sizes.select(by, "__b", (F.sum("__n").over(W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     inside = F.row_number().over(W.partitionBy(by, "__b").orderBy(*order)) - 1
-    return rows.withColumn("__at", inside).join(before, [by, "__b"]).withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__before", "__at", "__b")
+    return rows.withColumn("__at", inside).join(before, [by, "__b"]).withColumn(name, (F.col("__before") + F.col("__at")).cast(kind)).drop("__before", "__at", "__b")

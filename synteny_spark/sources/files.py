@@ -17,6 +17,8 @@ from typing import IO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synteny_spark.operators.windows import dense_index
+
 CODECS = {".bz2": bz2.open, ".gz": gzip.open, ".xz": lzma.open, ".lzma": lzma.open}
 SPARK_CODECS = (".bz2", ".gz")
 
@@ -53,8 +55,11 @@ def content_lines(lines: Iterable[str]) -> Iterator[str]:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0) and value of a file in its order. xz and lzma files, which Spark would read as they are, are unpacked on an
-    executor. Files are numbered whole, each in one task, as identity by line needs."""
+    """path, line (from 0) and value of files in their order. Lines are numbered within the stretch of a file that a task reads, and only
+    the stretches' counts meet. xz and lzma files, which Spark would read as they are, are unpacked whole, each on one executor."""
+    if not path.endswith((".xz", ".lzma")):
+        at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("stretch"), F.monotonically_increasing_id().alias("at")]
+        return dense_index(spark.read.text(path).select("value", *at), "path", F.col("stretch"), ["at"], "line", "bigint").select("path", "line", "value")
 
     def numbered(batches):
         import pandas as pd

@@ -213,3 +213,24 @@ def test_command_line(spark, world, tmp_path, how):
     (made,) = (tmp_path / "out/genomes").iterdir()
     lines = [r.value.split("\t") for r in spark.read.text(str(made)).where("anc = 'A0'").collect()]
     assert sorted(x[0] for x in lines) == ["CAR_1"] * 6 + ["CAR_2"] * 6 and "pairs/all" in (tmp_path / "out/steps.dot").read_text()
+
+
+def test_lines_of_many_stretches(spark, tmp_path):
+    """A file that is read in many pieces, and several files at once: lines are numbered in their order, blank ones too."""
+    lines = [f"line {i} {'x' * (i % 50)}" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "long").write_text("\n".join(lines) + "\n")
+    (tmp_path / "longer").write_text("only one")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.text_lines(spark, str(tmp_path / "long*")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.value for r in sorted((r for r in got if r.path.endswith("long")), key=lambda r: r.line)] == lines
+    assert sorted(r.line for r in got if r.path.endswith("long")) == list(range(3000)) and [(r.line, r.value) for r in got if r.path.endswith("longer")] == [(0, "only one")]
+
+
+def test_natural_keys_of_long_numbers(spark):
+    names = ["a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a2" + "0" * 20, "a1" + "0" * 21, "b1", "a"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(fc.natural_key(F.col("n"))).collect()
+    assert [r.n for r in got] == ["a", "a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a2" + "0" * 20, "a1" + "0" * 21, "b1"]
