@@ -305,11 +305,13 @@ def nx_by_group(spark, sf):
     return stats.nx(blocks(spark, sf), ["nation"], "n", 50, "n50")
 
 
-@query(f"""WITH {BLOCKS}, t AS (SELECT nation, list_sort(list(n)) v, count(*) k, sum(n * n) / sum(n) wa, avg(n) mean, stddev_pop(n) sd FROM bl GROUP BY nation)
-SELECT nation, v[1 + CAST(floor(25 * (k - 1) / 100) AS INTEGER)] q25, v[1 + CAST(floor(50 * (k - 1) / 100) AS INTEGER)] q50, v[1 + CAST(floor(75 * (k - 1) / 100) AS INTEGER)] q75, round(wa, 6) wa, round(mean, 6) mean, round(sd, 6) sd, k AS n FROM t""")
+@query(f"""WITH {BLOCKS}, t AS (SELECT nation, list_sort(list(n)) v, count(*) k, sum(n * n) / sum(n) wa, avg(n) mean, stddev_pop(n) sd FROM bl GROUP BY nation),
+u AS (SELECT nation, n, sum(n) OVER (PARTITION BY nation ORDER BY n DESC ROWS UNBOUNDED PRECEDING) up, sum(n) OVER (PARTITION BY nation) al FROM bl),
+x AS (SELECT nation, min(n) AS least, max(n) AS most, max(n) FILTER (up >= al * 75 / 100.0) n75, max(n) FILTER (up >= al * 50 / 100.0) n50, max(n) FILTER (up >= al * 25 / 100.0) n25 FROM u GROUP BY nation)
+SELECT nation, least, v[1 + CAST(floor(25 * (k - 1) / 100) AS INTEGER)] q25, v[1 + CAST(floor(50 * (k - 1) / 100) AS INTEGER)] q50, v[1 + CAST(floor(75 * (k - 1) / 100) AS INTEGER)] q75, n75, n50, n25, round(wa, 6) wa, most, round(mean, 6) mean, round(sd, 6) sd, k AS n FROM t JOIN x USING (nation)""")
 def quantile_summary(spark, sf):
     s = stats.summary(blocks(spark, sf), ["nation"], "n")
-    return s.select("nation", "q25", "q50", "q75", *[F.round(c, 6).alias(c) for c in ("wa", "mean", "sd")], "n")
+    return s.select("nation", F.col("min").alias("least"), "q25", "q50", "q75", "n75", "n50", "n25", F.round("wa", 6).alias("wa"), F.col("max").alias("most"), *[F.round(c, 6).alias(c) for c in ("mean", "sd")], "n")
 
 
 @query("SELECT CAST(l_quantity AS BIGINT) AS v, count(*) AS n FROM lineitem GROUP BY 1")
@@ -484,13 +486,15 @@ def _gene_blocks(spark, sf) -> DataFrame:
 CUST = "x AS (SELECT c_nationkey AS nation, o_custkey AS cust, o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS s, CASE WHEN o_custkey % 3 = 0 THEN -1 ELSE 1 END AS dir FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
-@query(f"WITH {CUST} SELECT CAST(nation AS VARCHAR) AS anc, count(*) AS n, array_to_string(list(CAST(k AS VARCHAR) ORDER BY cust, k * dir), ' ') AS ids, array_to_string(list(CAST(s * dir AS VARCHAR) ORDER BY cust, k * dir), ' ') AS strands FROM x GROUP BY nation")
+@query(f"""WITH {CUST}, y AS (SELECT *, lag(k) OVER (PARTITION BY nation, cust ORDER BY k * dir) AS was FROM x)
+SELECT CAST(nation AS VARCHAR) AS anc, count(*) AS n, array_to_string(list(CAST(k AS VARCHAR) ORDER BY cust, k * dir), ' ') AS ids, array_to_string(list(CAST(s * dir AS VARCHAR) ORDER BY cust, k * dir), ' ') AS strands,
+coalesce(array_to_string(list(CAST(CASE WHEN was IS NULL THEN 1 WHEN dir = 1 THEN was % 9 ELSE k % 9 END AS VARCHAR) ORDER BY cust, k * dir)[2:], ' '), '') AS support FROM y GROUP BY nation""")
 def blocks_of_blocks_expand(spark, sf):
     inner = _gene_blocks(spark, sf)
     outer = inner.groupBy("anc").agg(F.sort_array(F.collect_list("block_id")).alias("ids")).select("anc", F.lit(1).alias("block_id"), "ids", F.transform("ids", lambda c: F.when(c % 3 == 0, -1).otherwise(1)).alias("strands"), F.transform("ids", lambda c: F.lit("1")).alias("support"))
     out = joins.expand_blocks(outer, inner)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
-    return out.select("anc", F.col("n").cast("bigint").alias("n"), text("ids"), text("strands"))
+    return out.select("anc", F.col("n").cast("bigint").alias("n"), text("ids"), text("strands"), text("support"))
 
 
 @query(f"WITH {CUST}, h AS (SELECT nation, cust, count(*) n FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w k, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nation ORDER BY n DESC, cust ROWS UNBOUNDED PRECEDING) s FROM h WINDOW w AS (PARTITION BY nation ORDER BY n DESC, cust)) SELECT CAST(nation AS VARCHAR) AS anc, CASE WHEN r.n = 1 THEN 'singleton_' || CAST(r.s AS BIGINT) ELSE 'CAR_' || CAST(r.k - r.s AS BIGINT) END AS block, row_number() OVER (PARTITION BY cust ORDER BY x.k) - 1 AS beg, x.s AS strand, x.k AS gene FROM x JOIN r USING (nation, cust)")
@@ -765,14 +769,25 @@ def _edit(spark, sf, edit) -> DataFrame:
     return edited(_forest(spark, sf), edit)
 
 
-@query()
+def forest_sql(taxon: str, dup: str, gene: str, keep: str = "true") -> str:
+    """The trees' nodes with what an edit makes of them: expressions over tree_id, node_id, taxon, dup, gene and alone (M5 has lost its
+    sister, and is its parent's only child)."""
+    return f"""WITH shape AS (SELECT * FROM (VALUES (0, NULL, 0, 'A0', false), (1, 0, 0, 'A1', false), (2, 0, 1, 'A2', false), (3, 1, 0, 'A3', false), (4, 1, 1, 'M3', true), (5, 2, 0, 'M4', true), (6, 2, 1, 'M5', true), (7, 3, 0, 'M1', true), (8, 3, 1, 'M2', true)) v(node_id, parent_id, child_ord, taxon, leaf)),
+t AS (SELECT p_partkey AS tree_id, *, p_partkey % 5 = 0 AS alone, CASE WHEN p_partkey % 3 = 0 AND taxon = 'A3' THEN 2 ELSE 0 END AS dup, CASE WHEN leaf THEN taxon || '_' || p_partkey END AS gene FROM part, shape WHERE NOT (p_partkey % 5 = 0 AND taxon = 'M4'))
+SELECT tree_id, node_id, parent_id, CASE WHEN alone AND taxon = 'M5' THEN 0 ELSE child_ord END AS child_ord, CASE WHEN node_id = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS branch_len, {taxon} AS taxon, {dup} AS dup, {gene} AS gene_name, 'Fam' || tree_id AS tree_name FROM t WHERE {keep}"""
+
+
+ALONE = "CASE WHEN alone AND node_id = 2 THEN 'M5' ELSE taxon END"
+
+
+@query(forest_sql(ALONE, "dup", "CASE WHEN alone AND node_id = 2 THEN 'M5_' || tree_id ELSE gene END", "NOT (alone AND node_id = 6)"))
 def tree_compact(spark, sf):
     from synteny_spark.operators.genetrees import compact
 
     return _edit(spark, sf, compact)
 
 
-@query()
+@query(forest_sql(ALONE, "dup", "gene"))
 def tree_rename(spark, sf):
     from synteny_spark.operators.genetrees import rename
 
@@ -780,24 +795,32 @@ def tree_rename(spark, sf):
     return _edit(spark, sf, lambda t: rename(t, tree))
 
 
-@query()
+def _unflat(spark, sf) -> DataFrame:
+    """The trees with A3 named A1, as if M1, M2 and M3 had come apart at once."""
+    return _forest(spark, sf).withColumn("taxon", F.when((F.col("taxon") == "A3") & (F.col("dup") == 0), "A1").otherwise(F.col("taxon")))
+
+
+@query(forest_sql(ALONE, "dup", "gene"))
 def tree_flatten(spark, sf):
-    from synteny_spark.operators.genetrees import flatten
+    """A node's name is its children's before it is flattened, so A3 gets its own again."""
+    from synteny_spark.operators.genetrees import edited, flatten
 
     tree = SpeciesTree.read(TREE)
-    return _edit(spark, sf, lambda t: flatten(t, tree))
+    return edited(_unflat(spark, sf), lambda t: flatten(t, tree))
 
 
-@query()
+@query(forest_sql(ALONE, "CASE WHEN alone AND node_id = 2 THEN 3 ELSE dup END", "gene"))
 def tree_rebuild(spark, sf):
+    """A node over one species, which has no sub-tree to tell its children apart, is a duplication."""
     from synteny_spark.operators.genetrees import flatten, rebuild
 
     tree = SpeciesTree.read(TREE)
     return _edit(spark, sf, lambda t: (flatten(t, tree), rebuild(t, tree, lambda *_: False)))
 
 
-@query()
+@query(forest_sql(ALONE, "CASE WHEN alone AND node_id = 2 THEN 3 ELSE 0 END", "gene"))
 def duplication_edit(spark, sf):
+    """The duplication above M1 and M2 has no species on both sides, and becomes a speciation."""
     from synteny_spark.operators.genetrees import edit_duplications
 
     tree = SpeciesTree.read(TREE)
