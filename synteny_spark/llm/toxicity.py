@@ -15,6 +15,7 @@ null id are scored, never learned from. Repeated rows give repeated results; an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,25 +85,32 @@ class Machine:
         return [float(1 / (1 + np.exp(-np.clip(self.logit(terms.of(t)), -40, 40)))) for t in batch]
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, buckets: dict[int, int], seed: int = 7) -> Machine:
-    """Adam on the logistic loss, from small random vectors."""
+def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows of values that begin at first, none of them empty."""
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def fit(rows: list, labels: np.ndarray, buckets: dict[int, int], seed: int = 7) -> Machine:
+    """Adam on the logistic loss, from small random vectors; rows hold numbers of buckets."""
     rng, n = np.random.default_rng(seed), len(buckets)
     params = [np.array([np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))]), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     if not labels.any() or labels.all() or not n:
         return Machine(dict(buckets), float(params[0][0]), params[1], params[2] * 0)
+    rows = [np.asarray(r, np.int64) for r in rows]
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(rows)), -(-len(rows) // BATCH)):
-            of = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            at = np.array([t for i in part for t in rows[i]], np.int64)
-            v = params[2][at]
-            sums, squares = np.zeros((len(part), FACTORS)), np.zeros(len(part))
-            np.add.at(sums, of, v)
-            np.add.at(squares, of, (v**2).sum(1))
+            sizes = np.array([len(rows[i]) for i in part])
+            of, at = np.repeat(np.arange(len(part)), sizes), np.concatenate([rows[i] for i in part])
+            v, sums = params[2][at], np.zeros((len(part), FACTORS))
+            sums[sizes > 0] = summed(v, (np.cumsum(sizes) - sizes)[sizes > 0])
+            squares = np.bincount(of, (v**2).sum(1), len(part))
             z = params[0][0] + np.bincount(of, params[1][at], len(part)) + 0.5 * ((sums**2).sum(1) - squares)
             g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) / len(part)
             pair = np.zeros_like(params[2])
-            np.add.at(pair, at, g[of, None] * (sums[of] - v))
+            order = np.argsort(at, kind="stable")
+            here, first = np.unique(at[order], return_index=True)
+            pair[here] = summed((g[of, None] * (sums[of] - v))[order], first)
             step += 1
             for k, grad in enumerate((np.array([g.sum()]), np.bincount(at, g[of], n) + DECAY * params[1], pair + DECAY * params[2])):
                 m1[k] += 0.1 * (grad - m1[k])
@@ -133,10 +141,21 @@ def learned(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col
     g2 = 2 * (part(a, a + b, max(n1, 1)) + part(b, a + b, max(n0, 1)) + part(n1 - a, n0 + n1 - a - b, max(n1, 1)) + part(n0 - b, n0 + n1 - a - b, max(n0, 1)))
     ranked = checkpointed(seen.select("term", g2.alias("g2"), (a + b).alias("rows")))
     terms = [r.term for r in ranked.orderBy(F.desc("g2"), "term").limit(TERMS // 2).collect()]
-    terms += [r.term for r in ranked.where(~F.col("term").isin(terms)).orderBy(F.desc("rows"), "term").limit(TERMS - len(terms)).collect()]
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term long"))  # TERMS rows at most
+    terms += [r.term for r in ranked.join(known, "term", "left_anti").orderBy(F.desc("rows"), "term").limit(TERMS - len(terms)).collect()]
     buckets = {t: i for i, t in enumerate(terms)}
-    have = rows.select("same", "y", F.array_intersect("terms", F.array(*map(F.lit, terms)).cast("array<long>")).alias("terms")).orderBy("same").collect() if terms else []
-    return fit([sorted(buckets[t] for t in r.terms) for r in have], np.array([r.y for r in have], float), buckets) if have else fit([], np.array([1.0] * n1 + [0.0] * n0), {})
+    if not buckets:
+        return fit([], np.array([1.0] * n1 + [0.0] * n0), {})
+    sent = spark.sparkContext.broadcast(buckets)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [np.array(sorted(sent.value[t] for t in ts if t in sent.value), np.int32).tobytes() for ts in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary())], names=["same", "y", "at"])
+
+    have = rows.select("same", "y", "terms").mapInArrow(numbered, "same string, y int, at binary").orderBy("same").collect()
+    return fit([np.frombuffer(r.at, np.int32) for r in have], np.array([r.y for r in have], float), buckets)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
