@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synteny_spark.llm import bpe, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, toxicity
+from synteny_spark.llm import bpe, clustering, conversations, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, topk, toxicity
 from synteny_spark.llm.common import table
 from synteny_spark.operators.spread import shared_dir
 
@@ -20,7 +20,7 @@ HISTORY = """WITH v AS (SELECT 1 AS run, coalesce(text, '') AS text FROM documen
 w AS (SELECT * FROM v UNION ALL SELECT 3, text FROM v WHERE run = 2), f AS (SELECT text, min(run) AS first FROM w GROUP BY text)
 SELECT CAST(w.run AS BIGINT) AS run, count(*) AS n_rows, count(DISTINCT CASE WHEN f.first = w.run THEN w.text END) AS n_scanned FROM w JOIN f USING (text) GROUP BY w.run"""
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_SHARD, 40), "secret_history": HISTORY}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_SHARD, 40), "secret_history": HISTORY, "op11_conversation_repair": conversations.oracle(), "op12_topk": topk.oracle(), "op13_clustering": clustering.oracle()}
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation."""
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's best rows."""
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "sharding_small": sharding_small,
@@ -99,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_topk": op12_topk,
+    "op13_clustering": op13_clustering,
 }
