@@ -1,8 +1,9 @@
-"""Work that survives lost executors and hot keys: the shared folder, reliable checkpoints, and joins dealt evenly."""
+"""Work that survives lost executors and hot keys: the shared folder, tables kept there, and joins dealt evenly."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path, as Spark's JVM knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _at(spark, path)
+    return store.exists(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends, if nothing removes it before."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    store, at = _at(spark, path)
+    store.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table of the shared folder and read again, so that lost executors cost no recomputation, and plans that use
+    it know its true size (the estimates of a checkpoint multiply from join to join, round after round)."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed and kept as a reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "kept")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            store, at = _at(df.sparkSession, folder)
+            store.delete(at, True)
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
@@ -44,7 +78,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """left joined with right (inner or left), which has each key once at most; no key is null.
 
     A key of more rows than a task's even share of left has its rows dealt to as many tasks as shares, and its row of right is
-    repeated for each. counts: keys and n, the rows of left for each key, if that is known already.
+    repeated for each. Rows are dealt by a hash of all that they hold, so that a stage that is run again deals them alike. counts:
+    keys and n, the rows of left for each key, if that is known already.
     """
     spark = left.sparkSession
     counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
@@ -59,6 +94,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     salts, salt = fresh(taken, "salts"), fresh(taken, "salt")
     schema = left.select(*keys).schema.add(salts, IntegerType())
     few = F.broadcast(spark.createDataFrame(hot, schema))  # HOT_KEYS rows at most
-    dealt = left.join(few, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salts)), F.lit(0)).cast("int")).drop(salts)
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString()])  # the same if a stage is run again
+    dealt = left.join(few, keys, "left").withColumn(salt, F.coalesce(F.pmod(hashed, F.col(salts)), F.lit(0)).cast("int")).drop(salts)
     copied = right.join(few, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(salts)
     return dealt.join(copied, [*keys, salt], how).drop(salt)

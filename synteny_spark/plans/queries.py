@@ -623,6 +623,26 @@ def denovo_blocks(spark, sf):
     return planted.flat(denovo(planted.adjacencies(spark, sf, True), planted.universe(spark, sf)))
 
 
+#: So few edges of a component for a group that rounds are needed on the smallest tables.
+FEW_EDGES = 500
+
+
+@query(planted.MIXED_FOREST)
+def denovo_mixed(spark, sf):
+    """Blocks of one component of all families, in rounds."""
+    from synteny_spark.operators.linear import denovo
+
+    return planted.flat(denovo(planted.mixed_adjacencies(spark, sf), planted.universe(spark, sf), most=FEW_EDGES))
+
+
+@query(planted.MIXED_VERDICTS)
+def forest_verdicts(spark, sf):
+    """What becomes of each edge of that component, and why."""
+    from synteny_spark.operators.linear import forest_edges
+
+    return forest_edges(planted.mixed_adjacencies(spark, sf), most=FEW_EDGES).select(*big("a", "sa", "b", "sb", "weight"), "verdict")
+
+
 HAND = {
     "shortcut_removal": ([(0, 1, 2), (1, 2, 2), (0, 2, 3)], 3, "('A0',3,'0 1 2','1 1 1','2 2')"),
     "linear_hand": ([(0, 1, 3), (1, 2, 2), (0, 2, 1)], 4, "('A0',3,'0 1 2','1 1 1','3 2'),('A0',1,'3','1','')"),
