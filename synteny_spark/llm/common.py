@@ -1,8 +1,7 @@
-"""What the corpus operators share: written tables and Arrow plumbing."""
+"""What the corpus operators share: Arrow plumbing, and the written tables of the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from synteny_spark.operators.spread import shared_dir
+from synteny_spark.operators.spread import discard, exists, written
+
+__all__ = ["discard", "exists", "per_text", "session", "table", "texts", "written"]
 
 #: Rows and bytes of one Arrow batch; long documents must not pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -23,31 +24,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _path(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    store, at = _path(spark, path)
-    return store.exists(at)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table that `written` made, once nothing reads it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        store, at = _path(df.sparkSession, folder)
-        store.delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

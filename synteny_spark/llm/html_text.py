@@ -22,7 +22,7 @@ import os
 import pickle
 import re
 import tempfile
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +42,11 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 DROPPED = frozenset("nav footer aside form head button menu dialog".split())
 MAIN = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words in class or id that mark what isn't the article.
+#: Words in class or id that mark what isn't the article: parts of names outside a marked article, whole names inside, where
+#: `share-price` or `related-work` may well be its own.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar notice notices cookie cookies consent popup modal newsletter subscribe share sharing social related comment comments reply replies disqus".split())
+#: Those that mark an article element as a reader's remark.
+REMARKS = frozenset(["comment", "comments", "reply"])
 CLASSES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -56,10 +59,10 @@ def boilerplate(name: str, attrs: str, in_main: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in MAIN and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if key in ("class", "id") and name in MAIN and not {"comment", "comments", "reply"}.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if key in ("class", "id"):
+            words = value.split() if in_main or name in MAIN else re.split(r"[^a-z0-9]+", value)
+            if not (REMARKS if name in MAIN else MARKS).isdisjoint(words):
+                return True
     return False
 
 
@@ -158,8 +161,13 @@ def _ranged(rows: DataFrame, n: int) -> DataFrame:
     some = rows.where("url is not null").select("host", "path", "url").distinct().orderBy(F.xxhash64("url"), "host", "path", "url").limit(KEYS * n).collect()
     keys = sorted(map(tuple, some))
     bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
-    of_key = F.size(F.filter(F.array(*(F.struct(*map(F.lit, b)) for b in bounds)), lambda b: b <= F.struct(F.col("host").alias("col1"), F.col("path").alias("col2"), F.col("url").alias("col3")))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("url").isNull(), F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(n)).cast("int")).otherwise(of_key))
+
+    @F.arrow_udf("int")
+    def of_key(host: pa.Array, path: pa.Array, url: pa.Array) -> pa.Array:
+        return pa.array([None if k[2] is None else bisect_right(bounds, k) for k in zip(*(c.to_pylist() for c in (host, path, url)))], pa.int32())
+
+    anywhere = F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(n)).cast("int")
+    rows = rows.withColumn("bucket", F.coalesce(of_key("host", "path", "url"), anywhere))
     edges = rows.where("url is not null").groupBy("bucket").agg(F.min(key).alias("first"), F.max(key).alias("last")).orderBy("bucket").collect()
     also: dict[str, set[int]] = {}
     for a, b in zip(edges, edges[1:]):

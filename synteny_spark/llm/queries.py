@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from synteny_spark.llm import bpe, clustering, conversations, decontam, html_text, licenses, packing, quality, secrets, sharding, simhash, topk, toxicity
 from synteny_spark.llm.common import table
-from synteny_spark.operators.spread import shared_dir
+from synteny_spark.operators.spread import scratch
 
 #: So small a limit splits shards of the smallest tables.
 SMALL_SHARD = 64 << 10
@@ -69,7 +68,7 @@ def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the scan over two versions of all documents, and the second again, with one ledger: rows of results and blobs scanned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     later = docs.withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("\ntoken = rotated-"), "source"), F.lit(""))))
-    ledger, known, out = f"{shared_dir(spark).rstrip('/')}/secret-history-{uuid.uuid4().hex}", 0, []
+    ledger, known, out = scratch(spark, "secret-history"), 0, []
     for run, version in enumerate((docs, later, later), 1):
         rows = secrets.scan(version, ledger).count()
         held = secrets.findings(spark, ledger).count()

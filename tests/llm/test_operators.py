@@ -551,7 +551,12 @@ def test_pages_without_marks_are_told_by_their_neighbours(spark):
     pages = [(i, f"http://h{i % 2}/a/{i:03d}", site.format(f"own {i}") if i != 7 else None, 1) for i in range(40)] + [(99, None, "<p>alone</p>", 1)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int")).collect()}
     assert len(got) == 41 and got[7].text == "" and got[99].text == "alone"
-    assert sum(r.text == f"own {i}" for i, r in got.items()) >= 36  # at an edge of a partition a page may lack its own kind
+    assert all(r.text == f"own {i}" for i, r in got.items() if i not in (7, 9, 99)) and got[9].text == "Site\nown 9\nContact"  # its neighbour is empty
+
+
+def test_names_inside_an_article_are_taken_whole():
+    page = "<article class='comment-free'><div class='share-price'>Price</div><section id='related-work'><p>Work</p></section><div class='ad-hoc'>Hoc</div><div class='box share'>Tell</div><p>Body</p></article><article class='comment'>Me too</article><div class='site-nav'>Menu</div>"
+    assert html_text.main_text(html_text.lines(page), None) == "Price\nWork\nHoc\nBody"
 
 
 def test_unmarked_lines_of_marked_pages():

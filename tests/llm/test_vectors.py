@@ -183,7 +183,7 @@ def test_search_with_few_rows_and_own_queries(spark):
     assert [tuple(r) for r in got] == [(2, 1, 3, 128 * 192), (2, 2, 1, 128 * 64)]
 
 
-@pytest.mark.parametrize("scale", [1, 10**6, 10**8])
+@pytest.mark.parametrize("scale", [1, 10**6, 10**7])
 def test_tree_search_against_all_rows(monkeypatch, scale):
     """The largest scale takes Python's numbers."""
     monkeypatch.setattr(topk, "LEAF", 16)
