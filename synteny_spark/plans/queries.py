@@ -423,6 +423,44 @@ t AS (SELECT *, CASE WHEN i2 = lag(i2) OVER w + lag(s1) OVER w * lag(s2) OVER w
 k AS (SELECT *, sum(nw) OVER (ORDER BY i1 ROWS UNBOUNDED PRECEDING) run FROM t)"""
 
 
+#: A genome of the lines of all orders, on four hundred chromosomes, and one that had it twice: each copy has lost some lines, and every fourth order
+#: of the first copy and every fifth of the second is turned.
+TWICE = """ln AS (SELECT l_orderkey AS o, l_partkey AS fam, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS p, l_suppkey % 10 AS lost FROM lineitem),
+g1 AS (SELECT CAST(o % 400 AS VARCHAR) AS chrom, row_number() OVER (PARTITION BY o % 400 ORDER BY o, p) - 1 AS idx, fam, s FROM ln),
+cp AS (SELECT c || o % 7 AS chrom, o, CASE WHEN o % m = 0 THEN -p ELSE p END AS p, fam, CASE WHEN o % m = 0 THEN -s ELSE s END AS s FROM ln, (VALUES ('a', 4, 3), ('b', 5, 7)) t(c, m, x) WHERE lost <> x),
+g2 AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY o, p) - 1 AS idx, fam, s FROM cp)"""
+
+#: The walk along each chromosome, gene by gene: what is open, and where its run began.
+WALK = TWICE + """, n1 AS MATERIALIZED (SELECT x.chrom, y.idx AS i, x.fam f1, x.s s1, y.fam f2, y.s s2 FROM g1 x JOIN g1 y ON y.chrom = x.chrom AND y.idx = x.idx + 1),
+lk AS MATERIALIZED (SELECT n.chrom, n.i, {'c': p.chrom, 'k': p.idx, 'u': p.s} AS p, {'c': q.chrom, 'k': q.idx, 'u': q.s} AS q FROM n1 n JOIN g2 p ON p.fam = n.f1 JOIN g2 q ON q.chrom = p.chrom AND q.fam = n.f2 AND q.idx - p.idx = n.s1 * p.s AND n.s1 * n.s2 = p.s * q.s),
+fl AS MATERIALIZED (SELECT chrom, i, min({'q': q, 'p': p}) AS m FROM lk GROUP BY 1, 2), pl AS MATERIALIZED (SELECT chrom, i, p, min(q) AS q FROM lk GROUP BY 1, 2, 3),
+wk AS (SELECT DISTINCT chrom, CAST(0 AS BIGINT) AS i, CAST(NULL AS STRUCT(c VARCHAR, k BIGINT, u INTEGER)) AS op, CAST(0 AS BIGINT) AS run, CAST(NULL AS STRUCT(c VARCHAR, k BIGINT, u INTEGER)) AS was FROM g1
+  UNION ALL SELECT w.chrom, w.i + 1, CASE WHEN w.op IS NULL THEN fl.m.q ELSE pl.q END, CASE WHEN w.op IS NULL AND fl.m IS NULL OR w.op IS NOT NULL AND pl.q IS NULL THEN w.i + 1 ELSE w.run END, CASE WHEN w.op IS NULL THEN fl.m.p END
+  FROM wk w JOIN (SELECT chrom, count(*) AS n FROM g1 GROUP BY 1) z ON z.chrom = w.chrom AND w.i + 1 < z.n LEFT JOIN fl ON fl.chrom = w.chrom AND fl.i = w.i + 1 LEFT JOIN pl ON pl.chrom = w.chrom AND pl.i = w.i + 1 AND pl.p = w.op),
+tk AS (SELECT chrom, i AS idx, run, op AS pl FROM wk WHERE op IS NOT NULL UNION ALL SELECT chrom, i - 1, run, was FROM wk WHERE was IS NOT NULL),
+dg AS (SELECT chrom, idx, run, pl FROM tk UNION ALL SELECT g1.chrom, g1.idx, g1.idx, f.pl FROM g1 JOIN (SELECT fam, min({'c': chrom, 'k': idx, 'u': s}) AS pl FROM g2 GROUP BY fam) f USING (fam) WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.chrom = g1.chrom AND tk.idx = g1.idx))"""
+
+#: Genes of a chunk so small that runs cross many seams on the smallest tables.
+FEW_GENES = 16
+
+
+def _twice(spark, sf) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf, "lineitem")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    ln = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("fam"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("strand"), F.row_number().over(order).alias("p"), (F.col("l_suppkey") % 10).alias("lost"))
+    dense = lambda df: df.withColumn("idx", F.row_number().over(W.partitionBy("chrom").orderBy("o", "p")) - 1).select("chrom", "idx", "fam", "strand")
+    copies = [ln.where(f"lost <> {x}").withColumns({"chrom": F.concat(F.lit(c), F.col("o") % 7), "p": F.when(F.col("o") % m == 0, -F.col("p")).otherwise(F.col("p")), "strand": F.when(F.col("o") % m == 0, -F.col("strand")).otherwise(F.col("strand"))}) for c, m, x in (("a", 4, 3), ("b", 5, 7))]
+    return dense(ln.withColumn("chrom", (F.col("o") % 400).cast("string"))), dense(copies[0].unionByName(copies[1]))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT chrom, idx, run, pl.c AS c2, pl.k AS k2, CAST(pl.u AS BIGINT) AS s2 FROM dg")
+def diagonal_runs(spark, sf):
+    """Genes of the first genome in maximal collinear runs of their many orthologs, by chunks."""
+    from synteny_spark.operators.synteny import placed
+
+    return placed(*_twice(spark, sf), chunk=FEW_GENES).select("chrom", "idx", "run", "c2", "k2", F.col("s2").cast("bigint").alias("s2"))
+
+
 @query(f"WITH {RUNS} SELECT CAST(run AS BIGINT) AS run, count(*) AS len, min(i1) AS first1, min(i2) AS low2 FROM k GROUP BY run")
 def collinear_runs(spark, sf):
     g = genes(spark, sf).withColumn("p", F.col("chrom") * 100 + F.col("pos"))
@@ -721,7 +759,8 @@ f AS (SELECT a, sa, b, sb, grp, count(*) n FROM e GROUP BY ALL)"""
 @query(f"WITH {TURNED} SELECT a, CAST(sa AS BIGINT) sa, b, CAST(sb AS BIGINT) sb, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) weight FROM f GROUP BY a, sa, b, sb HAVING weight > 0")
 def block_adjacencies(spark, sf):
     """Parts in the order of their keys are the ancestor's genes, ten a block; each species has some stretches of fifty turned round."""
-    from synteny_spark.operators.diagonals import adjacency_evidence, adjacency_weights
+    from synteny_spark.operators.diagonals import adjacency_weights
+    from synteny_spark.operators.synteny import block_adjacencies as adjacency_evidence
 
     k = F.col("p_partkey")
     c, species = F.floor(k / 50), spark.range(1, 6).withColumnRenamed("id", "s")
