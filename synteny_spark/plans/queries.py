@@ -461,6 +461,27 @@ def diagonal_runs(spark, sf):
     return placed(*_twice(spark, sf), chunk=FEW_GENES).select("chrom", "idx", "run", "c2", "k2", F.col("s2").cast("bigint").alias("s2"))
 
 
+GAP = 2
+
+#: Runs of one pair of chromosomes and direction as a list, of which one is given away in each step: to the run that is growing, or else
+#: as the head of the next.
+MERGE = WALK + f""", rn AS (SELECT chrom, run, pl.c AS c2, CASE WHEN arg_min(s * pl.u, idx) > 0 THEN 1 ELSE -1 END AS way, min(idx) AS lo1, max(idx) AS hi1, min(pl.k) AS lo2, max(pl.k) AS hi2 FROM dg JOIN g1 USING (chrom, idx) GROUP BY chrom, run, pl.c),
+ar AS MATERIALIZED (SELECT chrom, c2, way, count(*) AS n, list({{'run': run, 'lo1': lo1, 'hi1': hi1, 'lo2': lo2, 'hi2': hi2}} ORDER BY lo1) AS r FROM rn GROUP BY ALL),
+ms AS (SELECT chrom, c2, way, n, r, [CAST(1 AS BIGINT)] AS done, CAST(1 AS BIGINT) AS head, CAST(1 AS BIGINT) AS j, 0 AS part, r[1].hi1 AS hi1, r[1].lo2 AS lo2, r[1].hi2 AS hi2 FROM ar
+  UNION ALL SELECT chrom, c2, way, n, r, list_append(done, to_), CASE WHEN grows THEN head ELSE to_ END, to_, CASE WHEN grows THEN part + 1 ELSE 0 END,
+    CASE WHEN grows THEN greatest(hi1, r[to_].hi1) ELSE r[to_].hi1 END, CASE WHEN grows THEN least(lo2, r[to_].lo2) ELSE r[to_].lo2 END, CASE WHEN grows THEN greatest(hi2, r[to_].hi2) ELSE r[to_].hi2 END
+  FROM (SELECT *, coalesce(next_, other) AS to_, next_ IS NOT NULL AS grows FROM (SELECT *, list_filter(range(j + 1, n + 1), lambda k: NOT list_contains(done, k) AND r[k].lo1 <= hi1 + {GAP + 1}
+      AND CASE WHEN way > 0 THEN r[k].lo2 > hi2 AND r[k].lo2 <= hi2 + {GAP + 1} ELSE r[k].hi2 < lo2 AND r[k].hi2 >= lo2 - {GAP + 1} END)[1] AS next_, list_filter(range(1, n + 1), lambda k: NOT list_contains(done, k))[1] AS other FROM ms)) WHERE to_ IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {MERGE} SELECT chrom, r[j].run AS run, r[head].run AS head, CAST(part AS BIGINT) AS part FROM ms")
+def merged_runs(spark, sf):
+    """Those runs joined across gaps of at most two genes."""
+    from synteny_spark.operators.synteny import merged, placed
+
+    return merged(placed(*_twice(spark, sf), chunk=FEW_GENES), GAP).select("chrom", "run", "head", F.col("part").cast("bigint").alias("part"))
+
+
 @query(f"WITH {RUNS} SELECT CAST(run AS BIGINT) AS run, count(*) AS len, min(i1) AS first1, min(i2) AS low2 FROM k GROUP BY run")
 def collinear_runs(spark, sf):
     g = genes(spark, sf).withColumn("p", F.col("chrom") * 100 + F.col("pos"))
