@@ -297,6 +297,42 @@ def subtree_totals(spark, sf):
     return closure_of(edges).join(counts, "desc").groupBy("anc").agg(F.sum("n").alias("n"))
 
 
+WORLD = HIERARCHY.replace("CAST(NULL AS VARCHAR) AS parent FROM region", "'w' AS parent FROM region UNION ALL SELECT 'w', NULL")
+
+
+def _world(spark, sf) -> DataFrame:
+    """Regions, nations and customers as one tree."""
+    r, n, c = (table(spark, sf, t) for t in ("region", "nation", "customer"))
+    tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    top = spark.createDataFrame([("w", None)], "node string, parent string")
+    return top.union(r.select(tag("r", "r_regionkey"), F.lit("w"))).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey"))).union(c.select(tag("c", "c_custkey"), tag("n", "c_nationkey")))
+
+
+@query(f"""WITH RECURSIVE {WORLD}, q AS (SELECT o_orderkey, 'c' || o_custkey AS a, 'c' || o_orderkey % 997 AS b FROM orders UNION ALL SELECT o_orderkey, 'n' || o_orderkey % 25, 'c' || o_custkey FROM orders)
+SELECT o_orderkey, a, b, arg_min(x.anc, x.depth) AS lca, CAST(min(x.depth + y.depth) AS BIGINT) AS steps, min(x.depth) = 0 AS above FROM q JOIN c x ON x.dsc = a JOIN c y ON y.dsc = b AND y.anc = x.anc GROUP BY o_orderkey, a, b""")
+def common_ancestors(spark, sf):
+    """Of each order's customer and another, and of a nation and the customer: the common node, the steps between, and whether the one is above."""
+    from synteny_spark.operators import tours
+
+    o = table(spark, sf, "orders")
+    tag = lambda p, k: F.concat(F.lit(p), k.cast("string"))
+    key, own = F.col("o_orderkey"), tag("c", F.col("o_custkey"))
+    pairs = o.select(key, own.alias("a"), tag("c", key % 997).alias("b")).union(o.select(key, tag("n", key % 25), own)).distinct()
+    return tours.common_ancestors(tours.toured(_world(spark, sf)), pairs).withColumn("steps", F.col("steps").cast("bigint"))
+
+
+@query(f"""WITH RECURSIVE {WORLD}, u AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 6 = 1), k AS (SELECT dsc FROM c GROUP BY dsc HAVING NOT bool_or(anc IN (SELECT node FROM u))),
+v AS (SELECT 'c' || o_custkey AS node, count(*) AS n FROM orders GROUP BY 1) SELECT c.anc AS node, CAST(coalesce(sum(v.n), 0) AS BIGINT) AS total, count(*) AS n FROM c JOIN k ON k.dsc = c.dsc LEFT JOIN v ON v.node = c.dsc GROUP BY c.anc""")
+def pruned_totals(spark, sf):
+    """Orders below each node, customers in debt and every sixth nation left out with all below them."""
+    from synteny_spark.operators import tours
+
+    tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string")).alias("node")
+    counts = table(spark, sf, "orders").groupBy(tag("c", "o_custkey")).agg(F.count("*").alias("value"))
+    cut = table(spark, sf, "customer").where("c_acctbal < 0").select(tag("c", "c_custkey")).union(table(spark, sf, "nation").where("n_nationkey % 6 = 1").select(tag("n", "n_nationkey")))
+    return tours.pruned_totals(tours.toured(_world(spark, sf)), counts, cut)
+
+
 # Statistics
 
 
