@@ -39,9 +39,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends, if nothing removes it before."""
+    """A new, empty folder in the shared one; it goes when the application ends, if nothing removes it before."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     store, at = _at(spark, path)
+    store.mkdirs(at)
     store.deleteOnExit(at)
     return path
 
@@ -50,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table of the shared folder and read again, so that lost executors cost no recomputation, and plans that use
     it know its true size (the estimates of a checkpoint multiply from join to join, round after round)."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,10 @@
 """Joins dealt evenly and components, against brute force."""
 
 import random
+import subprocess
+import sys
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +26,45 @@ def test_hot_keys_are_dealt_and_lose_nothing(spark, how):
     assert fresh(["salt", "_SALT"], "salt") == "__salt"
 
 
+def test_rows_are_dealt_alike_when_a_stage_runs_again(spark):
+    """Salts come from what rows hold, not from where they lie."""
+    left = spark.createDataFrame([(7, i) for i in range(4000)], "k long, v long")
+    plan = spread_join(left, spark.createDataFrame([(7, 1)], "k long, w long"), ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "monotonically_increasing_id" not in plan and "xxhash64" in plan
+
+
+def test_kept_tables_can_be_removed(spark):
+    from synteny_spark.operators.spread import discard, exists, written
+
+    df = spark.range(10).withColumn("v", F.col("id") * 2)
+    kept = written(df, "some")
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert sorted(map(tuple, kept.collect())) == [(i, 2 * i) for i in range(10)] and exists(spark, folder)
+    discard(kept)
+    assert not exists(spark, folder) and written(df.limit(0), "none").count() == 0
+
+
+def test_tables_go_with_the_application(tmp_path):
+    """An application of its own leaves nothing in the shared folder."""
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from synteny_spark.operators.components import components
+import os
+assert components(s.createDataFrame([(1, 2), (3, 2)], "x long, y long")).count() == 3
+print("kept", sum("kept" in d for d in os.listdir({str(tmp_path)!r})))
+s.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "kept 1" in said.stdout, said.stderr[-800:]
+    for _ in range(100):  # the JVM ends after Python
+        if not (left := [d for d in tmp_path.iterdir() if "kept" in d.name]):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 def test_a_cluster_must_name_its_folder(spark):
     class Far:
         conf, sparkContext = {}, type("C", (), {"master": "spark://far:7077"})
@@ -45,7 +88,7 @@ def brute(edges):
     return {x: find(x) for x in list(root)}
 
 
-@pytest.mark.parametrize("few", [0, 1 << 40])
+@pytest.mark.parametrize("few", [0, 50, 1 << 40])
 def test_components(spark, monkeypatch, few):
     """A long path, a hub, mirrored and repeated edges, an edge to itself."""
     monkeypatch.setattr(comp, "FEW", few)
