@@ -68,7 +68,7 @@ def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the scan over two versions of all documents, and the second again, with one ledger: rows of results and blobs scanned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     later = docs.withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("\ntoken = rotated-"), "source"), F.lit(""))))
-    ledger, known, out = scratch(spark, "secret-history"), 0, []
+    ledger, known, out = f"{scratch(spark, 'secret-history')}/ledger", 0, []
     for run, version in enumerate((docs, later, later), 1):
         rows = secrets.scan(version, ledger).count()
         held = secrets.findings(spark, ledger).count()

@@ -291,6 +291,21 @@ def test_edited_licences(name):
         assert (name in [x[0] for x in s.findings(f"Before it. {text} After it.")]) == found, text
 
 
+def test_recall_of_edited_copies():
+    """Random words of copies are exchanged, left out or doubled; those whose longest common subsequence, cell by cell, still covers
+    the template must be found, and all but one in ten are."""
+    s, rng = licenses.Scanner(), random.Random(8)
+    due = hit = 0
+    for name, words in s.templates.items():
+        for _ in range(6):
+            edits = {i: rng.choice((["edited"], [], [words[i]] * 2)) for i in rng.sample(range(len(words)), len(words) * rng.randint(0, 19) // 100)}
+            copy = [x for i, w in enumerate(words) for x in edits.get(i, [w])]
+            if lcs(copy, words) >= s.coverage * len(words):
+                due += 1
+                hit += name in [x[0] for x in s.findings("Before it. " + " ".join(copy) + " After it.")]
+    assert due > 60 and hit >= 0.9 * due
+
+
 def test_licences_of_a_text_full_of_pointers():
     assert licenses.Scanner().findings("license software warranty " * 3000) == []
 
@@ -368,6 +383,25 @@ def test_machine_learns_pairs():
     assert np.mean([(m.logit(r) > 0) == (v > 0) for r, v in zip(rows, y)]) > 0.98
 
 
+def plain_score(machine, text):
+    """Every pair's product added up, term by term."""
+    terms = {machine.buckets[t] for w in text.lower().split() for t in toxicity.word_terms(w) if t in machine.buckets}
+    z = machine.bias + sum(float(machine.weights[t]) for t in terms)
+    z += sum(float(machine.vectors[a] @ machine.vectors[b]) for a in terms for b in terms if a < b)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_whole_scores_against_all_pairs(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.learned(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, SF).collect()}
+    short = [(i, t or "") for i, t in texts(spark) if len(t or "") < 3000]  # the slow scorer's time grows with the square of a text
+    assert len(got) == len(texts(spark)) and len(short) > 100
+    for i, text in short:
+        want = plain_score(machine, text)
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.7) and got[i].held_out == (crc32(str(i).encode()) % 3 == 1)
+
+
 def test_small_tables_and_pairs_of_terms_are_learned(spark):
     def learned(rows):
         docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
