@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from synteny_spark.functions import columns as fc
 from synteny_spark.operators import evidence, filters, joins, stats, windows
-from synteny_spark.operators.spread import checkpointed
+from synteny_spark.operators.spread import checkpointed, scratch
 from synteny_spark.operators.trees import SpeciesTree, closure_of
 from synteny_spark.plans import planted
 from synteny_spark.plans import projection as pr
 from synteny_spark.plans.projection import BLOCKS, GENES, PAIRS, TREE, blocks, genes, table
+from synteny_spark.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -598,6 +599,69 @@ def publish_blocks(spark, sf):
     return out.select("anc", "block", F.col("beg").cast("bigint").alias("beg"), "strand", F.col("fam_idx").alias("gene"))
 
 
+def _filed(spark, lines: DataFrame, anc: str, compression: str = "none") -> str:
+    """The folder of one ancestor, written as text."""
+    path = scratch(spark, "files")
+    sinks.text_files(lines, path, compression)
+    return f"{path}/anc={anc}"
+
+
+@query(f"WITH {WEIGHT} SELECT a, sa, b, sb, weight FROM r WHERE weight >= 2")
+def adjacencies_filed(spark, sf):
+    """Adjacencies written as text and read again, those of weight two and more."""
+    adj = _adjacency(spark, sf).withColumn("anc", F.lit("A0"))
+    return readers.read_adjacencies(spark, _filed(spark, sinks.adjacency_lines(adj), "A0"), "A0", 2).select(*[F.col(c).cast("bigint").alias(c) for c in ("a", "sa", "b", "sb")], "weight")
+
+
+@query(planted.DENOVO)
+def blocks_filed(spark, sf):
+    """Blocks written as text in order, compressed, and read again: a block's number is its line."""
+    from synteny_spark.operators.linear import denovo
+
+    made = denovo(planted.adjacencies(spark, sf, True), planted.universe(spark, sf))
+    return planted.flat(readers.read_blocks(spark, _filed(spark, sinks.block_lines(made), "A0", "gzip")))
+
+
+@query(f"WITH {GENES} SELECT fam AS fam_idx, 'f' || fam AS name, array_to_string(list(DISTINCT 'p' || pkey ORDER BY 'p' || pkey), ' ') AS members FROM g GROUP BY fam")
+def families_filed(spark, sf):
+    """Families written as text and read again: a family's number is its line."""
+    _, _, fams = _sides(spark, sf)
+    read = readers.read_families(spark, _filed(spark, sinks.family_lines(fams), "A"), "A")
+    return read.select(F.col("fam_idx").cast("bigint").alias("fam_idx"), "name", F.array_join(F.array_sort("members"), " ").alias("members"))
+
+
+@query(f"WITH {GENES} SELECT CAST(chrom AS VARCHAR) AS chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS idx, pos AS beg, pos + 1 AS stop, CAST(strand AS BIGINT) AS strand, 'p' || pkey || ' x' || pkey AS names FROM g WHERE sp = 1")
+def genes_filed(spark, sf):
+    """A genome written as a gene list and read again."""
+    g = genes(spark, sf).where("sp = 1").select(F.lit("M1").alias("genome"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").alias("idx"), F.col("pos").alias("beg"), (F.col("pos") + 1).alias("end"), "strand", F.array(F.concat(F.lit("p"), F.col("pkey")), F.concat(F.lit("x"), F.col("pkey"))).alias("names"))
+    read = readers.read_genes(spark, _filed(spark, sinks.gene_lines(g), "M1"), "M1")
+    return read.select("chrom", *[F.col(c).cast("bigint").alias(n) for c, n in (("idx", "idx"), ("beg", "beg"), ("end", "stop"), ("strand", "strand"))], F.array_join("names", " ").alias("names"))
+
+
+BRAND = "Brand#13"
+
+
+@query(f"SELECT unnest(['p' || p_partkey, 's' || p_size]) AS name FROM part WHERE p_brand = '{BRAND}'")
+def other_names(spark, sf):
+    """All other names of the genes that have one name."""
+    named = table(spark, sf, "part").select(F.array(F.concat(F.lit("p"), F.col("p_partkey")), "p_brand", F.concat(F.lit("s"), F.col("p_size"))).alias("names"))
+    return joins.other_names(named, BRAND)
+
+
+@query(f"WITH {WEIGHT}, e AS (SELECT fam FROM g GROUP BY fam HAVING count(*) % 2 = 0) SELECT a, sa, b, sb, weight FROM r WHERE weight > 0 AND a IN (SELECT fam FROM e) AND b IN (SELECT fam FROM e)")
+def edges_between(spark, sf):
+    """Adjacencies of which both ends are in one set, here families of an even number of genes."""
+    even = genes(spark, sf).groupBy(F.lit("A0").alias("anc"), F.col("fam").alias("id")).agg(F.count("*").alias("n")).where("n % 2 = 0")
+    adj = _adjacency(spark, sf).select(F.lit("A0").alias("anc"), F.col("a").alias("g1"), "sa", F.col("b").alias("g2"), "sb", "weight")
+    return filters.singleton_edges(adj, even).select(F.col("g1").alias("a"), "sa", F.col("g2").alias("b"), "sb", "weight")
+
+
+@query(f"WITH {BLOCKS} SELECT CAST(nation AS VARCHAR) AS anc, block, n FROM bl WHERE nation IN (3, 7, 11)")
+def copied_blocks(spark, sf):
+    """The blocks of some ancestors."""
+    return filters.copy_blocks(blocks(spark, sf).select(F.col("nation").cast("string").alias("anc"), "block", "n"), ["3", "7", "11"])
+
+
 @query(f"WITH {WEIGHT} SELECT a, sa, b, sb, weight FROM r WHERE weight > 0 UNION SELECT b, -sb, a, -sa, weight FROM r WHERE weight > 0")
 def mirror_union(spark, sf):
     return evidence.mirrored(_adjacency(spark, sf).withColumn("anc", F.lit("A0"))).drop("anc")

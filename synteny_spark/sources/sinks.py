@@ -51,8 +51,10 @@ def fasta_lines(sequences: DataFrame, width: int = 60) -> DataFrame:
 
 
 def text_files(lines: DataFrame, path: str, compression: str = "none") -> None:
-    """A folder of text for each ancestor, its lines in order: exchange files hold one ancestor, and are that large."""
-    lines.repartition("anc").sortWithinPartitions("anc", "ord").select("anc", "value").write.mode("overwrite").option("compression", compression).partitionBy("anc").text(path)
+    """A folder of text for each ancestor, its lines in order: an ancestor is dealt to as many tasks as it needs, each of which writes
+    the part that comes next, so parts in the order of their names are the whole."""
+    ranged = lines.repartitionByRange("anc", "ord").sortWithinPartitions("anc", "ord")
+    ranged.select("anc", "value").write.mode("overwrite").option("compression", compression).partitionBy("anc").text(path)
 
 
 def to_nhx(t: GeneTree, ancestral_names: dict[int, str] | None = None) -> str:
