@@ -15,7 +15,7 @@ from synteny_spark.operators.trees import SpeciesTree, closure_of
 from synteny_spark.plans import planted
 from synteny_spark.plans import projection as pr
 from synteny_spark.plans.projection import BLOCKS, GENES, PAIRS, TREE, blocks, genes, table
-from synteny_spark.sources import readers, sinks
+from synteny_spark.sources import files, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -638,6 +638,24 @@ def genes_filed(spark, sf):
     return read.select("chrom", *[F.col(c).cast("bigint").alias(n) for c, n in (("idx", "idx"), ("beg", "beg"), ("end", "stop"), ("strand", "strand"))], F.array_join("names", " ").alias("names"))
 
 
+@query(f"WITH {GENES} SELECT fam + 1 AS line, array_to_string(list(DISTINCT 'p' || pkey ORDER BY 'p' || pkey), ' ') AS members FROM g GROUP BY fam")
+def groups_filed(spark, sf):
+    """Orthology groups, a line each."""
+    _, _, fams = _sides(spark, sf)
+    read = readers.read_groups(spark, _filed(spark, fams.select("anc", F.col("fam_idx").alias("ord"), F.array_join("members", " ").alias("value")), "A"), "A")
+    return read.select(F.col("line").cast("bigint").alias("line"), F.array_join(F.array_sort("members"), " ").alias("members"))
+
+
+@query("SELECT 'p' || p_partkey AS name, upper(repeat(regexp_replace(p_type || p_name, '[^A-Za-z]', '', 'g'), 1 + p_size)) AS sequence FROM part")
+def sequences_filed(spark, sf):
+    """Sequences written in lines of sixty letters and read again."""
+    letters = F.regexp_replace(F.concat("p_type", "p_name"), "[^A-Za-z]", "")
+    found = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("name"), F.repeat(letters, 1 + F.col("p_size")).alias("sequence"))
+    path = scratch(spark, "files")
+    sinks.fasta_lines(found).write.mode("append").text(path)
+    return files.fasta(spark, path)
+
+
 BRAND = "Brand#13"
 
 
@@ -960,6 +978,16 @@ SELECT tree_id, node_id, parent_id, CASE WHEN alone AND taxon = 'M5' THEN 0 ELSE
 ALONE = "CASE WHEN alone AND node_id = 2 THEN 'M5' ELSE taxon END"
 
 
+@query(f"""WITH f AS ({forest_sql("taxon", "dup", "gene")}), k AS (SELECT p_partkey AS tree_id, row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part)
+SELECT line, f.taxon AS taxon, p.taxon AS above, CAST(f.child_ord AS BIGINT) AS child_ord, f.branch_len AS branch_len, CAST(f.dup AS BIGINT) AS dup, f.gene_name AS gene_name FROM f JOIN k USING (tree_id) LEFT JOIN f AS p ON p.tree_id = f.tree_id AND p.node_id = f.parent_id""")
+def forest_filed(spark, sf):
+    """Gene trees written a line each and read again: a tree's number is its line."""
+    lines = sinks.forest_lines(_forest(spark, sf)).select(F.lit("F").alias("anc"), F.col("tree_id").alias("ord"), "value")
+    read = checkpointed(readers.read_forest(spark, _filed(spark, lines, "F")))
+    above = read.select("tree_id", F.col("node_id").alias("parent_id"), F.col("taxon").alias("above"))
+    return read.join(above, ["tree_id", "parent_id"], "left").select(F.col("tree_id").alias("line"), "taxon", "above", F.col("child_ord").cast("bigint").alias("child_ord"), "branch_len", F.col("dup").cast("bigint").alias("dup"), "gene_name")
+
+
 @query(forest_sql(ALONE, "dup", "CASE WHEN alone AND node_id = 2 THEN 'M5_' || tree_id ELSE gene END", "NOT (alone AND node_id = 6)"))
 def tree_compact(spark, sf):
     from synteny_spark.operators.genetrees import compact

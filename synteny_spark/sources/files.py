@@ -96,9 +96,14 @@ def sniff(first: str) -> str:
     return "ids_strands" if len(c) == 2 else "blocks"
 
 
-def sniff_file(name: str) -> str:
-    with open_text(name) as f:
-        return sniff(next(content_lines(f), ""))
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line that holds data, read by Spark, so from any store and codec that it reads."""
+    row = data_lines(spark, path).orderBy("path", "line").select("value").first()
+    return row.value if row else ""
+
+
+def sniff_file(spark: SparkSession, path: str) -> str:
+    return sniff(first_line(spark, path))
 
 
 def mysql_lines(lines: Iterable[str]) -> Iterator[list[str | None]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from synteny_spark.functions.columns import chromosome_number, contig_type
 from synteny_spark.operators.genetrees import DUBIOUS, DUPLICATION, NODES, SPECIATION
-from synteny_spark.sources.files import data_lines, open_text, sniff_file, tsv
+from synteny_spark.sources.files import data_lines, first_line, sniff_file, tsv
 from synteny_spark.sources.newick import parse
 
 
@@ -67,7 +67,7 @@ def read_signed_rows(spark: SparkSession, path: str, genome: str, kind: str) ->
 
 def read_genome(spark: SparkSession, path: str, genome: str, kind: str | None = None) -> DataFrame:
     """Any gene file; the format is told by the first line unless it is given."""
-    kind = kind or sniff_file(path)
+    kind = kind or sniff_file(spark, path)
     if kind == "families":
         raise ValueError("a family file has no places; read it with read_families")
     plain = {"genes": read_genes, "grimm": read_grimm, "chromosome_names": read_chromosome_names}
@@ -161,10 +161,7 @@ def native_rows(text: str, tree_id: int) -> Iterator[tuple]:
 
 def read_forest(spark: SparkSession, path: str) -> DataFrame:
     """Nodes of a forest of gene trees: NHX, a tree a line, or the indented format, told by the first line."""
-    with open_text(path) as f:
-        first = next((x for x in f if x.strip()), "")
-
-    if set(first) & set("(;"):
+    if set(first_line(spark, path)) & set("(;"):
         lines = data_lines(spark, path)
 
         def rows(batches):
