@@ -5,7 +5,8 @@ import random
 import pytest
 
 from synteny_spark.functions import numbers as fn
-from synteny_spark.operators import diagonals, genetrees, linear, paths, recon
+import plain_diagonals as diagonals
+from synteny_spark.operators import genetrees, linear, paths, recon
 from synteny_spark.operators.trees import SpeciesTree
 from synteny_spark.plans.projection import TREE
 from synteny_spark.sources import files, newick
