@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -251,38 +252,45 @@ def propagated_evidence(spark, sf):
 # Trees
 
 
-EDGES = values("('M1','A3'),('M2','A3'),('A3','A1'),('M3','A1'),('A1','A0'),('M4','A2'),('M5','A2'),('A2','A0'),('A0',NULL)", "node, parent")
+def _per_species(spark, sf) -> DataFrame:
+    """species, n: its genes."""
+    return genes(spark, sf).groupBy(F.concat(F.lit("M"), "sp").alias("species")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c AS (SELECT node anc, node AS dsc, 0 AS depth FROM e UNION ALL SELECT e.parent, c.dsc, c.depth + 1 FROM c JOIN e ON e.node = c.anc WHERE e.parent IS NOT NULL) SELECT anc, dsc, depth FROM c")
-def tree_closure(spark, sf):
+def _targets(spark, sf, found: dict[str, set[str]]) -> DataFrame:
+    """target, found, n: the genes of its species, or of those below its ancestors."""
     t = SpeciesTree.read(TREE)
-    return closure_of(t.nodes(spark)).withColumnRenamed("desc", "dsc")
+    rows = [(x, ",".join(sorted(f)), s) for x, f in found.items() for s in t.species if s in f or f & set(t.up(s))]
+    wanted = spark.createDataFrame(rows, "target string, found string, species string")
+    return _per_species(spark, sf).join(F.broadcast(wanted), "species").groupBy("target", "found").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), c AS (SELECT node anc, node AS dsc, 0 AS depth FROM e UNION ALL SELECT e.parent, c.dsc, c.depth + 1 FROM c JOIN e ON e.node = c.anc WHERE e.parent IS NOT NULL) SELECT x.dsc AS a, y.dsc AS b, arg_min(x.anc, x.depth) AS lca, CAST(min(x.depth + y.depth) AS BIGINT) AS steps FROM c x JOIN c y ON x.anc = y.anc WHERE x.dsc < y.dsc GROUP BY 1, 2")
-def tree_lca(spark, sf):
-    t = SpeciesTree.read(TREE)
-    rows = [(a, b, t.lca(a, b), len(t.path(a, b)) - 1) for a in t.ord for b in t.ord if a < b]
-    return spark.createDataFrame(rows, "a string, b string, lca string, steps long")
+def targets_sql(rows: str) -> str:
+    return f"WITH {GENES}, s AS (SELECT 'M' || sp AS species, count(*) AS n FROM g GROUP BY 1) SELECT target, found, CAST(sum(n) AS BIGINT) AS n FROM {values(rows, 'target, found, of')} JOIN s ON contains(of, species) GROUP BY target, found"
 
 
-@query("SELECT * FROM " + values("('A1','A1,A3'),('=A1','A1'),('\\A3','A0,A1,A3'),('/A1','A0,A2'),('A0,_=A0','A1,A2,A3')", "target, found"))
+@query(targets_sql("('A1','A1,A3','M1M2M3'),('=A1','A1','M1M2M3'),('\\A3','A0,A1,A3','M1M2M3M4M5'),('/A1','A0,A2','M1M2M3M4M5'),('A0,_=A0','A1,A2,A3','M1M2M3M4M5')"))
 def targets_ancestor(spark, sf):
     t = SpeciesTree.read(TREE)
-    return spark.createDataFrame([(x, ",".join(sorted(t.ancestor_targets(x)))) for x in ("A1", "=A1", "\\A3", "/A1", "A0,_=A0")], "target string, found string")
+    return _targets(spark, sf, {x: set(t.ancestor_targets(x)) for x in ("A1", "=A1", "\\A3", "/A1", "A0,_=A0")})
 
 
-@query("SELECT * FROM " + values("('A1','M1,M2,M3'),('/A1','M4,M5'),('A0,_A2','M1,M2,M3'),('=M1,/A3','M1,M3,M4,M5'),('A0,_=M2,_/A1','M1,M3')", "target, found"))
+@query(targets_sql("('A1','M1,M2,M3','M1M2M3'),('/A1','M4,M5','M4M5'),('A0,_A2','M1,M2,M3','M1M2M3'),('=M1,/A3','M1,M3,M4,M5','M1M3M4M5'),('A0,_=M2,_/A1','M1,M3','M1M3')"))
 def targets_species(spark, sf):
     t = SpeciesTree.read(TREE)
-    return spark.createDataFrame([(x, ",".join(sorted(t.species_targets(x)))) for x in ("A1", "/A1", "A0,_A2", "=M1,/A3", "A0,_=M2,_/A1")], "target string, found string")
+    return _targets(spark, sf, {x: set(t.species_targets(x)) for x in ("A1", "/A1", "A0,_A2", "=M1,/A3", "A0,_=M2,_/A1")})
 
 
-@query("SELECT * FROM " + values("('M1','M2','A3'),('M1','M3','A3,A1'),('M2','M3','A3,A1'),('M1','M4','A3,A1,A0,A2'),('M1','M5','A3,A1,A0,A2'),('M2','M4','A3,A1,A0,A2'),('M2','M5','A3,A1,A0,A2'),('M3','M4','A1,A0,A2'),('M3','M5','A1,A0,A2'),('M4','M5','A2')", "a, b, inner_path"))
+@query(f"WITH {GENES}, h AS (SELECT DISTINCT sp, pkey FROM g), v AS (SELECT * FROM "
+       + values("('M1','M2','A3'),('M1','M3','A3,A1'),('M2','M3','A3,A1'),('M1','M4','A3,A1,A0,A2'),('M1','M5','A3,A1,A0,A2'),('M2','M4','A3,A1,A0,A2'),('M2','M5','A3,A1,A0,A2'),('M3','M4','A1,A0,A2'),('M3','M5','A1,A0,A2'),('M4','M5','A2')", "a, b, inner_path")
+       + ") SELECT v.a, v.b, inner_path, count(*) AS shared FROM v JOIN h x ON v.a = 'M' || x.sp JOIN h y ON v.b = 'M' || y.sp AND y.pkey = x.pkey GROUP BY ALL")
 def species_pair_paths(spark, sf):
+    """Of every two species the ancestors between them, and the families that both have."""
     t = SpeciesTree.read(TREE)
-    return spark.createDataFrame([(a, b, ",".join(t.path(a, b)[1:-1])) for a in t.species for b in t.species if a < b], "a string, b string, inner_path string")
+    paths = spark.createDataFrame([(a, b, ",".join(t.path(a, b)[1:-1])) for a in t.species for b in t.species if a < b], "a string, b string, inner_path string")
+    has = genes(spark, sf).groupBy("pkey").agg(F.collect_set(F.concat(F.lit("M"), "sp")).alias("of"))  # five names at most
+    both = has.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return both.join(F.broadcast(paths), ["a", "b"])
 
 
 HIERARCHY = """e AS (SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
@@ -309,6 +317,26 @@ def _world(spark, sf) -> DataFrame:
     return top.union(r.select(tag("r", "r_regionkey"), F.lit("w"))).union(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey"))).union(c.select(tag("c", "c_custkey"), tag("n", "c_nationkey")))
 
 
+@query(f"WITH RECURSIVE {WORLD} SELECT anc, dsc, depth FROM c")
+def tree_closure(spark, sf):
+    return closure_of(_world(spark, sf)).withColumnRenamed("desc", "dsc")
+
+
+TRADE = "SELECT DISTINCT c_nationkey AS x, s_nationkey AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey"
+
+
+@query(f"WITH RECURSIVE {WORLD}, t AS ({TRADE}) SELECT 'n' || t.x AS a, 'n' || t.y AS b, arg_min(x.anc, x.depth) AS lca, CAST(min(x.depth + y.depth) AS BIGINT) AS steps FROM t JOIN c x ON x.dsc = 'n' || t.x JOIN c y ON y.dsc = 'n' || t.y AND y.anc = x.anc GROUP BY 1, 2")
+def tree_lca(spark, sf):
+    """Of the nations of a line's customer and supplier: what they have in common, and the steps between them."""
+    lines, o, c, s_ = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    met = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s_, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = met.select(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b")).distinct()
+    up = closure_of(_world(spark, sf).where("node not like 'c%'"))  # regions and nations
+    side = lambda end: up.select("anc", F.col("desc").alias(end), F.col("depth").alias(f"d{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "anc"])
+    return both.groupBy("a", "b").agg(F.min_by("anc", "da").alias("lca"), F.min(F.col("da") + F.col("db")).cast("bigint").alias("steps"))
+
+
 @query(f"""WITH RECURSIVE {WORLD}, q AS (SELECT o_orderkey, 'c' || o_custkey AS a, 'c' || o_orderkey % 997 AS b FROM orders UNION ALL SELECT o_orderkey, 'n' || o_orderkey % 25, 'c' || o_custkey FROM orders)
 SELECT o_orderkey, a, b, arg_min(x.anc, x.depth) AS lca, CAST(min(x.depth + y.depth) AS BIGINT) AS steps, min(x.depth) = 0 AS above FROM q JOIN c x ON x.dsc = a JOIN c y ON y.dsc = b AND y.anc = x.anc GROUP BY o_orderkey, a, b""")
 def common_ancestors(spark, sf):
@@ -698,16 +726,26 @@ def unused_genes(spark, sf):
     return genes(spark, sf).select((F.col("pkey") % 1000).alias("id")).distinct().join(ids, "id", "left_anti")
 
 
-@query("SELECT * FROM " + values("('D','Y'),('S','M1'),('B','0.9')", "k, v"))
+@query("SELECT p_partkey, unnest(['D', 'S', 'B', 'C']) AS k, unnest([CASE WHEN p_size > 25 THEN 'Y' ELSE 'N' END, p_brand, CAST(p_size AS VARCHAR) || '.5', p_type]) AS v FROM part")
 def nhx_tags(spark, sf):
-    return spark.createDataFrame([("D=Y:S=M1:DD:B=0.9",)], "c string").select(F.explode(fc.nhx_tags(F.col("c"))).alias("k", "v"))
+    """The tags of comments, of which one has no value."""
+    part = table(spark, sf, "part")
+    tag = lambda k, v: F.concat(F.lit(f"{k}="), v)
+    comment = F.concat_ws(":", tag("D", F.when(F.col("p_size") > 25, "Y").otherwise("N")), tag("S", F.col("p_brand")), F.lit("DD"), tag("B", F.concat("p_size", F.lit(".5"))), tag("C", F.col("p_type")))
+    return part.select("p_partkey", F.explode(fc.nhx_tags(comment)).alias("k", "v"))
 
 
-@query("SELECT i, '.' || CASE WHEN i <= 26 THEN chr(CAST(96 + i AS INTEGER)) WHEN i <= 702 THEN chr(CAST(96 + (i - 1) % 26 AS INTEGER)) || chr(CAST(97 + (i - 1) // 26 AS INTEGER)) END AS suffix FROM range(1, 600) t(i)")
+@query("SELECT p_partkey, i, '.' || CASE WHEN i <= 26 THEN chr(CAST(96 + i AS INTEGER)) ELSE chr(CAST(96 + (i - 1) % 26 AS INTEGER)) || CASE WHEN i <= 676 THEN chr(CAST(97 + (i - 1) // 26 AS INTEGER)) ELSE chr(CAST(96 + (i - 1) // 26 % 26 AS INTEGER)) || chr(CAST(97 + (i - 1) // 676 AS INTEGER)) END END AS suffix FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)")
 def tandem_repeat_suffix(spark, sf):
+    """Parts of a brand are copies of one gene."""
     from synteny_spark.functions.numbers import duplication_suffix
 
-    return spark.createDataFrame([(i, duplication_suffix(i)) for i in range(1, 600)], "i long, suffix string")
+    @F.pandas_udf("string")
+    def suffix(n: pd.Series) -> pd.Series:
+        return n.map(duplication_suffix)
+
+    copies = table(spark, sf, "part").select("p_partkey", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")).cast("bigint").alias("i"))
+    return copies.withColumn("suffix", suffix("i"))
 
 
 # Comparison of genomes
@@ -820,28 +858,28 @@ def forest_verdicts(spark, sf):
     return forest_edges(planted.mixed_adjacencies(spark, sf), most=FEW_EDGES).select(*big("a", "sa", "b", "sb", "weight"), "verdict")
 
 
-HAND = {
-    "shortcut_removal": ([(0, 1, 2), (1, 2, 2), (0, 2, 3)], 3, "('A0',3,'0 1 2','1 1 1','2 2')"),
-    "linear_hand": ([(0, 1, 3), (1, 2, 2), (0, 2, 1)], 4, "('A0',3,'0 1 2','1 1 1','3 2'),('A0',1,'3','1','')"),
-}
+def _triples(spark, sf, edges: list[tuple[int, int, str]], width: int, shortcuts: bool) -> DataFrame:
+    """Blocks of components of so many families, one of each part, with edges (first, second, weight) between them."""
+    from synteny_spark.operators.linear import denovo
+
+    part = table(spark, sf, "part").select((F.col("p_partkey") * width).cast("int").alias("k"), "p_size")
+    edge = lambda a, b, w: F.struct((F.col("k") + a).alias("a"), F.lit(1).alias("sa"), (F.col("k") + b).alias("b"), F.lit(1).alias("sb"), F.expr(f"cast({w} as bigint)").alias("weight"))
+    adj = part.select(F.lit("A0").alias("anc"), F.inline(F.array(*[edge(*e) for e in edges])))
+    ids = part.select(F.lit("A0").alias("anc"), F.explode(F.sequence(F.col("k"), F.col("k") + width - 1)).alias("id"))
+    return planted.flat(denovo(adj, ids, 1, shortcuts)).drop("block_id")
 
 
-@query("SELECT anc, CAST(n AS BIGINT) n, ids, strands, support FROM " + values(HAND["shortcut_removal"][2], "anc, n, ids, strands, support"))
+@query("SELECT 'A0' AS anc, CAST(3 AS BIGINT) AS n, concat_ws(' ', p_partkey * 3, p_partkey * 3 + 1, p_partkey * 3 + 2) AS ids, '1 1 1' AS strands, concat_ws(' ', p_size, p_size + 1) AS support FROM part")
 def shortcut_removal(spark, sf):
-    return _hand(spark, "shortcut_removal", True)
+    """An edge past the middle one of three families goes, though it is the heaviest."""
+    return _triples(spark, sf, [(0, 1, "p_size"), (1, 2, "p_size + 1"), (0, 2, "p_size + 2")], 3, True)
 
 
-@query("SELECT anc, CAST(n AS BIGINT) n, ids, strands, support FROM " + values(HAND["linear_hand"][2], "anc, n, ids, strands, support"))
+@query("""SELECT 'A0' AS anc, CAST(3 AS BIGINT) AS n, concat_ws(' ', p_partkey * 4, p_partkey * 4 + 1, p_partkey * 4 + 2) AS ids, '1 1 1' AS strands, concat_ws(' ', p_size + 2, p_size + 1) AS support FROM part
+UNION ALL SELECT 'A0', 1, CAST(p_partkey * 4 + 3 AS VARCHAR), '1', '' FROM part""")
 def linear_hand(spark, sf):
-    return _hand(spark, "linear_hand", False)
-
-
-def _hand(spark, name, shortcuts):
-    from synteny_spark.operators.linear import denovo
-
-    edges, n, _ = HAND[name]
-    adj = spark.createDataFrame([("A0", a, 1, b, 1, w) for a, b, w in edges], "anc string, a int, sa int, b int, sb int, weight long")
-    return planted.flat(denovo(adj, spark.range(n).select(F.lit("A0").alias("anc"), F.col("id").cast("int").alias("id")), 1, shortcuts)).drop("block_id")
+    """The lightest edge of a ring isn't taken; a family without edges is a block of its own."""
+    return _triples(spark, sf, [(0, 1, "p_size + 2"), (1, 2, "p_size + 1"), (0, 2, "p_size")], 4, False)
 
 
 @query(planted.FUSION)
