@@ -907,6 +907,35 @@ def fill_in(spark, sf):
     return planted.flat(_filled(spark, sf))
 
 
+def _part_gaps(spark, sf, ends: str) -> tuple[DataFrame, DataFrame]:
+    """Gaps between neighbours on a chromosome of the families of a condition, and all others."""
+    k = table(spark, sf, "part").select(F.lit("A0").alias("anc"), F.col("p_partkey").cast("int").alias("x"))
+    gaps = k.where(ends).withColumn("y", F.lead("x").over(W.partitionBy(F.expr("x div 100")).orderBy("x"))).where("y is not null")
+    return gaps.select("anc", F.col("x").cast("string").alias("gap"), "x", F.lit(1).alias("sx"), "y", F.lit(1).alias("sy")), k.where(f"not ({ends})").select("anc", F.col("x").alias("id"))
+
+
+@query(planted.GAP_PATHS)
+def gap_paths(spark, sf):
+    """The path of each gap between families that no species lacks, under each search by itself."""
+    from synteny_spark.operators import gaps as gp
+
+    gaps, inner = _part_gaps(spark, sf, "x % 7 not in (3, 4)")
+    out = gp.gap_paths(gaps, planted.adjacencies(spark, sf, False), inner, ["1", "2", *planted.VALUED])
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
+    return out.select("code", F.col("gap").cast("bigint").alias("k"), text("ids"), text("weights"))
+
+
+@query(planted.GAP_WIDTHS)
+def gap_widths(spark, sf):
+    """How wide the way from every tenth family to the next can be, and the lightest edge that each bottleneck search finds."""
+    from synteny_spark.operators import gaps as gp
+
+    gaps, inner = _part_gaps(spark, sf, "x % 10 = 0")
+    edges = checkpointed(planted.adjacencies(spark, sf, True, product=False))
+    found = gp.gap_paths(gaps, edges, inner, planted.BOTTLENECKS).select("anc", "gap", "code", F.array_min("weights").alias("least"))
+    return gp.widths(gaps, edges, inner).join(found, ["anc", "gap"], "left").select(F.col("gap").cast("bigint").alias("k"), "code", "width", "least")
+
+
 @query(planted.INSERTION)
 def insertion(spark, sf):
     from synteny_spark.operators.recon import insertion as insert
