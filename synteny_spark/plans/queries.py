@@ -216,7 +216,7 @@ GROUPS = values("('A0',1,1),('A0',2,1),('A0',3,1),('A0',4,2),('A0',5,2),('A1',1,
 E3 = f"""{GENES},
 k AS (SELECT anc, child, sp, chrom, pos, chrom * 100 + pos AS m, strand, CASE WHEN anc = 'A2' THEN 199 - fam ELSE fam END AS fam
   FROM g JOIN {LINEAGE} USING (sp)
-  WHERE fam % 23 <> 0 AND (anc NOT IN ('A1', 'A0') OR sp NOT IN (1, 2) OR fam % 17 <> 1) AND (anc NOT IN ('A1', 'A0') OR sp > 3 OR fam % 19 <> 2)),
+  WHERE (anc NOT IN ('A1', 'A0') OR sp NOT IN (1, 2) OR fam % 17 <> 1) AND (anc NOT IN ('A1', 'A0') OR sp > 3 OR fam % 19 <> 2)),
 q AS (SELECT anc, child, sp, fam f1, strand s1, m n1, lead(fam) OVER w f2, lead(strand) OVER w s2, lead(m) OVER w n2 FROM k WINDOW w AS (PARTITION BY anc, child, sp, chrom ORDER BY pos)),
 o AS (SELECT anc, child, sp, CASE WHEN f1<f2 THEN f1 ELSE f2 END a, CASE WHEN f1<f2 THEN s1 ELSE -s2 END sa, CASE WHEN f1<f2 THEN f2 ELSE f1 END b, CASE WHEN f1<f2 THEN s2 ELSE -s1 END sb,
   CASE WHEN f1<f2 THEN n1 ELSE n2 END m1, CASE WHEN f1<f2 THEN s1 ELSE -s2 END ms1, CASE WHEN f1<f2 THEN n2 ELSE n1 END m2, CASE WHEN f1<f2 THEN s2 ELSE -s1 END ms2 FROM q WHERE f1 <> f2),
@@ -232,7 +232,7 @@ SELECT target AS anc, ta AS a, CAST(tsa AS BIGINT) AS sa, tb AS b, CAST(tsb AS B
 
 def _evidence_tables(spark, sf):
     tree = SpeciesTree.read(TREE)
-    g = genes(spark, sf).where("fam % 23 <> 0").select(F.concat(F.lit("M"), "sp").alias("species"), "chrom", F.col("pos").alias("idx"), (F.col("chrom") * 100 + F.col("pos")).alias("name"), "strand", "sp", "fam")
+    g = genes(spark, sf).select(F.concat(F.lit("M"), "sp").alias("species"), "chrom", F.col("pos").alias("idx"), (F.col("chrom") * 100 + F.col("pos")).alias("name"), "strand", "sp", "fam")
     lineages = spark.createDataFrame([(s, a, up[k - 1], k) for s in tree.species for up in [tree.up(s)] for k, a in enumerate(up) if k], "species string, anc string, child string, rank int")
     fam = F.when(F.col("anc") == "A2", 199 - F.col("fam")).otherwise(F.col("fam")).alias("fam_idx")
     names = g.select("name", "sp", "fam").crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in tree.ancestors], "anc string")))  # four rows
