@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, with a KD-tree in each shard.
 
-Rows are dealt to shards by a hash of id and vector. A shard's task splits its vectors at the median of the widest dimension and
-keeps tight bounding boxes. A batch of queries goes down the tree together: the most that an inner product with a vector of a box can
+Rows are dealt to shards by a hash of id and vector. A shard's task splits its vectors at the median of the widest dimension,
+or at a wide gap near it, and keeps tight bounding boxes. A batch of queries goes down the tree together: the most that an inner product with a vector of a box can
 be is the bound, and a box whose bound is under a query's kth score is left with all below it. Leaves that remain are visited best
 bound first for each query, and the kth score rises meanwhile; equal scores go to the smaller id, so a bound equal to the kth score
 isn't discarded.
@@ -33,6 +33,15 @@ ROW = "shard int, searched boolean, vec_id long, v array<long>, copies long, ask
 FOUND = "query_id long, key binary, copies long, vec_id long, score long"
 
 
+def cut(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The order of two values or more and the place to cut it: the widest gap in its middle half if that is over a fourth of their extent, else the middle."""
+    order = np.argsort(values, kind="stable")
+    n, edge, ordered = len(values), max(1, len(values) // 4), values[order]
+    gaps = np.diff(ordered)[edge - 1 : n - edge]
+    widest = int(gaps.argmax())
+    return order, edge + widest if gaps[widest] > (ordered[-1] - ordered[0]) // 4 else n // 2
+
+
 class Tree:
     """A shard's vectors, in the order of the leaves of its tree. Equal ids and null ones keep the order of the rows given."""
 
@@ -61,8 +70,8 @@ class Tree:
             self.low.append(low), self.high.append(high), self.below.append([-1, -1]), self.span.append((a, b))
             widest = int((high - low).argmax()) if size else 0
             if b - a > LEAF and size and high[widest] > low[widest]:
-                middle = (b - a) // 2
-                place[a:b] = place[a:b][np.argpartition(here[:, widest], middle)]
+                order, middle = cut(here[:, widest])
+                place[a:b] = place[a:b][order]
                 todo += [(a + middle, b, at, 1), (a, a + middle, at, 0)]
         self.low, self.high = np.array(self.low).astype(self.kind), np.array(self.high).astype(self.kind)
         self.leaves = [i for i, (left, _) in enumerate(self.below) if left < 0]

@@ -211,6 +211,29 @@ def test_trees_skip_what_cannot_win():
     assert (np.concatenate([x[tree.place[a:b]] for a, b in (tree.span[i] for i in tree.leaves)]).shape == x.shape) and sorted(tree.place.tolist()) == list(range(len(x)))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_keep_far_groups_apart(seed):
+    """Whatever the values' order, a group isn't cut where there is a gap beside it: its two leaves alone can win."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.integers(-5, 5, (512, 4)) + np.array(c) * 1000 for c in ([1, 0, 0, 0], [-1, 0, 0, 0], [0, 1, 0, 0], [0, -1, 0, 0])])
+    x = x[rng.permutation(len(x))]
+    tree = topk.Tree(list(range(len(x))), x, 1005)
+    bounds = tree.bounds(np.array([[1000, 0, 0, 0]]), np.array([990_000]))
+    assert (bounds > tree.lowest).sum() == 2 and len(tree.leaves) == 8 and sorted(tree.place.tolist()) == list(range(len(x)))
+
+
+def test_all_tables_against_sql(spark):
+    """test_oracles names four tables; these queries read others."""
+    from synteny_spark.llm.queries import ORACLES, QUERIES
+
+    c, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("conversations", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in ("op11_conversation_repair", "op12_topk", "op13_clustering"):
+        df, want = QUERIES[name](spark, sf), c.sql(ORACLES[name])
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_clusters_of_odd_vectors(spark):
     rows = odd_vectors(clustering.SIZE)
     df = spark.createDataFrame([(*r, *EXTRA) for r in rows], VECS)
