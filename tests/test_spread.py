@@ -129,3 +129,21 @@ def test_evidence_spelled_out_has_the_same_weights(spark):
     counted = evidence.propagated_weights(obs, tree.closure(spark), tree.groups(spark))
     told = lambda d: sorted(map(tuple, d.select("anc", *evidence.PAIR, "weight").collect()))
     assert told(spelled) == told(counted) and len(told(counted)) > 100
+
+
+def test_groups_stay_whole_over_a_join_that_turns_into_a_broadcast(spark):
+    """Adaptive execution reads such a join's shuffle where it lies, so the kernel's own deal must not be left out for it."""
+    from synteny_spark.operators.grouped import per_group
+
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(40_000, numPartitions=8).select((F.col("id") % 50).alias("k"), "id")
+        right = spark.range(40_000, numPartitions=8).select((F.col("id") % 50).alias("k")).distinct()
+        got = per_group(left.join(right, "k"), ["k"], lambda rows: [(rows[0][0], len(rows))], "k long, n long").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(k, 800) for k in range(50)]
