@@ -55,11 +55,13 @@ def content_lines(lines: Iterable[str]) -> Iterator[str]:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 0) and value of files in their order. Lines are numbered within the stretch of a file that a task reads, and only
-    the stretches' counts meet. xz and lzma files, which Spark would read as they are, are unpacked whole, each on one executor."""
+    """path, line (from 0) and value of files in their order. The part files that a Spark job wrote into one folder are one text, in the order of
+    their names, and path is the folder. Lines are numbered within the stretch of a file that a task reads, and only the stretches'
+    counts meet. xz and lzma files, which Spark would read as they are, are unpacked whole, each on one executor."""
     if not path.endswith((".xz", ".lzma")):
-        at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("stretch"), F.monotonically_increasing_id().alias("at")]
-        return dense_index(spark.read.text(path).select("value", *at), "path", F.col("stretch"), ["at"], "line", "bigint").select("path", "line", "value")
+        read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        whole = read.withColumn("path", F.regexp_replace("file", "/part-[0-9]+[^/]*$", ""))
+        return dense_index(whole, "path", F.struct("file", "start"), ["at"], "line", "bigint").select("path", "line", "value")
 
     def numbered(batches):
         import pandas as pd

@@ -234,3 +234,25 @@ def test_natural_keys_of_long_numbers(spark):
     names = ["a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a2" + "0" * 20, "a1" + "0" * 21, "b1", "a"]
     got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(fc.natural_key(F.col("n"))).collect()
     assert [r.n for r in got] == ["a", "a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a2" + "0" * 20, "a1" + "0" * 21, "b1"]
+
+
+def in_parts(spark, lines, anc, path):
+    """The folder of one ancestor's lines, written by several tasks."""
+    sinks.text_files(lines, str(path))
+    assert len(spark.read.text(f"{path}/anc={anc}").inputFiles()) > 1
+    return f"{path}/anc={anc}"
+
+
+@pytest.fixture
+def several_parts(spark):
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_blocks_of_several_part_files(spark, tmp_path, several_parts):
+    """Lines are numbered on from file to file of a folder that Spark wrote."""
+    b = spark.createDataFrame([("A0", k, 1, [k], [1], []) for k in range(1, 41)], linear.BLOCK)
+    path = in_parts(spark, sinks.block_lines(b), "A0", tmp_path / "b")
+    assert sorted((r.block_id, r.ids) for r in readers.read_blocks(spark, path).collect()) == [(k, [k]) for k in range(1, 41)]
