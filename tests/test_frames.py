@@ -256,3 +256,9 @@ def test_blocks_of_several_part_files(spark, tmp_path, several_parts):
     b = spark.createDataFrame([("A0", k, 1, [k], [1], []) for k in range(1, 41)], linear.BLOCK)
     path = in_parts(spark, sinks.block_lines(b), "A0", tmp_path / "b")
     assert sorted((r.block_id, r.ids) for r in readers.read_blocks(spark, path).collect()) == [(k, [k]) for k in range(1, 41)]
+
+
+def test_families_of_several_part_files(spark, tmp_path, several_parts):
+    fams = spark.createDataFrame([("A", k, f"f{k}", [f"g{k}"]) for k in range(40)], "anc string, fam_idx int, name string, members array<string>")
+    read = readers.read_families(spark, in_parts(spark, sinks.family_lines(fams), "A", tmp_path / "f"), "A")
+    assert rows(read) == rows(fams)
