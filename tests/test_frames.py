@@ -262,3 +262,9 @@ def test_families_of_several_part_files(spark, tmp_path, several_parts):
     fams = spark.createDataFrame([("A", k, f"f{k}", [f"g{k}"]) for k in range(40)], "anc string, fam_idx int, name string, members array<string>")
     read = readers.read_families(spark, in_parts(spark, sinks.family_lines(fams), "A", tmp_path / "f"), "A")
     assert rows(read) == rows(fams)
+
+
+def test_groups_of_several_part_files(spark, tmp_path, several_parts):
+    lines = spark.createDataFrame([("A", k, f"g{k} h{k}") for k in range(40)], "anc string, ord int, value string")
+    read = readers.read_groups(spark, in_parts(spark, lines, "A", tmp_path / "g"), "A")
+    assert sorted((r.line, r.members) for r in read.collect()) == [(k + 1, [f"g{k}", f"h{k}"]) for k in range(40)]
