@@ -268,3 +268,9 @@ def test_groups_of_several_part_files(spark, tmp_path, several_parts):
     lines = spark.createDataFrame([("A", k, f"g{k} h{k}") for k in range(40)], "anc string, ord int, value string")
     read = readers.read_groups(spark, in_parts(spark, lines, "A", tmp_path / "g"), "A")
     assert sorted((r.line, r.members) for r in read.collect()) == [(k + 1, [f"g{k}", f"h{k}"]) for k in range(40)]
+
+
+def test_trees_of_several_part_files(spark, tmp_path, several_parts):
+    lines = spark.createDataFrame([("F", k, f"(a{k}:1[&&NHX:S=M1],b{k}:1[&&NHX:S=M2])[&&NHX:S=A3];") for k in range(40)], "anc string, ord int, value string")
+    read = readers.read_forest(spark, in_parts(spark, lines, "F", tmp_path / "t"))
+    assert sorted((r.tree_id, r.gene_name) for r in read.where("gene_name is not null").collect()) == sorted((k, f"{c}{k}") for k in range(40) for c in "ab")
