@@ -274,3 +274,21 @@ def test_trees_of_several_part_files(spark, tmp_path, several_parts):
     lines = spark.createDataFrame([("F", k, f"(a{k}:1[&&NHX:S=M1],b{k}:1[&&NHX:S=M2])[&&NHX:S=A3];") for k in range(40)], "anc string, ord int, value string")
     read = readers.read_forest(spark, in_parts(spark, lines, "F", tmp_path / "t"))
     assert sorted((r.tree_id, r.gene_name) for r in read.where("gene_name is not null").collect()) == sorted((k, f"{c}{k}") for k in range(40) for c in "ab")
+
+
+@pytest.mark.parametrize("tile", [2, 4000])
+def test_ortholog_pairs_are_told_once(spark, monkeypatch, tile):
+    """Genes that share several families and names, tiles of keys, and no distinct over pairs."""
+    monkeypatch.setattr(joins, "TILE", tile)
+    side = lambda a: [(a + k, [f"p{k % 4}", f"q{k % 3}", f"r{k % 2}", None]) for k in range(12)] + [(a + 50, [f"only{a}"]), (a + 51, [])]
+    left, right = side(0), side(100)
+    fams = [("A", 0, "f0", ["p0", "p1", "q0"]), ("A", 1, "f1", ["p1", "q0", "q1"])]
+    of = lambda names: {("f", i) for _, i, _, m in fams for n in names if n in m} | {n for n in names if n}
+    want = {(a, b) for a, x in left for b, y in right if of(x) & of(y)}
+    l, r = (spark.createDataFrame(s, "gene long, names array<string>") for s in (left, right))
+    f = spark.createDataFrame(fams, "anc string, fam_idx int, name string, members array<string>")
+    found = joins.orthologs(l, r, f)
+    assert rows(found) == sorted(want, key=str)
+    assert rows(joins.orthologs(l, r, f, gaps=True)) == sorted([*want, (50, None), (51, None)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")
